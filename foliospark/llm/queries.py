@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import secret_scans, url_filters
+from . import secret_scans, substring_dedup, url_filters
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -23,6 +24,11 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.digest(secret_scans.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(_table(spark, sf_dir, "pages"), url_filters.rules_table(spark, URL_RULES))
 
@@ -49,7 +55,7 @@ FROM h
 
 
 def queries() -> dict:
-    return {"op1_secret_scans": op1_secret_scans, "op6_url_filters": op6_url_filters}
+    return {"op1_secret_scans": op1_secret_scans, "op2_substring_dedup": op2_substring_dedup, "op6_url_filters": op6_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
