@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_scans, substring_dedup, url_filters
+from . import best_fit_packing, secret_scans, substring_dedup, url_filters
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -29,6 +29,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(_table(spark, sf_dir, "pages"), url_filters.rules_table(spark, URL_RULES))
 
@@ -55,7 +59,12 @@ FROM h
 
 
 def queries() -> dict:
-    return {"op1_secret_scans": op1_secret_scans, "op2_substring_dedup": op2_substring_dedup, "op6_url_filters": op6_url_filters}
+    return {
+        "op1_secret_scans": op1_secret_scans,
+        "op2_substring_dedup": op2_substring_dedup,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_url_filters": op6_url_filters,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
