@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, secret_scans, substring_dedup, url_filters
+from . import best_fit_packing, jaccard_join, secret_scans, substring_dedup, url_filters
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -37,6 +37,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(_table(spark, sf_dir, "pages"), url_filters.rules_table(spark, URL_RULES))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), shingle=4, threshold=(85, 100))
+
+
 OP6_SQL = r"""
 WITH u AS (
   SELECT page_id, coalesce(url, '') AS url FROM pages
@@ -64,6 +68,7 @@ def queries() -> dict:
         "op2_substring_dedup": op2_substring_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_url_filters": op6_url_filters,
+        "op7_jaccard_join": op7_jaccard_join,
     }
 
 
