@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, jaccard_join, secret_scans, substring_dedup, url_filters
+from . import best_fit_packing, jaccard_join, language_id, secret_scans, substring_dedup, url_filters
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -41,6 +41,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), shingle=4, threshold=(85, 100))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
+    model = language_id.fit(docs.filter("not held_out"))
+    return language_id.predict(docs, model, keep=["doc_id", "held_out"])
+
+
 OP6_SQL = r"""
 WITH u AS (
   SELECT page_id, coalesce(url, '') AS url FROM pages
@@ -69,6 +75,7 @@ def queries() -> dict:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_url_filters": op6_url_filters,
         "op7_jaccard_join": op7_jaccard_join,
+        "op10_language_id": op10_language_id,
     }
 
 
