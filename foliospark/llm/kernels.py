@@ -41,6 +41,9 @@ _LETTER = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _LETTER[_SPACE] = 0
 _FOLDED = _LETTER.copy()
 _FOLDED[65:91] = _LETTER[97:123]
+_MARK = _SPACE.copy()
+_MARK[[c for c in range(128) if not chr(c).isalnum()]] = True
+_PLAIN = np.where(_MARK, U64(0), _FOLDED)
 _BASE = 0x9E3779B97F4A7C15
 _POW = powers(_BASE, _BLOCK)
 
@@ -80,18 +83,20 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def words(column: pa.Array, fold_case: bool = False) -> Iterator[Words]:
+def words(column: pa.Array, fold_case: bool = False, plain: bool = False) -> Iterator[Words]:
+    """Words of each slice; ``plain`` folds case and also parts words at every ASCII character but letters and digits."""
     offsets, data = text_buffers(column)
-    letters = _FOLDED if fold_case else _LETTER
+    letters = _PLAIN if plain else _FOLDED if fold_case else _LETTER
+    gap = _MARK if plain else _SPACE
     for lo, hi in slices(offsets):
         base = int(offsets[lo])
         part = data[base : int(offsets[hi])]
         cuts = offsets[lo : hi + 1] - base
-        begins = ~_SPACE[part]
+        begins = ~gap[part]
         word = begins.copy()
         inner = cuts[:-1][cuts[:-1] < len(part)]
         after = np.ones(len(part), dtype=bool)
-        after[1:] = _SPACE[part[:-1]]
+        after[1:] = gap[part[:-1]]
         after[inner] = True
         begins &= after
         start = np.flatnonzero(begins)

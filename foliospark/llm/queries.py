@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, jaccard_join, language_id, secret_scans, substring_dedup, url_filters
+from . import best_fit_packing, decontamination, jaccard_join, language_id, secret_scans, substring_dedup, url_filters
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -29,6 +29,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def queries() -> dict:
     return {
         "op1_secret_scans": op1_secret_scans,
         "op2_substring_dedup": op2_substring_dedup,
+        "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_url_filters": op6_url_filters,
         "op7_jaccard_join": op7_jaccard_join,
