@@ -22,6 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ class ItemIndex:
     """Seeds of test items in sorted arrays, for each mask, with a bit table in front."""
 
     def __init__(self, ids: list, texts: list[str | None]):
-        parts = list(words(pa.array(texts, pa.string()), plain=True))
+        parts = list(words(pc.utf8_lower(pa.array(texts, pa.string())), plain=True))
         self.ids = ids
         self.hash = np.concatenate([p.hash for p in parts]) if parts else np.zeros(0, U64)
         doc = np.concatenate([p.doc + p.lo for p in parts]) if parts else np.zeros(0, np.int64)
@@ -90,7 +91,7 @@ def _search(batches: Iterator[pa.RecordBatch], held, window: int, similarity: tu
     index: ItemIndex = held.value
     num, den = similarity
     for batch in batches:
-        ids, text = batch.column(0), batch.column(1)
+        ids, text = batch.column(0), pc.utf8_lower(batch.column(1))
         for w in words(text, plain=True):
             doc, item, shift = index.diagonals(w)
             if not len(doc):
