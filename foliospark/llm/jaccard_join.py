@@ -3,10 +3,13 @@
 1. A document's set is its distinct word shingles (64-bit hashes). Documents with equal sets form a
    class, and its smallest id stands for it.
 2. Sets with J >= t differ in few elements: with the smaller size below U, at most
-   k = (1-t)/t * U. Hash space is cut into more than k + 1 buckets, so two such sets agree on a whole
-   bucket; a signature is the hash of a bucket's content. Bounds on k hold for a range of sizes, so a
-   document signs for its own range and for those of smaller partners. A document with more empty
-   buckets than the spare ones signs those too, which keeps the guarantee.
+   k = (1-t)/t * U. Hash space is cut into somewhat more than k buckets, and a signature is the hash
+   of a bucket's content. In a fixed order of buckets, fewer than k + 1 filled ones come before the
+   first on which two such sets agree, so each document signs its first k + 1. Shingles that very
+   many documents share are left out first, which takes differences away only. A document that is
+   left with too few filled buckets signs all of them and, in name spaces of their own, finer
+   buckets, then those of its whole set. Bounds on k hold for a range of sizes, so a document signs
+   for its own range and for those of smaller partners.
 3. Documents that share a signature are linked to the smallest of them; the components of that graph
    are candidate groups, and every true link lies within one.
 4. Each group, in chunks of bounded size, becomes a signature tree: nodes hold the OR of their
@@ -40,7 +43,9 @@ THRESHOLD = (80, 100)
 CHUNK = 256
 LEAF = 8
 _SHINGLE_BASE = 0xA0761D6478BD642F
-_SPARE = 0.03
+HOT_SHARE = 2e-4
+HOT_LEAST = 50
+MOST_HOT = 4_000_000
 _EMPTY = U64(0x5851F42D4C957F2D)
 
 
@@ -48,19 +53,18 @@ def size_bounds(top: int = 1 << 40) -> np.ndarray:
     """Lower bounds of the size ranges."""
     out = [1]
     while out[-1] < top:
-        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
     return np.array(out, dtype=np.int64)
 
 
 _BOUNDS = size_bounds()
 
 
-def buckets_of(threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of buckets, most buckets that two linked sets can differ in) for each size range."""
+def most_different(threshold: tuple[int, int]) -> np.ndarray:
+    """In how many elements two linked sets can differ, for each range of the smaller size."""
     num, den = threshold
     largest = _BOUNDS[1:] - 1
-    k = (den * largest // num) * (den - num) // den
-    return np.ceil((k + 3) * (1 + _SPARE)).astype(np.int64), k
+    return (den * largest // num) * (den - num) // den
 
 
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,35 +87,66 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts) if len(starts) else values[:0]
 
 
-def _sign(doc: np.ndarray, h: np.ndarray, ranges: np.ndarray, n_buckets: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, signature) for documents whose size range for this role is ``ranges[doc]``, -1 for none."""
-    use = ranges[doc] >= 0
-    doc, h = doc[use], h[use]
+def _fill(doc: np.ndarray, h: np.ndarray, ranges: np.ndarray, n_buckets: np.ndarray, most: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, signature) of the first ``most + 1`` filled buckets, and how many are filled in all."""
     r = ranges[doc]
     bucket = ((h >> U64(32)) * n_buckets[r].astype(U64)) >> U64(32)
     new = np.ones(len(h), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])
     at = np.flatnonzero(new)
-    place = mix(r[at].astype(U64) * U64(1 << 40) + bucket[at] + U64(1))
-    owner, signature = doc[at], mix(_sums(mix(h), at) + place)
+    owner = doc[at]
     filled = np.bincount(owner, minlength=len(ranges))
-    wanted = np.flatnonzero(ranges >= 0)
-    spare = n_buckets[ranges[wanted]] - most[ranges[wanted]] - 1
-    owners, signatures = [owner], [signature]
-    for d in wanted[(n_buckets[ranges[wanted]] - filled[wanted] > spare) & (filled[wanted] > 0)]:
-        void = np.setdiff1d(np.arange(n_buckets[ranges[d]]), bucket[at[owner == d]].astype(np.int64))
-        place = mix(U64(int(ranges[d])) * U64(1 << 40) + void.astype(U64) + U64(1))
-        owners.append(np.full(len(void), d))
-        signatures.append(mix(place + _EMPTY))
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(filled) - filled, filled)
+    first = nth <= most[ranges[owner]]
+    place = mix(r[at].astype(U64) * U64(1 << 40) + bucket[at] + U64(space << 60) + U64(1))
+    return owner[first], mix(_sums(mix(h), at) + place)[first], filled
+
+
+def _sign(doc: np.ndarray, h: np.ndarray, hot: np.ndarray, ranges: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, signature) for documents whose size range for this role is ``ranges[doc]``, -1 for none."""
+    owners, signatures = [], []
+    signing, coarse, fine = ranges >= 0, most + most // 10 + 4, 2 * most + 3
+    for space, (n_buckets, left_out) in enumerate(((coarse, hot), (fine, hot), (coarse, np.zeros_like(hot))), 1):
+        use = signing[doc] & ~left_out
+        owner, signature, filled = _fill(doc[use], h[use], ranges, n_buckets, most, space)
+        owners.append(owner)
+        signatures.append(signature)
+        signing = signing & (filled <= most[ranges])
+    sparse = np.flatnonzero(signing)  # too few filled buckets in every space: these meet each other
+    owners.append(sparse)
+    signatures.append(mix(ranges[sparse].astype(U64) + _EMPTY))
     return np.concatenate(owners), np.concatenate(signatures)
 
 
-def _describe(batches: Iterator[pa.RecordBatch], size: int, threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    n_buckets, most = buckets_of(threshold)
+def _repeated(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Shingles that several documents of a slice have, with their number."""
+    for batch in batches:
+        for w in words(batch.column(0), fold_case=True):
+            shingles, n = np.unique(shingle_sets(w, size)[1], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"shingle": shingles[n > 1].view(np.int64), "n": n[n > 1]})
+
+
+def common_shingles(texts: DataFrame, size: int) -> np.ndarray:
+    """Shingles that a share of about HOT_SHARE of all documents have, sorted.
+
+    No result depends on which these are. A set has as many shingles as words, so their number is at
+    most the words of a document on average over HOT_SHARE; beyond MOST_HOT the rarer ones are not
+    left out.
+    """
+    n_docs = texts.count()
+    found = texts.select("_t").mapInArrow(lambda b: _repeated(b, size), "shingle long, n long")
+    hot = found.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(HOT_LEAST, int(HOT_SHARE * n_docs)))
+    return np.sort(hot.orderBy(F.desc("n")).limit(MOST_HOT).select("shingle").toPandas()["shingle"].to_numpy().astype(np.int64).view(U64))
+
+
+def _describe(batches: Iterator[pa.RecordBatch], size: int, threshold: tuple[int, int], held) -> Iterator[pa.RecordBatch]:
+    most = most_different(threshold)
+    common = np.append(held.value, U64(2**64 - 1))
     for batch in batches:
         ids, text = batch.column(0), batch.column(1)
         for w in words(text, fold_case=True):
             doc, h = shingle_sets(w, size)
+            hot = common[np.searchsorted(common[:-1], h)] == h
             n = np.bincount(doc, minlength=w.hi - w.lo)
             at = np.searchsorted(doc, np.flatnonzero(n))
             f1, f2 = np.zeros(len(n), U64), np.zeros(len(n), U64)
@@ -120,7 +155,7 @@ def _describe(batches: Iterator[pa.RecordBatch], size: int, threshold: tuple[int
             low = np.searchsorted(_BOUNDS, -(-n * threshold[0] // threshold[1]), side="right") - 1
             parts = []
             for back in range(int((own - low)[n > 0].max(initial=0)) + 1):
-                parts.append(_sign(doc, h, np.where((n > 0) & (own - back >= low), own - back, -1), n_buckets, most))
+                parts.append(_sign(doc, h, hot, np.where((n > 0) & (own - back >= low), own - back, -1), most))
             owner = np.concatenate([p[0] for p in parts])
             signature = np.concatenate([p[1] for p in parts])
             order = np.argsort(owner, kind="stable")
@@ -291,8 +326,9 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
+    held = spark.sparkContext.broadcast(common_shingles(texts, shingle))
     described = materialize(
-        texts.mapInArrow(lambda b: _describe(b, shingle, threshold), "_id long, n long, f1 long, f2 long, signatures array<long>"), "described"
+        texts.mapInArrow(lambda b: _describe(b, shingle, threshold, held), "_id long, n long, f1 long, f2 long, signatures array<long>"), "described"
     )
     sized = materialize(described.select("_id", "n", "f1", "f2"), "sized")
     full = sized.filter("n > 0 and _id is not null")
