@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, decontamination, jaccard_join, language_id, secret_scans, substring_dedup, training_order, url_filters
+from . import best_fit_packing, decontamination, embedding_dedup, jaccard_join, language_id, secret_scans, substring_dedup, training_order, url_filters
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -49,6 +49,10 @@ def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.materialise_order(_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
     model = language_id.fit(docs.filter("not held_out"))
@@ -85,6 +89,7 @@ def queries() -> dict:
         "op6_url_filters": op6_url_filters,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_training_order": op8_training_order,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_language_id": op10_language_id,
     }
 
