@@ -31,11 +31,12 @@ def _exclusive_sums(lengths: Column) -> Column:
     return F.flatten(F.zip_with(blocks, scan(totals, F.lit(0)), scan))
 
 
-def match_spans(text: Column, pattern: str, kind: str, order: int, accept=None, gate: Column | None = None) -> Column:
+def match_spans(text: Column, pattern: str, kind: str, order: int, accept=None, gate: Column | None = None, context: int = 0) -> Column:
     """array<struct<start, ord, end, kind>> of the leftmost non-overlapping matches that ``accept`` keeps.
 
     ``pattern`` must not match the empty string. ``gate`` is a cheap test without which no match can
-    exist. Dropped matches still consume their text.
+    exist. Dropped matches still consume their text. With ``context`` the structs also hold the match
+    and that many characters before and after it (m, before, after).
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
@@ -57,9 +58,19 @@ def match_spans(text: Column, pattern: str, kind: str, order: int, accept=None,
             ),
         )
         kept = F.filter(out, lambda s: accept(s["m"])) if accept else out
+        if context:
+            return F.transform(
+                kept,
+                lambda s: F.struct(
+                    s["start"], s["ord"], s["end"], s["kind"], s["m"],
+                    F.substring(text, F.greatest(s["start"] - context, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(context)).cast("int")).alias("before"),
+                    F.substring(text, s["end"].cast("int") + 1, F.lit(context)).alias("after"),
+                ),
+            )
         return F.transform(kept, lambda s: F.struct(s["start"], s["ord"], s["end"], s["kind"]))
 
-    empty = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string>>")
+    extra = ",m:string,before:string,after:string" if context else ""
+    empty = F.array().cast(f"array<struct<start:bigint,ord:int,end:bigint,kind:string{extra}>>")
     some = F.when(F.size(found) > 0, spans(found)).otherwise(empty)
     return F.when(gate, some).otherwise(empty) if gate is not None else some
 

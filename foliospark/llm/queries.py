@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, decontamination, embedding_dedup, jaccard_join, language_id, secret_scans, substring_dedup, training_order, url_filters
+from . import best_fit_packing, decontamination, embedding_dedup, jaccard_join, language_id, pii, secret_scans, substring_dedup, training_order, url_filters
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -29,6 +29,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -84,6 +88,7 @@ def queries() -> dict:
     return {
         "op1_secret_scans": op1_secret_scans,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_pii": op3_pii,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_url_filters": op6_url_filters,
