@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 _LOADED: dict = {}
-_MOST_CHUNKS = 1_000_000
+_MOST = 250_000
 _TAIL = ".,;:!?|)"
 
 
@@ -21,6 +21,30 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Table:
+    """Values by string in two generations: what is not used while the younger fills is dropped."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.young) > _MOST:
+            self.young, self.old = {"": b""}, self.young
+
+    def recall(self, keys: set[str]) -> list[str]:
+        """Bring keys back from the older generation; returns those not known at all."""
+        young, old = self.young, self.old
+        new = []
+        for k in keys:
+            v = old.get(k)
+            if v is None:
+                new.append(k)
+            else:
+                young[k] = v
+        return new
+
+
 class _Vocabulary:
     """A tokenizer with the ids of chunks and of their stems, as little-endian unsigned 32-bit integers."""
 
@@ -30,8 +54,7 @@ class _Vocabulary:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {"": b""}
+        self.chunks, self.stems = _Table(), _Table()
 
     def raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -42,32 +65,37 @@ class _Vocabulary:
         ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, dtype="<u4")
         cuts = np.flatnonzero(self.ends_word[ids]) + 1
         if len(cuts) != len(stems):
-            self.stems.update(zip(stems, self.raw(stems)))
+            self.stems.young.update(zip(stems, self.raw(stems)))
             return
-        data, at = ids.tobytes(), 0
+        data, at, put = ids.tobytes(), 0, self.stems.young
         for stem, cut in zip(stems, (cuts * 4).tolist()):
-            self.stems[stem] = data[at:cut]
+            put[stem] = data[at:cut]
             at = cut
 
     def learn(self, chunks: set[str]) -> None:
-        parts = {}
-        for c in chunks:
+        new = self.chunks.recall(chunks)
+        whole, parts = {}, {}
+        for c in new:
             stem = c.rstrip(_TAIL)
-            if stem == c or not stem[-1:].isalpha():  # a word ends between a letter and one of these marks
-                stem, tail = c, ""
+            if stem != c and stem[-1:].isalpha():  # a word ends between a letter and one of these marks
+                parts[c] = (stem.lower() if stem.isascii() else stem, c[len(stem) :])
             else:
-                tail = c[len(stem) :]
-            parts[c] = (stem.lower() if stem.isascii() else stem, tail)
-        stems = {s for pair in parts.values() for s in pair}.difference(self.stems)
-        if len(self.stems) + len(stems) > _MOST_CHUNKS:
-            self.stems = {"": b""}
-            stems = {s for pair in parts.values() for s in pair if s}
+                whole[c] = c.lower() if c.isascii() else c
+        self.stems.turn()
+        known = self.stems.young
+        stems = {s for pair in parts.values() for s in pair if s not in known}
+        stems.update(s for s in whole.values() if s not in known)
+        stems = self.stems.recall(stems)
         plain = [s for s in stems if s.isalpha()]
-        other = [s for s in stems if not s.isalpha()]
         for i in range(0, len(plain), 5_000):
             self._letters(plain[i : i + 5_000])
-        self.stems.update(zip(other, self.raw(other)))
-        self.chunks.update((c, self.stems[stem] + self.stems[tail]) for c, (stem, tail) in parts.items())
+        other = [s for s in stems if not s.isalpha()]
+        known.update(zip(other, self.raw(other)))
+        put = self.chunks.young
+        for c, stem in whole.items():
+            put[c] = known[stem]
+        for c, (stem, tail) in parts.items():
+            put[c] = known[stem] + known[tail]
 
 
 def encode(texts: list[str | None], path: str, chunked: bool = True) -> list[bytes]:
@@ -77,12 +105,19 @@ def encode(texts: list[str | None], path: str, chunked: bool = True) -> list[byt
     v = _LOADED[path]
     if not chunked:
         return v.raw([t or "" for t in texts])
-    split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-    unknown = set().union(*split).difference(v.chunks)
+    flat = [t.replace("\n", " ") if t else "" for t in texts]
+    sizes = [t.count(" ") + 1 for t in flat]
+    chunks = " ".join(flat).split(" ")
+    v.chunks.turn()
+    ids = list(map(v.chunks.young.get, chunks))
+    unknown = [k for k, x in enumerate(ids) if x is None]
     if unknown:
-        if len(v.chunks) + len(unknown) > _MOST_CHUNKS:
-            v.chunks = {"": b""}
-            unknown = set().union(*split).difference(v.chunks)
-        v.learn(unknown)
-    look = v.chunks.__getitem__
-    return [b"".join(map(look, parts)) for parts in split]
+        v.learn({chunks[k] for k in unknown})
+        known = v.chunks.young
+        for k in unknown:
+            ids[k] = known[chunks[k]]
+    out, at = [], 0
+    for n in sizes:
+        out.append(b"".join(ids[at : at + n]))
+        at += n
+    return out
