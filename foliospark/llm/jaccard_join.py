@@ -341,7 +341,7 @@ def jaccard_components(
     shared = signed.groupBy("signature").agg(F.min("_id").alias("m"), F.max("_id").alias("x")).filter("m < x").select("signature", "m")
     shared = materialize(shared, "shared")
     forget_shuffles(spark)
-    candidates = components(signed.join(shared, "signature").filter("_id <> m").select(F.col("_id").alias("a"), F.col("m").alias("b")))
+    candidates = components(signed.join(shared.hint("merge"), "signature").filter("_id <> m").select(F.col("_id").alias("a"), F.col("m").alias("b")))
     release(signed, shared)
     forget_shuffles(spark)
 
