@@ -44,7 +44,7 @@ CHUNK = 256
 LEAF = 8
 _SHINGLE_BASE = 0xA0761D6478BD642F
 HOT_SHARE = 2e-4
-HOT_LEAST = 50
+HOT_LEAST = 8
 MOST_HOT = 4_000_000
 _EMPTY = U64(0x5851F42D4C957F2D)
 
@@ -338,7 +338,7 @@ def jaccard_components(
     signed = materialize(described.join(reps.hint("shuffle_hash"), "_id", "left_semi").select("_id", F.explode("signatures").alias("signature")), "signatures")
     release(described)
     forget_shuffles(spark)
-    shared = signed.groupBy("signature").agg(F.min("_id").alias("m"), F.max("_id").alias("x")).filter("m < x").select("signature", "m")
+    shared = signed.groupBy("signature").agg(F.min("_id").alias("m"), F.count("*").alias("k")).filter("k > 1").select("signature", "m")
     shared = materialize(shared, "shared")
     forget_shuffles(spark)
     candidates = components(signed.join(shared.hint("merge"), "signature").filter("_id <> m").select(F.col("_id").alias("a"), F.col("m").alias("b")))
