@@ -2,7 +2,7 @@
 
 Words are maximal runs of bytes other than space and 0x09-0x0D. A word's hash is a polynomial in its
 bytes modulo 2**64, finished with a mixing step, so equal words have equal hashes on every executor.
-Work proceeds in slices of a few MB (or one document, if that is longer).
+Work proceeds in slices of half a MB (or one document, if that is longer).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _BLOCK = 4096
 
 

@@ -7,10 +7,16 @@ a bounded table. ``chunked=False`` encodes whole texts, for vocabularies that ke
 
 from __future__ import annotations
 
+from array import array
+from unicodedata import is_normalized
+
 import numpy as np
 
 _LOADED: dict = {}
-_MOST = 250_000
+_MOST = 150_000
+# Byte-level vocabularies write the bytes that do not print as letters from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PRINTED)))}
 _TAIL = ".,;:!?|)"
 
 
@@ -52,8 +58,6 @@ class _Vocabulary:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
-        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.chunks, self.stems = _Table(), _Table()
 
     def raw(self, texts: list[str]) -> list[bytes]:
@@ -61,16 +65,19 @@ class _Vocabulary:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
     def _letters(self, stems: list[str]) -> None:
-        """Stems of letters only are one word each, so one call encodes many; words end at marked ids."""
-        ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, dtype="<u4")
-        cuts = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(cuts) != len(stems):
-            self.stems.young.update(zip(stems, self.raw(stems)))
-            return
-        data, at, put = ids.tobytes(), 0, self.stems.young
-        for stem, cut in zip(stems, (cuts * 4).tolist()):
-            put[stem] = data[at:cut]
-            at = cut
+        """Lower-case composed stems of letters only are one word each: the merges alone give their ids."""
+        put, tokenize = self.stems.young, self.tokenizer.model.tokenize
+        whole = []
+        for stem in stems:
+            if stem.isascii():
+                word = stem
+            elif stem == stem.lower() and is_normalized("NFC", stem):
+                word = stem.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            else:
+                whole.append(stem)
+                continue
+            put[stem] = array("I", [t.id for t in tokenize(word)]).tobytes()
+        put.update(zip(whole, self.raw(whole)))
 
     def learn(self, chunks: set[str]) -> None:
         new = self.chunks.recall(chunks)
@@ -87,8 +94,7 @@ class _Vocabulary:
         stems.update(s for s in whole.values() if s not in known)
         stems = self.stems.recall(stems)
         plain = [s for s in stems if s.isalpha()]
-        for i in range(0, len(plain), 5_000):
-            self._letters(plain[i : i + 5_000])
+        self._letters(plain)
         other = [s for s in stems if not s.isalpha()]
         known.update(zip(other, self.raw(other)))
         put = self.chunks.young
