@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .dictionaries import COUNTRY_INDICATORS, EVIDENCE_PREFIXES, lookup, strings
 from .validators import validate_iban, validate_vat
 
 MIN_SIMILARITY = 0.5
+#: By rule: year absent, year in short form only, company unlikely, company doubtful, VAT number invalid, VAT country differs, IBAN invalid, no evidence of the country.
+PENALTIES = (0.3, 0.05, 0.1, 0.05, 0.2, 0.1, 0.15, 0.05)
+ERRORS = (0, 4, 6)
 
 
 def company_similarity(company: Column, text: Column) -> Column:
     """1 for a substring, else the share of distinct words of three letters or more; at least 0.8 if the first two words occur."""
-    c, t = F.lower(company), F.lower(text)
+    c = F.lower(company)
     words = F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)\b(\w{3,})\b"), F.lit(1)))
-    share = F.size(F.filter(words, lambda w: F.contains(t, w))) / F.size(words)
     first = F.array_join(F.slice(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""), 1, 2), " ")
-    start = (F.length(first) >= 4) & F.contains(t, first)
-    return F.when(F.contains(t, c), 1.0).when(F.size(words) == 0, 0.0).when(start, F.greatest(share, F.lit(0.8))).otherwise(share)
+
+    def score(x: Column) -> Column:
+        share = F.size(F.filter(x["words"], lambda w: F.contains(x["t"], w))) / F.size(x["words"])
+        start = (F.length(x["first"]) >= 4) & F.contains(x["t"], x["first"])
+        return F.when(F.contains(x["t"], x["c"]), 1.0).when(F.size(x["words"]) == 0, 0.0).when(start, F.greatest(share, F.lit(0.8))).otherwise(share)
+
+    return let(F.struct(c.alias("c"), F.lower(text).alias("t"), words.alias("words"), first.alias("first")), score)
 
 
 def country_evidence(country: Column, text: Column) -> Column:
@@ -34,32 +42,48 @@ def country_evidence(country: Column, text: Column) -> Column:
 def check(country: Column, company: Column, year: Column, text: Column, vat: Column | None = None, iban: Column | None = None, min_similarity: float = MIN_SIMILARITY) -> Column:
     """struct<is_valid, penalty, errors, warnings>, in the order year, company, vat, iban, country."""
     t = F.coalesce(text, F.lit(""))
-    y = year.cast("string")
-    short = F.substring(y, -2, 2)
-    far, near = year.isNotNull() & ~F.contains(t, y) & ~F.contains(t, short), year.isNotNull() & ~F.contains(t, y) & F.contains(t, short)
-    s = company_similarity(company, t)
-    percent = F.concat(F.format_string("%.0f", F.bround(s * 100, 0)), F.lit("%)"))
-    has = F.coalesce(company, F.lit("")) != ""
-    weak, low = has & (s < min_similarity), has & (s >= min_similarity) & (s < 0.7)
-    v = validate_vat(vat) if vat is not None else None
-    given_vat = vat.isNotNull() if vat is not None else F.lit(False)
-    bad_vat = given_vat & ~v["is_valid"] if vat is not None else F.lit(False)
-    other = given_vat & v["is_valid"] & (F.lower(country) != F.lower(v["country"])) if vat is not None else F.lit(False)
-    bad_iban = iban.isNotNull() & ~validate_iban(iban)["is_valid"] if iban is not None else F.lit(False)
-    bare = (F.coalesce(country, F.lit("")) != "") & ~country_evidence(country, t)
-    none = F.lit(None).cast("string")
-    rules = [
-        (far, 0.3, F.concat(F.lit("Year "), y, F.lit(" not found in text (possible hallucination)")), True),
-        (near, 0.05, F.concat(F.lit("Year "), y, F.lit(" found only as '"), short, F.lit("'")), False),
-        (weak, 0.1, F.concat(F.lit("Company '"), company, F.lit("' may be hallucinated (similarity: "), percent), False),
-        (low, 0.05, F.concat(F.lit("Company '"), company, F.lit("' has low confidence (similarity: "), percent), False),
-        (bad_vat, 0.2, F.concat(F.lit("Invalid VAT checksum: "), vat if vat is not None else none), True),
-        (other, 0.1, F.concat(F.lit("VAT "), vat, F.lit(" ("), v["country"], F.lit(") doesn't match country "), country) if vat is not None else none, False),
-        (bad_iban, 0.15, F.concat(F.lit("Invalid IBAN: "), iban if iban is not None else none), True),
-        (bare, 0.05, F.concat(F.lit("No strong evidence for country '"), country, F.lit("' in text")), False),
-    ]
-    penalty = F.lit(0.0)
-    for hit, p, _, _ in rules:
-        penalty = penalty + F.when(hit, p).otherwise(0.0)
-    kept = lambda errors: F.filter(F.array(*(F.when(h, m) for h, _, m, e in rules if e == errors)), lambda m: m.isNotNull())
-    return F.struct((F.size(kept(True)) == 0).alias("is_valid"), penalty.alias("penalty"), kept(True).alias("errors"), kept(False).alias("warnings"))
+    values = [company_similarity(company, t).alias("similarity"), country_evidence(country, t).alias("evidence")]
+    if vat is not None:
+        values.append(validate_vat(vat).alias("vat"))
+    if iban is not None:
+        values.append(validate_iban(iban)["is_valid"].alias("iban"))
+
+    def messages(x: Column) -> Column:
+        """One message or null for each rule, in the rules' order."""
+        y = year.cast("string")
+        short = F.substring(y, -2, 2)
+        absent = year.isNotNull() & ~F.contains(t, y)
+        s = x["similarity"]
+        percent = F.concat(F.format_string("%.0f", F.bround(s * 100, 0)), F.lit("%)"))
+        has = F.coalesce(company, F.lit("")) != ""
+        none = F.lit(None).cast("string")
+        bad_vat = other = bad_iban = none
+        if vat is not None:
+            v = x["vat"]
+            bad_vat = F.when(vat.isNotNull() & ~v["is_valid"], F.concat(F.lit("Invalid VAT checksum: "), vat))
+            differs = vat.isNotNull() & v["is_valid"] & (F.lower(country) != F.lower(v["country"]))
+            other = F.when(differs, F.concat(F.lit("VAT "), vat, F.lit(" ("), v["country"], F.lit(") doesn't match country "), country))
+        if iban is not None:
+            bad_iban = F.when(iban.isNotNull() & ~x["iban"], F.concat(F.lit("Invalid IBAN: "), iban))
+        bare = (F.coalesce(country, F.lit("")) != "") & ~x["evidence"]
+        return F.array(
+            F.when(absent & ~F.contains(t, short), F.concat(F.lit("Year "), y, F.lit(" not found in text (possible hallucination)"))),
+            F.when(absent & F.contains(t, short), F.concat(F.lit("Year "), y, F.lit(" found only as '"), short, F.lit("'"))),
+            F.when(has & (s < min_similarity), F.concat(F.lit("Company '"), company, F.lit("' may be hallucinated (similarity: "), percent)),
+            F.when(has & (s >= min_similarity) & (s < 0.7), F.concat(F.lit("Company '"), company, F.lit("' has low confidence (similarity: "), percent)),
+            bad_vat,
+            other,
+            bad_iban,
+            F.when(bare, F.concat(F.lit("No strong evidence for country '"), country, F.lit("' in text"))),
+        )
+
+    def judged(m: Column) -> Column:
+        said = [m[i].isNotNull() for i in range(len(PENALTIES))]
+        penalty = F.lit(0.0)
+        for hit, p in zip(said, PENALTIES):
+            penalty = penalty + F.when(hit, p).otherwise(0.0)
+        kept = lambda at: F.filter(F.array(*(m[i] for i in at)), lambda e: e.isNotNull())
+        warnings = [i for i in range(len(PENALTIES)) if i not in ERRORS]
+        return F.struct((~F.exists(F.array(*(said[i] for i in ERRORS)), lambda e: e)).alias("is_valid"), penalty.alias("penalty"), kept(ERRORS).alias("errors"), kept(warnings).alias("warnings"))
+
+    return let(let(F.struct(*values), messages), judged)

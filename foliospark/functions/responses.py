@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .dictionaries import COUNTRIES, COUNTRY_ALIASES, DOC_TYPE_ALIASES, DOC_TYPE_CATEGORY, lookup, strings
 from .text import trim
 
@@ -16,8 +17,7 @@ PARTIAL = sorted(COUNTRIES, key=lambda c: (-len(c), c))
 
 def _object(text: Column) -> Column:
     """The text if it is one JSON object, else null."""
-    t = trim(text)
-    return F.when(t.rlike(r"(?s)^\{.*\}$") & F.try_parse_json(t).isNotNull() & F.json_object_keys(t).isNotNull(), t)
+    return let(trim(text), lambda t: F.when(t.rlike(r"(?s)^\{.*\}$") & F.try_parse_json(t).isNotNull() & F.json_object_keys(t).isNotNull(), t))
 
 
 def recover_json(raw: Column, attempts: int = 4) -> Column:
@@ -51,16 +51,30 @@ def parse_response(raw: Column, text: Column) -> Column:
     A year counts only if the document holds it and it lies within 1990 to 2030. Numbers in text
     fields are read as their JSON text.
     """
-    found = recover_json(F.coalesce(raw, F.lit("")))
-    a = F.from_json(found, ANSWER)
-    country, kind = normalize_country(a["country"]), normalize_doc_type(a["doc_type"])
-    company = F.when(F.length(a["company"]) > 1, trim(a["company"]))
+    def fields(found: Column) -> Column:
+        a = F.from_json(found, ANSWER)
+        return let(F.struct(found.alias("found"), a.alias("a")), normalised)
+
+    def normalised(x: Column) -> Column:
+        a = x["a"]
+        company = F.when(F.length(a["company"]) > 1, trim(a["company"]))
+        number = a["year"].try_cast("int")
+        values = (
+            x["found"].alias("found"), a.alias("a"), normalize_country(a["country"]).alias("country"), normalize_doc_type(a["doc_type"]).alias("kind"),
+            company.alias("company"), number.alias("number"), F.contains(F.coalesce(text, F.lit("")), number.cast("string")).alias("there"),
+        )
+        return let(F.struct(*values), _checked)
+
+    return let(recover_json(F.coalesce(raw, F.lit(""))), fields)
+
+
+def _checked(x: Column) -> Column:
+    """The answer and its errors from the normalised fields."""
+    a, country, kind, company, number, there = (x[f] for f in ("a", "country", "kind", "company", "number", "there"))
     given = (F.coalesce(a["year"], F.lit("")) != "") & ~a["year"].isin("0", "false")
-    number = a["year"].try_cast("int")
-    there = F.contains(F.coalesce(text, F.lit("")), number.cast("string"))
     errors = F.filter(
         F.array(
-            F.when(found.isNull(), "Failed to parse JSON from response"),
+            F.when(x["found"].isNull(), "Failed to parse JSON from response"),
             F.when((a["country"] != "") & country.isNull(), F.concat(F.lit("Unknown country: "), a["country"])),
             F.when(kind["confidence"] == UNKNOWN, F.concat(F.lit("Unknown doc_type '"), a["doc_type"], F.lit("', mapped to 'unknown'"))),
             F.when(given & number.isNull(), F.concat(F.lit("Invalid year format: "), a["year"])),

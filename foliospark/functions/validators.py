@@ -75,7 +75,7 @@ def validate_vat(vat: Column) -> Column:
     prefix = F.substring(clean, 1, 2)
     key = F.when(prefix == "EL", "GR").otherwise(prefix)
     empty, known = F.coalesce(vat, F.lit("")) == "", key.isin(list(VAT_FORMATS))
-    shaped = _sure(clean.rlike(F.coalesce(lookup(VAT_FORMATS, key), F.lit("^$"))))
+    shaped = _sure(F.rlike(clean, F.coalesce(lookup(VAT_FORMATS, key), F.lit("^$"))))
     country = F.when(known & ~empty, lookup(VAT_PREFIXES, key))
     errors = _errors(
         (empty, "Empty VAT number"),

@@ -76,8 +76,9 @@ def classify(
         return hits.unionByName(from_template(rest, F.when(part, "template_cache_partial").otherwise("no_match"), F.lit(PARTIAL_FACTOR), ~F.col("_short")))
     aside = from_template(misses.filter("_short").withColumn("hit", F.when(F.lit(False), F.col("hit"))), F.lit("no_match"), F.lit(1.0), F.lit(False))
     asked = misses.filter("not _short")
-    answered = asked.join(responder(asked), "doc_id", "left").withColumn("a", parse_response(F.col("raw_response"), F.col("text")))
-    answered = answered.withColumn("g", checks.check(F.col("a.country"), F.col("a.company"), F.col("a.year"), F.col("text")))
+    # exploding an array of one keeps Spark from writing these expressions out once for each of the filters and columns that follow
+    answered = asked.join(responder(asked), "doc_id", "left").withColumn("a", F.explode(F.array(parse_response(F.col("raw_response"), F.col("text")))))
+    answered = answered.withColumn("g", F.explode(F.array(checks.check(F.col("a.country"), F.col("a.company"), F.col("a.year"), F.col("text")))))
     penalty = F.col("g.penalty") if guard else F.lit(0.0)
     lowered = lambda c: F.greatest(F.lit(0.0), F.col(c) - penalty)
     answers = shaped(
