@@ -91,7 +91,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, chunked: bool, size: i
     end = np.array([separator], dtype="<u4").tobytes()
     for batch in batches:
         ids, text = batch.column(0), batch.column(1)
-        for lo, hi in slices(text_buffers(text)[0]):
+        for lo, hi in slices(text_buffers(text)[0], tokens.SLICE_BYTES):
             row, piece, start, length, crc, raw = [], [], [], [], [], []
             for i, data in enumerate(tokens.encode(text.slice(lo, hi - lo).to_pylist(), path, chunked)):
                 data += end

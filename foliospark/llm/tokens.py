@@ -13,7 +13,9 @@ from unicodedata import is_normalized
 import numpy as np
 
 _LOADED: dict = {}
-_MOST = 150_000
+_MOST = 300_000
+#: Texts are encoded in slices of this size: the more of a vocabulary a slice holds, the fewer chunks are learned again.
+SLICE_BYTES = 2 << 20
 # Byte-level vocabularies write the bytes that do not print as letters from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PRINTED)))}

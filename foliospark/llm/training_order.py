@@ -98,7 +98,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, chunked: bool, size
 
     for batch in batches:
         owner, text = batch.column(0).to_pylist(), batch.column(1)
-        for lo, hi in slices(text_buffers(text)[0]):
+        for lo, hi in slices(text_buffers(text)[0], tokens.SLICE_BYTES):
             for i, data in enumerate(tokens.encode(text.slice(lo, hi - lo).to_pylist(), path, chunked)):
                 stream += [data, end]
                 spans.append((owner[lo + i], len(data) // 4 + 1))
