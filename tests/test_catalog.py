@@ -62,7 +62,7 @@ def test_iban(spark, iban, valid):
 
 @pytest.mark.parametrize(
     "vat, valid",
-    [("DE136695976", True), ("DE136695977", False), ("NL123456782B01", True), ("EL123456789", False), ("XX1", False), (None, False)],
+    [("DE136695976", True), ("DE136695977", False), ("NL123456789B01", True), ("NL123456782B01", False), ("EL123456789", False), ("XX1", False), (None, False)],
 )
 def test_vat(spark, vat, valid):
     assert _one(spark, vat, validators.validate_vat)["is_valid"] is valid
