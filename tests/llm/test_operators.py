@@ -418,6 +418,21 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim, n", [(64, 600_000), (64, 10_000_000), (32, 600_000), (8, 2_000_000), (3, 2_000_000), (1, 100)])
+def test_embedding_plan_for_millions(dim, n):
+    limit, words = embedding_dedup.plan_filters(n, 0.9, dim)
+    r = np.random.default_rng(8)
+    x, z = r.standard_normal((2, 100, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if dim > 1:
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.9 * x + np.sqrt(0.19) * z if dim > 1 else x
+    code = embedding_dedup.ProductCode(dim, words)
+    a, b = (set(zip(*map(np.ndarray.tolist, code.decode(u, limit)))) for u in (x, y))
+    assert len({i for i, _ in a & b}) >= 93
+
+
 # --- op10 -------------------------------------------------------------------------------------
 
 
