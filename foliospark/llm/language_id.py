@@ -3,9 +3,12 @@
 Letters are lower-cased, everything else between them is one space. The count pass runs over all
 labelled texts: tasks count 4-grams, Spark sums them by language, and the lower orders follow as
 continuation counts. The models are sorted arrays of 64-bit hashes with a log probability per
-language beside each. They are sent to the executors, so their size is checked: if more than
-``max_grams`` distinct 4-grams occur (a limit that natural alphabets stay far below), the order of
-the models is lowered until they fit. A text is given the language of the lowest cross-entropy per
+language beside each. All that a 4-gram needs hangs on its third character but the counts of single
+characters and the discounts, so beyond ``max_grams`` rows of (language, 4-gram), or ``MAX_CELLS`` of
+rows times languages, tasks train the models in pieces, each with the grams of some third characters.
+Texts meet one piece after the other, so only one is held at a time; a piece is as large as the bound
+or as the grams of its one character. The order and the results do not depend on the number of pieces,
+but for rounding. A text is given the language of the lowest cross-entropy per
 character. A bounded sample (``calibration_docs``, chosen by hash) of the labelled texts calibrates
 the temperature of the score and the cross-entropy beyond which a text is rejected.
 
@@ -16,10 +19,12 @@ text and the label are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +33,13 @@ from .kernels import U64, mix, slices, text_buffers
 from .store import materialize
 
 ORDER = 4
-MAX_GRAMS = 20_000_000
+MAX_GRAMS = 4_000_000
+MAX_CELLS = 16_000_000
 CALIBRATION_DOCS = 20_000
 UNKNOWN = "und"
 _PENDING = 4_000_000
+_SLAB_BYTES = 2 << 20  # of text that meets the pieces at once
+_BLOB_BYTES = 8 << 20
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 
 
@@ -124,7 +132,10 @@ def _look(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Sorted hash arrays: log probabilities of 4-grams, and what unseen ones back off to."""
+    """Sorted hash arrays: log probabilities of 4-grams, and what unseen ones back off to.
+
+    With ``pieces`` (broadcasts of models) the arrays are theirs, and ``part_of`` names the piece of a third character.
+    """
 
     langs: list[str]
     order: int
@@ -159,6 +170,8 @@ class Model:
         return out
 
     top: tuple = ()
+    pieces: list = field(default_factory=list)
+    part_of: np.ndarray | None = None
 
 
 _LOW = U64((1 << 21) - 1)
@@ -175,7 +188,31 @@ def _context(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, last >> U64(21) << U64(21)
 
 
-def _kneser_ney(first, last, lang, n, n_langs):
+def _orders(first, last, lang, n) -> list[tuple]:
+    """(first, last, language, count) of each order from 4-grams down; below those, how many different characters precede."""
+    out, g = [(first, last, lang, n)], lang
+    for drop in range(1, 4):
+        sf, sl = _shorten(first, last, drop)
+        if drop > 1:
+            pf, pl = _shorten(first, last, drop - 1)
+            _, at = np.unique(np.stack([pf, pl, lang.astype(U64)]), axis=1, return_index=True)
+            sf, sl, g = sf[at], sl[at], lang[at]
+        _, at, inverse = np.unique(np.stack([sf, sl, g.astype(U64)]), axis=1, return_index=True, return_inverse=True)
+        out.append((sf[at], sl[at], g[at], np.bincount(inverse.ravel())))
+    return out
+
+
+def _seen(lang, n, n_langs: int) -> np.ndarray:
+    """How many grams of each language occur once, and twice."""
+    return np.stack([np.bincount(lang[n == m], minlength=n_langs) for m in (1, 2)])
+
+
+def _discount(seen: np.ndarray) -> np.ndarray:
+    once, twice = seen
+    return np.clip(np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.05, 0.95)
+
+
+def _kneser_ney(first, last, lang, n, n_langs, discount):
     """(gram keys, shares, context keys, weights) of one order; the last row of each table is for what is missing."""
     grams, at = np.unique(_key(first, last), return_inverse=True)
     contexts, cat = np.unique(_key(*_context(first, last)), return_inverse=True)
@@ -185,11 +222,6 @@ def _kneser_ney(first, last, lang, n, n_langs):
     kinds = np.zeros_like(total)
     np.add.at(total, (cat, lang), n)
     np.add.at(kinds, (cat, lang), 1)
-    discount = np.empty(n_langs)
-    for k in range(n_langs):
-        once, twice = ((n == m) & (lang == k) for m in (1, 2))
-        discount[k] = once.sum() / (once.sum() + 2 * twice.sum()) if once.any() else 0.5
-    discount = np.clip(discount, 0.05, 0.95)
     context_of = np.zeros(len(grams), dtype=np.int64)
     context_of[at] = cat
     shares = np.zeros_like(counts)
@@ -199,25 +231,13 @@ def _kneser_ney(first, last, lang, n, n_langs):
     return grams, shares, contexts, weights
 
 
-def train(grams, order: int) -> Model:
-    """The models from a pandas table (lang, first, last, n) of distinct rows."""
-    langs = sorted(grams["lang"].unique())
-    lang = np.searchsorted(np.array(langs, dtype=object), grams["lang"].to_numpy(dtype=object)) if langs else np.zeros(0, int)
-    first, last = (grams[c].to_numpy().astype(np.int64).view(U64) for c in ("first", "last"))
-    n = grams["n"].to_numpy()
+def _build(orders: list[tuple], discounts: list[np.ndarray], singles: tuple, langs: list[str], order: int) -> Model:
+    """A model of these grams; ``singles`` is the level of single characters over the whole corpus."""
     size = len(langs)
-    top = _kneser_ney(first, last, lang, n, size)
-    levels, f, l, g = [], first, last, lang
-    for drop in range(1, 4):
-        # how many different characters precede the shorter gram
-        sf, sl = _shorten(f, l, 1) if drop == 1 else _shorten(first, last, drop)
-        if drop > 1:
-            pf, pl = _shorten(first, last, drop - 1)
-            _, at = np.unique(np.stack([pf, pl, lang.astype(U64)]), axis=1, return_index=True)
-            sf, sl, g = sf[at], sl[at], lang[at]
-        _, at, inverse = np.unique(np.stack([sf, sl, g.astype(U64)]), axis=1, return_index=True, return_inverse=True)
-        levels.append(_kneser_ney(sf[at], sl[at], g[at], np.bincount(inverse.ravel()), size))
-    vocabulary = max(2, len(levels[-1][0]))
+    top, *levels = (_kneser_ney(*x, size, d) for x, d in zip(orders[:3], discounts))
+    levels.append(singles)
+    first, last = orders[0][:2]
+    vocabulary = max(2, len(singles[0]))
     model = Model(langs, order, top[0], np.zeros((0, size)), levels, 1.0 / (vocabulary + 1))
     model.top = (top[2], top[3])
     _, at = np.unique(_key(first, last), return_index=True)
@@ -227,26 +247,118 @@ def train(grams, order: int) -> Model:
     return model
 
 
-def _entropies(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _arrays(grams, langs: list[str]) -> tuple:
+    lang = np.searchsorted(np.array(langs, dtype=object), grams["lang"].to_numpy(dtype=object)) if langs else np.zeros(0, int)
+    first, last = (grams[c].to_numpy().astype(np.int64).view(U64) for c in ("first", "last"))
+    return first, last, lang, grams["n"].to_numpy()
+
+
+def train(grams, order: int) -> Model:
+    """The models from a pandas table (lang, first, last, n) of distinct rows."""
+    langs = sorted(grams["lang"].unique())
+    orders = _orders(*_arrays(grams, langs))
+    discounts = [_discount(_seen(lang, n, len(langs))) for *_, lang, n in orders]
+    return _build(orders, discounts, _kneser_ney(*orders[3], len(langs), discounts[3]), langs, order)
+
+
+def _pack(sizes: list[tuple[int, int]], bound: int) -> list[tuple[int, int]]:
+    """(character, piece): pieces of at most ``bound`` rows, or of one character."""
+    out, piece, held = [], 0, 0
+    for character, n in sorted(sizes):
+        if held and held + n > bound:
+            piece, held = piece + 1, 0
+        out.append((character, piece))
+        held += n
+    return out
+
+
+def _train_pieces(grams: DataFrame, packed: list[tuple[int, int]], langs: list[str], order: int) -> Model:
+    """The same models in pieces: one pass sums what all pieces share, a second one trains them."""
+    spark = grams.sparkSession
+    parts = spark.createDataFrame(packed, "third long, part int")
+    parted = materialize(grams.withColumn("third", F.shiftrightunsigned("last", 21)).join(F.broadcast(parts), "third").drop("third"), "parted")
+    size = len(langs)
+
+    def shared(rows: pd.DataFrame) -> pd.DataFrame:
+        orders = _orders(*_arrays(rows, langs))
+        out = []
+        for level, (_, last, lang, n) in enumerate(orders):
+            if level == 3:
+                out.append(pd.DataFrame({"level": level, "lang": lang, "x": last.view(np.int64), "n": n}))
+            else:
+                seen = _seen(lang, n, size)
+                out += [pd.DataFrame({"level": level, "lang": np.arange(size), "x": m, "n": seen[m]}) for m in (0, 1)]
+        return pd.concat(out)
+
+    sums = parted.groupBy("part").applyInPandas(shared, "level int, lang long, x long, n long").groupBy("level", "lang", "x").agg(F.sum("n").alias("n")).toPandas()
+    discounts = []
+    for level in range(3):
+        seen, mine = np.zeros((2, size), dtype=np.int64), sums[sums["level"] == level]
+        seen[mine["x"], mine["lang"]] = mine["n"]
+        discounts.append(_discount(seen))
+    single = sums[sums["level"] == 3].sort_values(["x", "lang"])
+    last, lang, n = single["x"].to_numpy().view(U64), single["lang"].to_numpy(), single["n"].to_numpy()
+    singles = _kneser_ney(np.zeros_like(last), last, lang, n, size, _discount(_seen(lang, n, size)))
+    held = spark.sparkContext.broadcast((discounts, singles))
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        discounts, singles = held.value
+        blob = pickle.dumps(_build(_orders(*_arrays(rows, langs)), discounts, singles, langs, order), protocol=5)
+        cuts = range(0, len(blob), _BLOB_BYTES)
+        return pd.DataFrame({"part": rows["part"].iloc[0], "at": list(cuts), "blob": [blob[at : at + _BLOB_BYTES] for at in cuts]})
+
+    built = materialize(parted.groupBy("part").applyInPandas(build, "part int, at long, blob binary"), "pieces")
+    model = Model(langs, order, np.zeros(0, U64), np.zeros((0, size)), [], 1.0 / (max(2, len(singles[0])) + 1))
+    model.part_of = np.zeros(1 << 21, dtype=np.int32)
+    model.part_of[[c for c, _ in packed]] = [k for _, k in packed]
+    for k in range(packed[-1][1] + 1):
+        blobs = sorted(built.filter(F.col("part") == k).select("at", "blob").collect())
+        model.pieces.append(spark.sparkContext.broadcast(pickle.loads(b"".join(bytes(r.blob) for r in blobs))))
+    return model
+
+
+def _send(spark, model: Model) -> tuple:
+    """Broadcasts of a model and its pieces; those of a model within another would not reach the tasks."""
+    return spark.sparkContext.broadcast(replace(model, pieces=[])), model.pieces
+
+
+def _slices(text: pa.Array, pieces: list) -> Iterator[tuple[int, int]]:
+    return slices(text_buffers(text)[0], _SLAB_BYTES) if pieces else slices(text_buffers(text)[0])
+
+
+def _sums(doc, first, last, model: Model, out: np.ndarray) -> None:
+    """Adds the log probabilities of each text's grams to its row."""
+    if len(doc) and model.langs:
+        some, starts = np.unique(doc, return_index=True)
+        out[some] += np.add.reduceat(model.log_probabilities(first, last), starts, axis=0, dtype=np.float64)
+
+
+def _entropies(texts: list[str | None], model: Model, pieces: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(characters, has a letter, log likelihood by language) of each text."""
     doc, first, last = _grams(texts, model.order)
     n = np.bincount(doc, minlength=len(texts))
     letters = np.bincount(doc, weights=(last & _LOW) != 32, minlength=len(texts)) > 0
     out = np.zeros((len(texts), len(model.langs)))
-    some = np.flatnonzero(n)
-    if len(some) and model.langs:
-        out[some] = np.add.reduceat(model.log_probabilities(first, last), np.searchsorted(doc, some), axis=0, dtype=np.float64)
+    if not pieces:
+        _sums(doc, first, last, model, out)
+        return n, letters, out
+    part = model.part_of[last >> U64(21)]
+    for k, piece in enumerate(pieces):
+        at = np.flatnonzero(part == k)
+        if len(at):
+            _sums(doc[at], first[at], last[at], piece.value, out)
+            vars(piece).pop("_value", None)  # the next piece takes its place in memory
     return n, letters, out
 
 
-def _score(batches: Iterator[pa.RecordBatch], held, keep_text: bool) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], held, pieces: list, keep_text: bool) -> Iterator[pa.RecordBatch]:
     model: Model = held.value
     names = np.array([*model.langs, UNKNOWN], dtype=object)
     for batch in batches:
         text = batch.column(batch.num_columns - 1)
         last = batch.num_columns if keep_text else batch.num_columns - 1
-        for lo, hi in slices(text_buffers(text)[0]):
-            n, letters, ll = _entropies(text.slice(lo, hi - lo).to_pylist(), model)
+        for lo, hi in _slices(text, pieces):
+            n, letters, ll = _entropies(text.slice(lo, hi - lo).to_pylist(), model, pieces)
             known = letters & bool(model.langs)
             best = np.where(known, ll.argmax(axis=1), len(model.langs)) if model.langs else np.zeros(len(n), np.int64)
             h = np.divide(-ll.max(axis=1, initial=-np.inf), n, out=np.full(len(n), np.nan), where=known)
@@ -298,11 +410,11 @@ def _calibrate(model: Model, sample) -> None:
     model.limit = max(8.0, 2.0 * float(z.max(initial=0.0)))
 
 
-def _sampled(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch], held, pieces: list) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column(1)
-        for lo, hi in slices(text_buffers(text)[0]):
-            n, _, ll = _entropies(text.slice(lo, hi - lo).to_pylist(), held.value)
+        for lo, hi in _slices(text, pieces):
+            n, _, ll = _entropies(text.slice(lo, hi - lo).to_pylist(), held.value, pieces)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(ll.tolist(), pa.list_(pa.float64()))], names=["lang", "n", "ll"])
 
 
@@ -312,28 +424,30 @@ def fit(
     """Models of every language in ``labelled``; rows without a label or a text teach nothing."""
     spark = labelled.sparkSession
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("_t"))
-    while True:
-        counts = rows.mapInArrow(lambda b, o=order: _count(b, o), "lang string, first long, last long, n long")
-        grams = materialize(counts.groupBy("lang", "first", "last").agg(F.sum("n").alias("n")), "grams")
-        if order == 2 or grams.count() <= max_grams:
-            break
-        order -= 1
-    model = train(grams.toPandas(), order)
+    counts = rows.mapInArrow(lambda b: _count(b, order), "lang string, first long, last long, n long")
+    grams = materialize(counts.groupBy("lang", "first", "last").agg(F.sum("n").alias("n")), "grams")
+    langs = sorted(r.lang for r in grams.select("lang").distinct().collect())
+    bound = max(1, min(max_grams, MAX_CELLS // max(1, len(langs))))
+    if grams.count() <= bound:
+        model = train(grams.toPandas(), order)
+    else:
+        sizes = grams.groupBy(F.shiftrightunsigned("last", 21).alias("third")).count().collect()
+        model = _train_pieces(grams, _pack([tuple(r) for r in sizes], bound), langs, order)
     if model.langs:
         share = min(1.0, calibration_docs / max(1, rows.count()))
         sample = rows.filter(F.pmod(F.xxhash64("_t"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003)))
-        held = spark.sparkContext.broadcast(model)
-        _calibrate(model, sample.mapInArrow(lambda b: _sampled(b, held), "lang string, n long, ll array<double>").toPandas())
+        held, pieces = _send(spark, model)
+        _calibrate(model, sample.mapInArrow(lambda b: _sampled(b, held, pieces), "lang string, n long, ll array<double>").toPandas())
     return model
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, keep_text: bool = False) -> DataFrame:
     """The columns ``keep`` of every row (and the text, if asked) with lang_pred, score, cross_entropy (nats a character) and rejected."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, pieces = _send(docs.sparkSession, model)
     rows = docs.select(*(keep or ["doc_id"]), F.col(text_col))
     carried = rows.dtypes if keep_text else rows.dtypes[:-1]
     schema = ", ".join(f"`{c}` {t}" for c, t in carried) + ", lang_pred string, score double, cross_entropy double, rejected boolean"
-    return rows.mapInArrow(lambda b: _score(b, held, keep_text), schema)
+    return rows.mapInArrow(lambda b: _score(b, held, pieces, keep_text), schema)
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:

@@ -452,6 +452,18 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict(odd, empty).collect()} == {"und"}
 
 
+def test_language_id_order_at_any_size(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    whole, parts = language_id.fit(docs), language_id.fit(docs, max_grams=3000)
+    assert parts.order == whole.order == 4 and len(parts.pieces) > 3
+    one, two = (by_id(language_id.predict(docs, m)) for m in (whole, parts))
+    assert one.keys() == two.keys()
+    for key, rows in one.items():
+        for a, b in zip(rows, two[key]):
+            assert (a.lang_pred, a.rejected) == (b.lang_pred, b.rejected)
+            assert a.score == pytest.approx(b.score, abs=1e-6) and a.cross_entropy == pytest.approx(b.cross_entropy, rel=1e-6)
+
+
 def test_kneser_ney_sums_to_one():
     import pandas as pd
 
