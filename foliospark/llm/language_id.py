@@ -9,8 +9,15 @@ rows times languages, tasks train the models in pieces, each with the grams of s
 Texts meet one piece after the other, so only one is held at a time; a piece is as large as the bound
 or as the grams of its one character. The order and the results do not depend on the number of pieces,
 but for rounding. A text is given the language of the lowest cross-entropy per
-character. A bounded sample (``calibration_docs``, chosen by hash) of the labelled texts calibrates
-the temperature of the score and the cross-entropy beyond which a text is rejected.
+character.
+
+A fold of the labelled texts, by text so that copies stay together, teaches nothing and calibrates:
+a bounded sample of it (``calibration_docs``, chosen by hash) gives the temperature of the score and,
+for each language, the centre and variance of the cross-entropy of correctly labelled texts, both
+linear in 1 / length. A text is rejected beyond the limit that ``FALSE_REJECTION`` of them are expected
+to exceed. The limit continues the upper tenth as a Pareto tail through its median, at every size of the
+sample, so single outliers do not move it. A language whose texts are all in the fold is learned from them. One with too few calibrating
+texts takes the variance of all; one without any rejects nothing.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected. Without
 any labelled text all are ``und``. Rows that repeat are judged alike. Columns other than the id, the
@@ -36,6 +43,9 @@ ORDER = 4
 MAX_GRAMS = 4_000_000
 MAX_CELLS = 16_000_000
 CALIBRATION_DOCS = 20_000
+FALSE_REJECTION = 0.002
+FOLDS = 5
+_TAIL, _FEW, _BINS, _LEAST_POWER = 0.1, 50, 10, 0.4
 UNKNOWN = "und"
 _PENDING = 4_000_000
 _SLAB_BYTES = 2 << 20  # of text that meets the pieces at once
@@ -144,8 +154,8 @@ class Model:
     levels: list  # from trigrams down: (gram keys, discounted shares, context keys, weight of the level below)
     floor: float
     temperature: float = 1.0
-    centre: np.ndarray | None = None
-    spread: np.ndarray | None = None
+    centre: np.ndarray | None = None  # (langs, 2): constant, and factor of 1 / length
+    variance: np.ndarray | None = None  # likewise
     limit: float = np.inf
 
     def backed_off(self, first: np.ndarray, last: np.ndarray, level: int = 0) -> np.ndarray:
@@ -365,8 +375,7 @@ def _score(batches: Iterator[pa.RecordBatch], held, pieces: list, keep_text: boo
             score = _posterior(ll, n, model.temperature) if model.langs else np.zeros(len(n))
             odd = np.zeros(len(n), dtype=bool)
             if model.centre is not None and known.any():
-                k = best[known]
-                odd[known] = (h[known] - model.centre[k]) * np.sqrt(n[known]) / model.spread[k] > model.limit
+                odd[known] = _deviation(model, best[known], h[known], n[known]) > model.limit
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(i).slice(lo, hi - lo) for i in range(last)),
@@ -399,15 +408,50 @@ def _calibrate(model: Model, sample) -> None:
 
     model.temperature = min((2.0**k for k in np.arange(-6, 4, 0.5)), key=loss)
     h = -ll.max(axis=1) / n
-    model.centre, model.spread = np.zeros(len(model.langs)), np.ones(len(model.langs))
-    z = np.zeros(len(n))
-    for k in range(len(model.langs)):
+    size = len(model.langs)
+    model.centre, model.variance = np.zeros((size, 2)), np.full((size, 2), np.nan)
+    rest = np.full(len(n), np.nan)
+    for k in range(size):
+        own = correct & (truth == k)
+        if own.any():
+            model.centre[k] = _line(n[own], h[own], np.median) if own.sum() >= _FEW else (np.median(h[own]), 0.0)
+            rest[own] = h[own] - model.centre[k] @ [np.ones(own.sum()), 1 / n[own]]
+    if not correct.any():
+        return
+    pooled = _line(n[correct], np.abs(rest[correct]), _mad)
+    for k in range(size):
         own = correct & (truth == k)
         if own.any():
-            model.centre[k] = np.average(h[own], weights=n[own])
-            model.spread[k] = max(np.sqrt(np.mean((h[own] - model.centre[k]) ** 2 * n[own])), 1e-6)
-            z[own] = (h[own] - model.centre[k]) * np.sqrt(n[own]) / model.spread[k]
-    model.limit = max(8.0, 2.0 * float(z.max(initial=0.0)))
+            model.variance[k] = _line(n[own], np.abs(rest[own]), _mad) if own.sum() >= _FEW else pooled
+    z = _deviation(model, truth[correct], h[correct], n[correct])
+    start = max(float(np.quantile(z, 1 - _TAIL)), 1.0)
+    beyond = z[z > start]
+    power = max(float(np.median(np.log(beyond / start))) / np.log(2), _LEAST_POWER) if len(beyond) else _LEAST_POWER
+    model.limit = start * (_TAIL / FALSE_REJECTION) ** power
+
+
+def _mad(x: np.ndarray) -> float:
+    """Variance of a normal distribution with this median of absolute deviations."""
+    return float((1.4826 * np.median(x)) ** 2)
+
+
+def _line(n: np.ndarray, values: np.ndarray, summary) -> np.ndarray:
+    """(constant, factor of 1 / length), neither below 0, through a robust summary of texts of like length."""
+    groups = [g for g in np.array_split(np.argsort(n, kind="stable"), min(_BINS, max(1, len(n) // 20))) if len(g)]
+    x, y = np.array([np.mean(1 / n[g]) for g in groups]), np.array([summary(values[g]) for g in groups])
+    if len(x) > 1 and np.ptp(x) > 0:
+        slope, constant = np.polyfit(x, y, 1)
+        if slope >= 0 and constant >= 0:
+            return np.array([constant, slope])
+        if constant < 0:
+            return np.array([0.0, float((x * y).sum() / (x * x).sum())])
+    return np.array([float(y.mean()), 0.0])
+
+
+def _deviation(model: Model, k: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Standard deviations above the centre of language k; not a number where the language has none."""
+    centre, variance = (x[k, 0] + x[k, 1] / n for x in (model.centre, model.variance))
+    return (h - centre) / np.sqrt(np.maximum(variance, 1e-6))
 
 
 def _sampled(batches: Iterator[pa.RecordBatch], held, pieces: list) -> Iterator[pa.RecordBatch]:
@@ -419,12 +463,20 @@ def _sampled(batches: Iterator[pa.RecordBatch], held, pieces: list) -> Iterator[
 
 
 def fit(
-    labelled: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, calibration_docs: int = CALIBRATION_DOCS, text_col: str = "text", lang_col: str = "lang"
+    labelled: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, calibration_docs: int = CALIBRATION_DOCS, text_col: str = "text", lang_col: str = "lang",
+    fold: tuple[int, int] = (0, FOLDS),
 ) -> Model:
-    """Models of every language in ``labelled``; rows without a label or a text teach nothing."""
+    """Models of every language in ``labelled``; rows without a label or a text teach nothing.
+
+    The texts of ``fold`` (see ``in_fold``) calibrate and do not teach, unless their language has no others.
+    """
     spark = labelled.sparkSession
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("_t"))
-    counts = rows.mapInArrow(lambda b: _count(b, order), "lang string, first long, last long, n long")
+    rows = rows.withColumn("_apart", in_fold("_t", *fold))
+    alone = [r.lang for r in rows.groupBy("lang").agg(F.bool_and("_apart").alias("all")).filter("all").collect()]
+    taught = rows.filter(~F.col("_apart") | F.col("lang").isin(alone)).select("lang", "_t")
+    rows = rows.filter("_apart").select("lang", "_t")
+    counts = taught.mapInArrow(lambda b: _count(b, order), "lang string, first long, last long, n long")
     grams = materialize(counts.groupBy("lang", "first", "last").agg(F.sum("n").alias("n")), "grams")
     langs = sorted(r.lang for r in grams.select("lang").distinct().collect())
     bound = max(1, min(max_grams, MAX_CELLS // max(1, len(langs))))
@@ -450,6 +502,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     return rows.mapInArrow(lambda b: _score(b, held, pieces, keep_text), schema)
 
 
+def in_fold(text_col: str, k: int, folds: int) -> Column:
+    """Whether a text belongs to fold k; equal texts share a fold."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(folds)), F.lit(folds)) == k
+
+
 def held_out(id_col: str | Column = "doc_id") -> Column:
     """Whether a document belongs to the fold that teaches nothing."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

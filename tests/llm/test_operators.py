@@ -464,6 +464,18 @@ def test_language_id_order_at_any_size(spark):
             assert a.score == pytest.approx(b.score, abs=1e-6) and a.cross_entropy == pytest.approx(b.cross_entropy, rel=1e-6)
 
 
+def test_language_rejects_labelled_junk(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    r = random.Random(4)
+    junk = ["".join(r.choice("bcdfghjklmnpqrstvwxz ") for _ in range(600)) for _ in range(5)]
+    odd = spark.createDataFrame([(10**9 + i, t, "en", "s", len(t)) for i, t in enumerate(junk)], docs.schema)
+    kept = {row.doc_id for row in corpus_pipeline.language(spark, docs.unionByName(odd), "").collect()}
+    clean = {row.doc_id for row in docs.collect()}
+    assert not any(k >= 10**9 for k in kept) and len(clean & kept) >= 0.99 * len(clean)
+
+
 def test_kneser_ney_sums_to_one():
     import pandas as pd
 
