@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities, guard, paths, responses, text, validators
 from ..functions.dictionaries import VAT_FORMATS
-from ..operators import chat, progress, reports, templates
+from ..operators import chat, likeness, progress, reports, templates
 from ..plans.classify import can_use_llm, classify, learn_from
 from ..plans.organize import organize_plan
 from .inputs import ENDPOINTS, INVOICES, PROGRESS, answers, endpoint_log, invoices, progress_seed, table, template_seed
@@ -420,12 +420,8 @@ def round_robin(spark, sf_dir):
 
 @query()
 def fingerprint_similarity(spark, sf_dir):
-    """Pairs of documents with equal headers: their distinct generator fingerprints compared with the header's first."""
-    g = text.generator_fingerprint(table(spark, sf_dir, "documents")).select("doc_id", "g_full", "g_header", "g_structure", "g_hint")
-    first = g.groupBy("g_header").agg(F.min_by(F.struct("doc_id", "g_full", "g_structure", "g_hint"), "doc_id").alias("f"))
-    side = lambda p: {"full": F.col(f"{p}g_full"), "structure": F.col(f"{p}g_structure"), "hint": F.col(f"{p}g_hint"), "header": F.col("g_header")}
-    pairs = g.join(first, "g_header").filter(F.col("doc_id") > F.col("f.doc_id"))
-    return pairs.select(F.col("f.doc_id").alias("a"), F.col("doc_id").alias("b"), text.similarity(side(""), side("f.")).alias("similarity"))
+    """Pairs of fingerprints with equal header, structure or hint, or a contained hint; equal fingerprints count as one."""
+    return likeness.similar_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

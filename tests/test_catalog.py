@@ -9,8 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.functions import guard, responses, validators
-from foliospark.operators import templates
+from foliospark.functions import guard, responses, text, validators
+from foliospark.operators import likeness, templates
 from foliospark.plans.classify import classify
 from foliospark.queries import catalog
 
@@ -96,3 +96,30 @@ def test_short_text_is_set_aside(spark):
     rows = classify(docs, spark.createDataFrame([], templates.TEMPLATE)).collect()
     assert sorted(r["doc_id"] for r in rows) == [1, 2]
     assert {r["source"] for r in rows} == {"no_match"} and not any(r["is_valid"] for r in rows)
+
+
+def test_similar_pairs_against_brute_force(spark):
+    shapes = ["", "IBAN DE89370400440532013000", "Total: 12.50 EUR", "VAT DE136695976"]
+    names = ["Alpha Beta GMBH", "Alpha GMBH", "Gamma Alpha Beta GMBH", "Lambda AG", "nothing"]
+    texts = [f"{names[i % 5]}\n{'text ' * (i % 7)}{chr(97 + i % 11) * 3}\n{shapes[i % 4]}" for i in range(80)] + ["", None, "same", "same"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = {r["doc_id"]: r for r in text.generator_fingerprint(docs).collect()}
+
+    def score(x, y):
+        if x["g_full"] == y["g_full"]:
+            return 1.0
+        s, p, q = 0.6 * (x["g_header"] == y["g_header"]) + 0.3 * (x["g_structure"] == y["g_structure"]), x["g_hint"], y["g_hint"]
+        return round(s + (0.1 if p == q else 0.05 if p in q or q in p else 0.0 if p and q else 0.0) if p and q else s, 6)
+
+    want = {(a, b): score(prints[a], prints[b]) for a in prints for b in prints if a < b}
+    want = {k: v for k, v in want.items() if v > 0}
+    for block in (2000, 3):
+        rows = [(r["a"], r["b"], round(r["similarity"], 6)) for r in likeness.similar_pairs(docs, block=block).collect()]
+        assert len({r[:2] for r in rows}) == len(rows)
+        members = {i: [i] for i in prints}
+        for a, b, s in rows:
+            if s == 1.0:
+                members[a].append(b)
+        got = {(min(x, y), max(x, y)): s for a, b, s in rows if s < 1 for x in members[a] for y in members[b]}
+        got |= {(x, y): 1.0 for m in members.values() for x in m for y in m if x < y}
+        assert got == want and 0.05 in want.values() and 0.1 in want.values()
