@@ -226,6 +226,13 @@ def template_match(spark, sf_dir):
     return m.select("doc_id", own("tier").alias("tier"), own("hit.id").alias("template_id"), own("hit.country").alias("country"), own("hit.confidence").alias("confidence"))
 
 
+@query()
+def template_match_tiers(spark, sf_dir):
+    """All three tiers; the SQL of ``template_match`` has no containment tier."""
+    hit = (F.col(f"hit.{f}").alias(a) for f, a in (("id", "template_id"), ("country", "country"), ("confidence", "confidence")))
+    return _matched(spark, sf_dir).select("doc_id", "tier", *hit)
+
+
 @query(
     f"""WITH {SEED} SELECT count(*) AS total_templates, count(DISTINCT country) AS countries, count(DISTINCT company) AS companies, min(created_at) AS oldest, max(created_at) AS newest FROM templates"""
 )

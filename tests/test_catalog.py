@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import guard, responses, text, validators
 from foliospark.operators import likeness, templates
 from foliospark.plans.classify import classify
-from foliospark.queries import catalog
+from foliospark.queries import catalog, inputs
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = [f.removesuffix(".parquet") for f in sorted(os.listdir(SF_DIR)) if f.endswith(".parquet")]
@@ -123,3 +123,28 @@ def test_similar_pairs_against_brute_force(spark):
         got = {(min(x, y), max(x, y)): s for a, b, s in rows if s < 1 for x in members[a] for y in members[b]}
         got |= {(x, y): 1.0 for m in members.values() for x in m for y in m if x < y}
         assert got == want and 0.05 in want.values() and 0.1 in want.values()
+
+
+def test_template_tiers_against_brute_force(spark, monkeypatch):
+    names = ["Alpha Beta GMBH", "Alpha GMBH", "Gamma Alpha Beta GMBH", "Lambda AG", "Lambda Mu AG"]
+    rows = [(i, f"{names[i * 7 % 5]}\nletter {chr(97 + i % 13)}{chr(97 + i // 13)}\n{'more text of the letter ' * 4}") for i in range(100)] + [(100, "Alpha GMBH"), (101, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(inputs, "table", lambda *_: docs)
+    monkeypatch.setattr(catalog, "table", lambda *_: docs)
+    seed = [r.asDict() for r in inputs.template_seed(spark, "").collect()]
+    got = {r["doc_id"]: (r["tier"], r["template_id"], r["country"], r["confidence"]) for r in catalog.template_match_tiers(spark, "").collect()}
+    want = {}
+    for d in text.with_fingerprint(docs).collect():
+        want[d["doc_id"]] = (None, None, None, None)
+        if len(d["text"] or "") < templates.MIN_TEXT:
+            continue
+        exact = [t for t in seed if t["fingerprint"] == d["fingerprint"]]
+        header = sorted((t for t in seed if t["header_hash"] == d["header_hash"]), key=lambda t: (-t["hit_count"], t["id"]))
+        hint = d["company_hint"]
+        fuzzy = sorted((t for t in seed if hint and hint in (t["company_hint"] or "")), key=lambda t: (-t["hit_count"], -t["confidence"], t["id"]))
+        for tier, found, least, factor in (("exact", exact, 0.92, 1.0), ("header", header, 0.92, 0.98), ("fuzzy", fuzzy, 0.90, 0.90)):
+            if found and found[0]["confidence"] >= least:
+                want[d["doc_id"]] = (tier, found[0]["id"], found[0]["country"], found[0]["confidence"] * factor)
+                break
+    assert {k: v[:3] for k, v in got.items()} == {k: v[:3] for k, v in want.items()}
+    assert all(got[k][3] == pytest.approx(v[3]) for k, v in want.items() if v[0]) and {v[0] for v in want.values()} >= {"exact", "fuzzy", None}
