@@ -12,7 +12,7 @@ but for rounding. A text is given the language of the lowest cross-entropy per
 character.
 
 A fold of the labelled texts, by text so that copies stay together, teaches nothing and calibrates:
-a bounded sample of it (``calibration_docs``, chosen by hash) gives the temperature of the score and,
+a sample of it (at most ``calibration_docs`` distinct texts, chosen by hash) gives the temperature, by rows, of the score and,
 for each language, the centre and variance of the cross-entropy of correctly labelled texts, both
 linear in 1 / length. A text is rejected beyond the limit that ``FALSE_REJECTION`` of them are expected
 to exceed. The limit continues the upper tenth as a Pareto tail through its median, at every size of the
@@ -397,14 +397,14 @@ def _calibrate(model: Model, sample) -> None:
     n, ll = sample["n"].to_numpy(), np.array(sample["ll"].tolist()).reshape(len(sample), -1)
     truth = np.searchsorted(np.array(model.langs, dtype=object), sample["lang"].to_numpy(dtype=object))
     use = n > 0
-    n, ll, truth = n[use], ll[use], truth[use]
+    n, ll, truth, weight = n[use], ll[use], truth[use], sample["weight"].to_numpy()[use]
     if not len(n):
         return
     correct = ll.argmax(axis=1) == truth
 
     def loss(t: float) -> float:
         p = np.clip(_posterior(ll, n, t), 1e-6, 1 - 1e-6)
-        return -float(np.where(correct, np.log(p), np.log(1 - p)).mean())
+        return -float(np.average(np.where(correct, np.log(p), np.log(1 - p)), weights=weight))
 
     model.temperature = min((2.0**k for k in np.arange(-6, 4, 0.5)), key=loss)
     h = -ll.max(axis=1) / n
@@ -459,7 +459,15 @@ def _sampled(batches: Iterator[pa.RecordBatch], held, pieces: list) -> Iterator[
         text = batch.column(1)
         for lo, hi in _slices(text, pieces):
             n, _, ll = _entropies(text.slice(lo, hi - lo).to_pylist(), held.value, pieces)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(ll.tolist(), pa.list_(pa.float64()))], names=["lang", "n", "ll"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 2)), pa.array(n), pa.array(ll.tolist(), pa.list_(pa.float64()))], names=["lang", "weight", "n", "ll"])
+
+
+def _distinct_sample(rows: DataFrame, most: int) -> DataFrame:
+    """(lang, _t, weight): at most ``most`` distinct labelled texts in the order of their hash, with the number of their rows."""
+    hashes = rows.select(F.xxhash64("_t", "lang").alias("_h")).distinct().orderBy("_h").limit(most + 1).collect()
+    if len(hashes) > most:
+        rows = rows.filter(F.xxhash64("_t", "lang") < hashes[-1]["_h"])
+    return rows.groupBy("lang", "_t").agg(F.count("*").alias("weight"))
 
 
 def fit(
@@ -486,10 +494,9 @@ def fit(
         sizes = grams.groupBy(F.shiftrightunsigned("last", 21).alias("third")).count().collect()
         model = _train_pieces(grams, _pack([tuple(r) for r in sizes], bound), langs, order)
     if model.langs:
-        share = min(1.0, calibration_docs / max(1, rows.count()))
-        sample = rows.filter(F.pmod(F.xxhash64("_t"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003)))
+        sample = _distinct_sample(rows, calibration_docs)
         held, pieces = _send(spark, model)
-        _calibrate(model, sample.mapInArrow(lambda b: _sampled(b, held, pieces), "lang string, n long, ll array<double>").toPandas())
+        _calibrate(model, sample.mapInArrow(lambda b: _sampled(b, held, pieces), "lang string, weight long, n long, ll array<double>").toPandas())
     return model
 
 

@@ -464,6 +464,16 @@ def test_language_id_order_at_any_size(spark):
             assert a.score == pytest.approx(b.score, abs=1e-6) and a.cross_entropy == pytest.approx(b.cross_entropy, rel=1e-6)
 
 
+def test_language_sample_is_bounded(spark):
+    texts = [f"text number {i}" for i in range(60)] + ["the same text of many"] * 400
+    rows = spark.createDataFrame([("en", t) for t in texts], "lang string, _t string")
+    got = language_id._distinct_sample(rows, 1000).collect()
+    assert {r["_t"]: r["weight"] for r in got} == Counter(texts)
+    for most in (10, 59):
+        got = language_id._distinct_sample(rows, most).collect()
+        assert len(got) == most and all(r["weight"] == Counter(texts)[r["_t"]] for r in got)
+
+
 def test_language_rejects_labelled_junk(spark):
     import corpus_pipeline
 
