@@ -3,7 +3,8 @@
 Words are runs of letters and digits in lower case. A mask selects five word positions out of a
 short stretch and ignores the rest, so a seed's hash survives substitutions at ignored positions.
 The masks together hit every stretch of 15 to 20 words in which at most a fifth of the words differ
-(14 words: two). Hashes of the test items meet those of the documents; each hit fixes an alignment,
+(14 words: two). Shorter stretches can lack five such words, so items of fewer than ``SHORT`` words
+also have masks of four, which with the others hit every stretch of 5 to 10 words. Hashes of the test items meet those of the documents; each hit fixes an alignment,
 along which words are compared one by one: an item is found where ``similarity`` of the words of
 some stretch of ``window`` consecutive item words (the whole item, if it is shorter) agree.
 
@@ -30,6 +31,8 @@ from .kernels import U64, Words, mix, powers, words
 
 # Selected positions are 1.
 MASKS = ("11111", "111101", "1101011", "110010011")
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
+SHORT = 11
 WINDOW = 20
 SIMILARITY = (80, 100)
 BLOCK_BYTES = 64 << 20
@@ -53,7 +56,7 @@ def seeds(w: Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
 class ItemIndex:
     """Seeds of test items in sorted arrays, for each mask, with a bit table in front."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], window: int = WINDOW):
         parts = list(words(pc.utf8_lower(pa.array(texts, pa.string())), plain=True))
         self.ids = ids
         self.hash = np.concatenate([p.hash for p in parts]) if parts else np.zeros(0, U64)
@@ -61,8 +64,12 @@ class ItemIndex:
         self.first = np.searchsorted(doc, np.arange(len(ids) + 1))
         whole = Words(0, len(ids), doc, doc, doc, self.hash, self.first)
         self.tables = []
-        for mask in MASKS:
+        short = np.minimum(np.diff(self.first), window) < SHORT
+        for mask in MASKS + (SHORT_MASKS if short.any() else ()):
             at, h = seeds(whole, mask)
+            if mask in SHORT_MASKS:
+                mine = short[doc[at]]
+                at, h = at[mine], h[mine]
             order = np.argsort(h)
             seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
             seen[h >> U64(64 - _FILTER_BITS)] = True
@@ -144,6 +151,6 @@ def find_leaks(
     parts = []
     for k in range(n_blocks):
         block = items.filter(F.pmod(F.xxhash64("item", "t"), F.lit(n_blocks)) == k).collect()
-        held = spark.sparkContext.broadcast(ItemIndex([r["item"] for r in block], [r["t"] for r in block]))
+        held = spark.sparkContext.broadcast(ItemIndex([r["item"] for r in block], [r["t"] for r in block], window))
         parts.append(rows.mapInArrow(lambda b, h=held: _search(b, h, window, similarity), schema))
     return reduce(DataFrame.unionByName, parts).withColumnRenamed("_id", id_col)

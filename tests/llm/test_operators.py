@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -215,6 +216,22 @@ def test_decontamination(spark):
     assert decontamination.find_leaks(frame(spark, docs), table.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    r = random.Random(10)
+    items = [(n, [f"i{n}x{j}" for j in range(n)]) for n in range(5, 14)]
+    docs, expect = [], set()
+    for n, w in items:
+        for k in (n // 5, n // 5 + 1):
+            for gone in itertools.islice(itertools.combinations(range(n), k), 100):
+                text = ["other" if j in gone else x for j, x in enumerate(w)]
+                if 5 * (n - k) >= 4 * n:
+                    expect.add((len(docs), n))
+                docs.append((len(docs), " ".join([f"a{r.random()}", *text, "z"] if r.random() < 0.5 else text)))
+    table = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    got = decontamination.find_leaks(frame(spark, docs), table).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == expect
+
+
 # --- op5 and op8 ------------------------------------------------------------------------------
 
 
