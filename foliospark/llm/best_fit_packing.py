@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .kernels import slices, text_buffers
+from .kernels import U64, mix
 from .store import materialize
 
 SEQUENCE_TOKENS = 2048
@@ -88,26 +89,26 @@ def plan(counts: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, chunked: bool, size: int, separator: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    end = np.array([separator], dtype="<u4").tobytes()
+    context = TaskContext.get()
+    number = (context.partitionId() if context else 0) << 40
     for batch in batches:
-        ids, text = batch.column(0), batch.column(1)
-        for lo, hi in slices(text_buffers(text)[0], tokens.SLICE_BYTES):
-            row, piece, start, length, crc, raw = [], [], [], [], [], []
-            for i, data in enumerate(tokens.encode(text.slice(lo, hi - lo).to_pylist(), path, chunked)):
-                data += end
-                for k, at in enumerate(range(0, len(data), 4 * size)):
-                    part = data[at : at + 4 * size]
-                    row.append(lo + i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        raw.append(part)
-            columns = [ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            names = ["_id", "piece", "start", "length", "ids_crc32"]
+        owner, text = batch.column(0), batch.column(1)
+        for lo, hi, ids, at in tokens.encode_rows(text, path, chunked, separator):
+            n = -(-np.diff(at) // size)  # pieces of each row, one at least: its separator
+            row = np.repeat(np.arange(hi - lo), n)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            begin = at[row] + piece * size
+            end = np.minimum(begin + size, at[row + 1])
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(begin, end)]
+            salt = mix(np.arange(number, number + len(row), dtype=U64)).view(np.int64)
+            number += len(row)
+            columns = [
+                owner.take(pa.array(lo + row)), pa.array(piece.astype(np.int32)), pa.array(piece * size),
+                pa.array(end - begin), pa.array(crc, pa.int64()), pa.array(salt),
+            ]
+            names = ["_id", "piece", "start", "length", "ids_crc32", "salt"]
             if with_ids:
-                columns.append(pa.array(raw, pa.binary()))
+                columns.append(pa.array([ids[a:b].tobytes() for a, b in zip(begin, end)], pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -116,10 +117,10 @@ def token_pieces(
     docs: DataFrame, size: int = SEQUENCE_TOKENS, tokenizer: str | None = None, chunked: bool = True, separator: int = SEPARATOR,
     with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Pieces of at most ``size`` ids: _id, piece, start, length, ids_crc32, and the ids themselves if asked for."""
+    """Pieces of at most ``size`` ids: _id, piece, start, length, ids_crc32, salt (no two alike), and the ids themselves if asked for."""
     path = tokenizer or tokens.default_tokenizer()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    schema = f"_id {dict(rows.dtypes)['_id']}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    schema = f"_id {dict(rows.dtypes)['_id']}, piece int, start long, length long, ids_crc32 long, salt long" + ", ids binary" * with_ids
     return rows.mapInArrow(lambda b: _pieces(b, path, chunked, size, separator, with_ids), schema)
 
 
@@ -155,14 +156,15 @@ def _place(batches: Iterator[pa.RecordBatch], slots) -> Iterator[pa.RecordBatch]
 
 
 def pack(pieces: DataFrame, size: int = SEQUENCE_TOKENS) -> DataFrame:
-    """Add sequence_id and offset to a materialized table of pieces with a ``length`` of at most ``size``."""
+    """Add sequence_id and offset to a materialized table of pieces with a ``length`` of at most ``size`` and a ``salt``."""
     spark = pieces.sparkSession
-    ranked, totals = with_ranks(pieces, ["length"], ["_id", "piece", "ids_crc32"])
+    ranked, totals = with_ranks(pieces, ["length"], ["salt"])
     # at most ``size`` rows, whatever the input; the plan has a bounded number of slots for each
     counts = {r["length"]: r["n"] for r in totals.collect()}
     slots = spark.sparkContext.broadcast(plan(counts, size))
-    out = ranked.select(*pieces.columns, F.col("rank").cast("long"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long"
+    kept = [(c, t) for c, t in pieces.dtypes if c != "salt"]
+    out = ranked.select(*(c for c, _ in kept), F.col("rank").cast("long"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in kept) + ", sequence_id long, offset long"
     return out.mapInArrow(lambda b: _place(b, slots), schema)
 
 

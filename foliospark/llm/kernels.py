@@ -44,6 +44,10 @@ _FOLDED[65:91] = _LETTER[97:123]
 _MARK = _SPACE.copy()
 _MARK[[c for c in range(128) if not chr(c).isalnum()]] = True
 _PLAIN = np.where(_MARK, U64(0), _FOLDED)
+_ALPHA = np.zeros(256, dtype=bool)
+_ALPHA[[*range(65, 91), *range(97, 123)]] = True
+_CLOSING = np.zeros(256, dtype=bool)
+_CLOSING[list(b".,;:!?)")] = True
 _BASE = 0x9E3779B97F4A7C15
 _POW = powers(_BASE, _BLOCK)
 
@@ -83,8 +87,11 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def words(column: pa.Array, fold_case: bool = False, plain: bool = False) -> Iterator[Words]:
-    """Words of each slice; ``plain`` folds case and also parts words at every ASCII character but letters and digits."""
+def words(column: pa.Array, fold_case: bool = False, plain: bool = False, closed: bool = False) -> Iterator[Words]:
+    """Words of each slice; ``plain`` folds case and also parts words at every ASCII character but letters and digits.
+
+    With ``closed`` a new word begins where a closing mark follows an ASCII letter.
+    """
     offsets, data = text_buffers(column)
     letters = _PLAIN if plain else _FOLDED if fold_case else _LETTER
     gap = _MARK if plain else _SPACE
@@ -99,6 +106,8 @@ def words(column: pa.Array, fold_case: bool = False, plain: bool = False) -> Ite
         after[1:] = gap[part[:-1]]
         after[inner] = True
         begins &= after
+        if closed:
+            begins[1:] |= _CLOSING[part[1:]] & _ALPHA[part[:-1]]
         start = np.flatnonzero(begins)
         first = np.searchsorted(start, cuts)
         if not len(start):

@@ -50,14 +50,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote, once nothing reads them any more."""
     for table in tables:
         path = getattr(table, "_folio_path", None)
         if path:
-            spark = table.sparkSession
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(table.sparkSession, path)
 
 
 def forget_shuffles(spark: SparkSession) -> None:
