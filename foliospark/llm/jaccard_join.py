@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import U64, Words, mix, rolling, span_hash, words
-from .store import forget_shuffles, materialize, release
+from .store import materialize, release
 
 SHINGLE_WORDS = 5
 THRESHOLD = (80, 100)
@@ -46,6 +46,7 @@ _SHINGLE_BASE = 0xA0761D6478BD642F
 HOT_SHARE = 2e-4
 HOT_LEAST = 8
 MOST_HOT = 4_000_000
+DOCS_PER_TASK = 1024
 _EMPTY = U64(0x5851F42D4C957F2D)
 
 
@@ -306,11 +307,12 @@ def _link_groups(batches: Iterator[pa.RecordBatch], size: int, threshold: tuple[
 
 
 def _run_groups(texts: DataFrame, placed: DataFrame, size: int, threshold: tuple[int, int], name: str) -> DataFrame:
-    """Link the documents of each (candidate, chunk, block) of ``placed``."""
+    """Link the documents of each (candidate, chunk, block) of ``placed``, a table that can be read again."""
+    tasks = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-placed.count() // DOCS_PER_TASK))
     rows = (
         texts.join(placed.hint("shuffle_hash"), "_id")
         .select("_id", "candidate", "chunk", "block", "joined", "_t")
-        .repartition("candidate", "chunk", "block")
+        .repartition(tasks, "candidate", "chunk", "block")
         .sortWithinPartitions("candidate", "chunk", "block")
     )
     out = rows.mapInArrow(lambda b: _link_groups(b, size, threshold), "_id long, candidate long, root long")
@@ -332,34 +334,33 @@ def jaccard_components(
     )
     sized = materialize(described.select("_id", "n", "f1", "f2"), "sized")
     full = sized.filter("n > 0 and _id is not null")
-    classes = full.groupBy("f1", "f2").agg(F.min("_id").alias("rep"))
-    members = materialize(full.join(classes, ["f1", "f2"]).select("_id", "rep"), "members")
-    reps = members.select(F.col("rep").alias("_id")).distinct()
-    signed = materialize(described.join(reps.hint("shuffle_hash"), "_id", "left_semi").select("_id", F.explode("signatures").alias("signature")), "signatures")
+    # only sets that several rows have need a representative; the join is one that Spark can split where a set is frequent
+    copied = materialize(full.groupBy("f1", "f2").agg(F.min("_id").alias("rep"), F.count("*").alias("k")).filter("k > 1").drop("k"), "copied")
+    copies = materialize(full.join(copied.hint("merge"), ["f1", "f2"]).filter("_id <> rep").select("_id", "f1", "f2", "rep").distinct(), "copies")
+    signing = described.filter("n > 0 and _id is not null").join(copies.hint("shuffle_hash"), ["_id", "f1", "f2"], "left_anti")
+    signed = materialize(signing.select("_id", F.explode("signatures").alias("signature")), "signatures")
     release(described)
-    forget_shuffles(spark)
-    shared = signed.groupBy("signature").agg(F.min("_id").alias("m"), F.count("*").alias("k")).filter("k > 1").select("signature", "m")
+    shared = signed.groupBy("signature").agg(F.min("_id").alias("m"), F.max("_id").alias("x")).filter("m < x").select("signature", "m")
     shared = materialize(shared, "shared")
-    forget_shuffles(spark)
     candidates = components(signed.join(shared.hint("merge"), "signature").filter("_id <> m").select(F.col("_id").alias("a"), F.col("m").alias("b")))
-    release(signed, shared)
-    forget_shuffles(spark)
+    release(signed, shared, copied)
 
     labels = candidates.select(F.col("node").alias("_id"), F.col("component").alias("candidate"))
     groups = labels.groupBy("candidate").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"))
     placed = labels.join(groups, "candidate").withColumn("chunk", F.pmod(F.xxhash64("_id"), F.col("chunks")).cast("int"))
     placed = materialize(placed, "placed")
+    # texts of candidates only: the table of all texts is shuffled once
+    texts = materialize(texts.join(placed.select("_id").hint("shuffle_hash"), "_id", "left_semi"), "candidate_texts")
     pivots = groups.filter("chunks > 1").select(F.col("candidate").alias("_id"), "candidate", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     first = placed.select("_id", "candidate", "chunk").unionByName(pivots).distinct().withColumn("block", F.lit(0)).withColumn("joined", F.lit(False))
-    linked = _run_groups(texts, first, shingle, threshold, "linked")
+    linked = _run_groups(texts, materialize(first, "first"), shingle, threshold, "linked")
     links = linked.select(F.col("_id").alias("a"), F.col("root").alias("b")).filter("a <> b")
 
     # documents that their chunk does not connect to the smallest of a group of several chunks
     apart = materialize(
         placed.filter("chunks > 1").join(linked.filter("root <> candidate").select("_id").distinct(), "_id"), "apart"
     )
-    n_apart = apart.count()
-    if n_apart:
+    if not apart.isEmpty():
         blocks = apart.groupBy("candidate").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("blocks"))
         mine = apart.join(blocks, "candidate").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "_id"), F.col("blocks")).cast("int"))
         guests = mine.select("_id", "candidate", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", F.lit(False).alias("joined"))
@@ -369,11 +370,11 @@ def jaccard_components(
             .select("_id", "candidate", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("out").isNull().alias("joined"))
         )
         again = guests.unionByName(homes).groupBy("_id", "candidate", "chunk", "block").agg(F.max("joined").alias("joined"))
-        relinked = _run_groups(texts, again, shingle, threshold, "relinked")
+        relinked = _run_groups(texts, materialize(again, "again"), shingle, threshold, "relinked")
         links = links.unionByName(relinked.select(F.col("_id").alias("a"), F.col("root").alias("b")).filter("a <> b"))
-    forget_shuffles(spark)
-    copies = members.select(F.col("_id").alias("a"), F.col("rep").alias("b"))
-    final = components(links.unionByName(copies))
+    release(texts)
+    final = components(links.unionByName(copies.select(F.col("_id").alias("a"), F.col("rep").alias("b"))))
+    release(placed, copies, linked, apart)
     return sized.join(final, sized["_id"] == final["node"], "left").select(
         sized["_id"].alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id")
     )

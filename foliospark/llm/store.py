@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,10 +42,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
+    """Write ``df`` to the shared folder and return the table read back; shuffle files of the write go when it ends."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._folio_path = path
     return out
@@ -67,7 +73,3 @@ def release(*tables: DataFrame) -> None:
         if path:
             delete(table.sparkSession, path)
 
-
-def forget_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished jobs: it acts on what the driver's JVM has collected."""
-    spark.sparkContext._jvm.System.gc()

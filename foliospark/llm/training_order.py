@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .kernels import U64, mix
-from .store import delete, exists, forget_shuffles, materialize, new_path
+from .store import delete, exists, materialize, new_path
 
 SEQUENCE_TOKENS = 2048
 SHARD_RECORDS = 4096
@@ -227,7 +227,6 @@ def write_shards(
         )
         written = mine.mapInArrow(lambda b: _write(b, folder, size, shard_records), "shard long, records long, crc32 long")
         manifest = manifest.unionByName(materialize(written, f"manifest_{r}"))
-        forget_shuffles(spark)
     return manifest
 
 
