@@ -10,9 +10,17 @@ from .dictionaries import COUNTRY_INDICATORS, EVIDENCE_PREFIXES, lookup, strings
 from .validators import validate_iban, validate_vat
 
 MIN_SIMILARITY = 0.5
-#: By rule: year absent, year in short form only, company unlikely, company doubtful, VAT number invalid, VAT country differs, IBAN invalid, no evidence of the country.
-PENALTIES = (0.3, 0.05, 0.1, 0.05, 0.2, 0.1, 0.15, 0.05)
-ERRORS = (0, 4, 6)
+#: The rules in their order, with the penalty of each and whether it is an error.
+RULES = {
+    "year_absent": (0.3, True),
+    "year_short": (0.05, False),
+    "company_unlikely": (0.1, False),
+    "company_doubtful": (0.05, False),
+    "vat_invalid": (0.2, True),
+    "vat_country": (0.1, False),
+    "iban_invalid": (0.15, True),
+    "country_bare": (0.05, False),
+}
 
 
 def company_similarity(company: Column, text: Column) -> Column:
@@ -49,7 +57,7 @@ def check(country: Column, company: Column, year: Column, text: Column, vat: Col
         values.append(validate_iban(iban)["is_valid"].alias("iban"))
 
     def messages(x: Column) -> Column:
-        """One message or null for each rule, in the rules' order."""
+        """One message or null for each rule."""
         y = year.cast("string")
         short = F.substring(y, -2, 2)
         absent = year.isNotNull() & ~F.contains(t, y)
@@ -66,24 +74,23 @@ def check(country: Column, company: Column, year: Column, text: Column, vat: Col
         if iban is not None:
             bad_iban = F.when(iban.isNotNull() & ~x["iban"], F.concat(F.lit("Invalid IBAN: "), iban))
         bare = (F.coalesce(country, F.lit("")) != "") & ~x["evidence"]
-        return F.array(
-            F.when(absent & ~F.contains(t, short), F.concat(F.lit("Year "), y, F.lit(" not found in text (possible hallucination)"))),
-            F.when(absent & F.contains(t, short), F.concat(F.lit("Year "), y, F.lit(" found only as '"), short, F.lit("'"))),
-            F.when(has & (s < min_similarity), F.concat(F.lit("Company '"), company, F.lit("' may be hallucinated (similarity: "), percent)),
-            F.when(has & (s >= min_similarity) & (s < 0.7), F.concat(F.lit("Company '"), company, F.lit("' has low confidence (similarity: "), percent)),
-            bad_vat,
-            other,
-            bad_iban,
-            F.when(bare, F.concat(F.lit("No strong evidence for country '"), country, F.lit("' in text"))),
-        )
+        said = {
+            "year_absent": F.when(absent & ~F.contains(t, short), F.concat(F.lit("Year "), y, F.lit(" not found in text (possible hallucination)"))),
+            "year_short": F.when(absent & F.contains(t, short), F.concat(F.lit("Year "), y, F.lit(" found only as '"), short, F.lit("'"))),
+            "company_unlikely": F.when(has & (s < min_similarity), F.concat(F.lit("Company '"), company, F.lit("' may be hallucinated (similarity: "), percent)),
+            "company_doubtful": F.when(has & (s >= min_similarity) & (s < 0.7), F.concat(F.lit("Company '"), company, F.lit("' has low confidence (similarity: "), percent)),
+            "vat_invalid": bad_vat,
+            "vat_country": other,
+            "iban_invalid": bad_iban,
+            "country_bare": F.when(bare, F.concat(F.lit("No strong evidence for country '"), country, F.lit("' in text"))),
+        }
+        return F.struct(*(said[rule].alias(rule) for rule in RULES))
 
     def judged(m: Column) -> Column:
-        said = [m[i].isNotNull() for i in range(len(PENALTIES))]
         penalty = F.lit(0.0)
-        for hit, p in zip(said, PENALTIES):
-            penalty = penalty + F.when(hit, p).otherwise(0.0)
-        kept = lambda at: F.filter(F.array(*(m[i] for i in at)), lambda e: e.isNotNull())
-        warnings = [i for i in range(len(PENALTIES)) if i not in ERRORS]
-        return F.struct((~F.exists(F.array(*(said[i] for i in ERRORS)), lambda e: e)).alias("is_valid"), penalty.alias("penalty"), kept(ERRORS).alias("errors"), kept(warnings).alias("warnings"))
+        for rule, (amount, _) in RULES.items():
+            penalty = penalty + F.when(m[rule].isNotNull(), amount).otherwise(0.0)
+        errors, warnings = (F.filter(F.array(*(m[rule] for rule, (_, error) in RULES.items() if error is wanted)), lambda e: e.isNotNull()) for wanted in (True, False))
+        return F.struct((F.size(errors) == 0).alias("is_valid"), penalty.alias("penalty"), errors.alias("errors"), warnings.alias("warnings"))
 
     return let(let(F.struct(*values), messages), judged)

@@ -35,8 +35,37 @@ def reset_errors(progress: DataFrame, folder: str | None = None) -> DataFrame:
     return progress.withColumns({"error_msg": F.when(hit, None).otherwise(F.col("error_msg")), "status": F.when(hit, "pending").otherwise(F.col("status"))})
 
 
-def delete_folder(progress: DataFrame, folder: str) -> DataFrame:
-    return progress.filter(~F.col("folder").eqNullSafe(folder))
+def delete_folder(progress: DataFrame, folder: str | None) -> DataFrame:
+    """Progress without the rows of a folder, or without any."""
+    return progress.limit(0) if folder is None else progress.filter(~F.col("folder").eqNullSafe(folder))
+
+
+def missing_files(progress: DataFrame, files: DataFrame) -> DataFrame:
+    """Waiting rows whose path is not among files(file_path) become errors."""
+    here = files.select(path_hash(F.col("file_path")).alias("_here")).distinct()
+    out = progress.join(here, path_hash(F.col("file_path")) == F.col("_here"), "left")
+    gone = F.col("status").isin(PENDING) & F.col("_here").isNull()
+    return out.select(*(
+        F.when(gone, "error").otherwise(F.col(c)).alias(c) if c == "status" else F.when(gone, "File not found (already moved?)").otherwise(F.col(c)).alias(c) if c == "error_msg" else F.col(c)
+        for c in progress.columns
+    ))
+
+
+def folder_rollup(stats: DataFrame) -> DataFrame:
+    """Folder statistics as shown: everything that waits is pending."""
+    return stats.select("folder", "total", "ok", "errors", (F.col("pending") + F.col("pending_llm")).alias("pending"))
+
+
+def seconds_until(at: Column, minute_of_day: int) -> Column:
+    """Whole seconds from a time to the next time of day given in minutes, a full day if it is that time."""
+    at = at.cast("timestamp")
+    start = F.date_trunc("day", at) + F.make_dt_interval(mins=F.lit(minute_of_day))
+    start = F.when(start <= at, start + F.make_dt_interval(days=F.lit(1))).otherwise(start)
+    return F.floor(F.unix_micros(start) / 1_000_000 - F.unix_micros(at) / 1_000_000).cast("long")
+
+
+def hours_minutes(seconds: Column) -> Column:
+    return F.concat(F.floor(seconds / 3600).cast("string"), F.lit("h "), F.floor(seconds % 3600 / 60).cast("string"), F.lit("m"))
 
 
 def _measures() -> list[Column]:
@@ -71,6 +100,19 @@ def current_run(runs: DataFrame, source_root: str) -> DataFrame:
     return runs.filter((F.col("source_root") == source_root) & (F.col("status") == "running")).orderBy(F.desc("id")).limit(1)
 
 
+def ensure_run(runs: DataFrame, source_root: str, now: Column) -> DataFrame:
+    """Runs with a new running one for the root, unless it has one; its id follows the largest."""
+    if not current_run(runs, source_root).isEmpty():
+        return runs
+    made = {"id": (F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id")}
+    new = runs.agg(made["id"]).select(F.col("id").cast(dict(runs.dtypes)["id"]), F.lit(source_root).alias("source_root"), F.lit("running").alias("status"), now.alias("started_at"))
+    return runs.unionByName(new.select(*(c for c in new.columns if c in runs.columns)), allowMissingColumns=True)
+
+
+def files_per_run(progress: DataFrame) -> DataFrame:
+    return progress.groupBy("batch_run_id").agg(F.count("*").alias("total_files"))
+
+
 def latest_runs(runs: DataFrame, n: int = 5) -> DataFrame:
     return runs.orderBy(F.desc("id")).limit(n)
 

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def count_by(df: DataFrame, key: str, missing: str | None = None, limit: int | None = None) -> DataFrame:
-    """Counts by a column, largest first, then by key. Nulls are left out, or counted as ``missing``."""
+def count_by(df: DataFrame, key: str, missing: str | None = None, limit: int | None = None, share: bool = False, bar: bool = False) -> DataFrame:
+    """Counts by a column, largest first, then by key. Nulls are left out, or counted as ``missing``.
+
+    ``share`` adds each count's part of all counted rows, also of those beyond ``limit``, and ``bar`` a mark for every two percent.
+    """
     rows = df.withColumn(key, F.coalesce(F.col(key), F.lit(missing))) if missing else df.filter(F.col(key).isNotNull())
-    out = rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(key))
+    out = rows.groupBy(key).agg(F.count("*").alias("n"))
+    if share or bar:
+        total = rows.agg(F.count("*").alias("_total")).first()["_total"]
+        out = out.withColumn("share", F.col("n") / F.lit(total))
+    if bar:
+        out = out.withColumn("bar", F.repeat(F.lit("#"), F.floor(F.col("share") * 100 / 2).cast("int")))
+    out = out.orderBy(F.desc("n"), F.asc(key))
     return out.limit(limit) if limit else out
 
 
-def with_share(counts: DataFrame, bar: bool = False) -> DataFrame:
-    """Counts (one row for each key) with their share of the sum, and a text bar of a mark for every two percent."""
-    total = counts.agg(F.sum("n").alias("_total"))
-    out = counts.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_total")).drop("_total")
-    return out.withColumn("bar", F.repeat(F.lit("#"), F.floor(F.col("share") * 100 / 2).cast("int"))) if bar else out
-
-
 def organize_summary(results: DataFrame) -> DataFrame:
+    """One row: how many files ended in each status, and the successful ones by country and by type."""
     one = lambda s: F.count_if(F.col("status") == s)
     return results.agg(F.count("*").alias("total_files"), one("success").alias("successful"), one("trash").alias("moved_to_trash"), one("skipped").alias("skipped"), one("error").alias("errors"))
 
@@ -34,18 +37,87 @@ def endpoint_stats(responses: DataFrame) -> DataFrame:
         n.alias("requests"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"), F.coalesce(F.sum(good), F.lit(0.0)).alias("total_time"),
         F.min(good).alias("min_time"), F.max(good).alias("max_time"), F.avg(good).alias("avg_time"),
         F.when(F.sum(good) > 0, F.sum(F.when(ok, F.col("tokens"))) / F.sum(good)).otherwise(0.0).alias("tokens_per_sec"),
-        (F.count_if(ok) / n).alias("success_rate"),
+        (F.count_if(ok) / n).alias("success_rate"), F.coalesce(F.sum(F.when(ok, F.col("tokens"))), F.lit(0)).alias("total_tokens"),
     )
 
 
 def host_ranking(stats: DataFrame, host: Column) -> DataFrame:
-    """Endpoint statistics by host, the fastest first."""
-    time, tokens = F.sum("total_time"), F.sum(F.col("tokens_per_sec") * F.col("total_time"))
+    """Endpoint statistics by host with its endpoints (in order), the fastest first."""
+    time = F.sum("total_time")
     return (
         stats.groupBy(host.alias("host"))
-        .agg(F.sum("requests").alias("requests"), F.sum("successful").alias("successful"), F.count("*").alias("endpoints"), F.when(time > 0, tokens / time).otherwise(0.0).alias("tokens_per_sec"))
+        .agg(
+            F.sum("requests").alias("requests"), F.sum("successful").alias("successful"), F.count("*").alias("endpoints"),
+            F.when(time > 0, F.sum("total_tokens") / time).otherwise(0.0).alias("tokens_per_sec"), F.array_sort(F.collect_list("endpoint")).alias("ports"),
+        )
         .orderBy(F.desc("tokens_per_sec"), "host")
+    )
+
+
+def host_speed(responses: DataFrame, host: Column) -> DataFrame:
+    """Average time and tokens a second of each host's responses without an error."""
+    total = F.sum("elapsed")
+    rate = F.when(total > 0, F.sum("tokens") / total).otherwise(0.0)
+    return responses.filter("error is null").groupBy(host.alias("host")).agg(F.avg("elapsed").alias("avg_time"), rate.alias("tokens_per_sec")).orderBy("host")
+
+
+def requests_for(files: DataFrame, hosts: list[str], ports: list[int]) -> DataFrame:
+    """One request for each file and endpoint; endpoints are all hosts with all ports, a list of the caller's."""
+    endpoints = F.array(*(F.lit(f"http://{h}:{p}") for h in hosts for p in ports))
+    return files.withColumn("endpoint", F.explode(endpoints))
+
+
+def token_count(tokens: Column, text: Column) -> Column:
+    """The reported number of tokens, or the number of words where none is reported."""
+    words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
+    return F.coalesce(F.when(tokens > 0, tokens), words.cast("long"))
+
+
+def endpoint_status(alive: Column, dead: Column) -> Column:
+    """DEAD for an endpoint given up, else OK or DOWN by its last probe."""
+    return F.when(F.coalesce(dead, F.lit(False)), "DEAD").when(F.coalesce(alive, F.lit(False)), "OK").otherwise("DOWN")
+
+
+def session_counters(results: DataFrame, elapsed: float, total: int) -> DataFrame:
+    """One row: processed, cache hits, model calls, errors, files a second, seconds left.
+
+    Here every success that the cache did not serve whole counts as a model call, partial answers too; the statistics of runs count neither.
+    """
+    ok = F.col("status") == "ok"
+    hit = ok & (F.col("source") == "template_cache")
+    done = results.filter("status <> 'pending_llm'").agg(
+        F.count("*").alias("processed"), F.count_if(hit).alias("cache_hits"), F.count_if(ok & (F.col("source") != "template_cache")).alias("llm_calls"), F.count_if(F.col("status") == "error").alias("errors")
     )
+    rate = F.col("processed") / F.lit(float(elapsed))
+    return done.withColumns({"files_per_sec": rate, "seconds_left": F.when(rate > 0, F.floor((F.lit(total) - F.col("processed")) / rate))})
+
+
+def vision_name(name: Column, is_country: bool = False) -> Column:
+    """A part of a path: trimmed, a country with capitals, blanks as underscores, forbidden characters left out."""
+    n = F.trim(name)
+    n = F.initcap(n) if is_country else n
+    return F.coalesce(F.nullif(F.regexp_replace(F.replace(n, F.lit(" "), F.lit("_")), r'[<>:"/\\|?*]', ""), F.lit("")), F.lit("unknown"))
+
+
+def vision_folder(results: DataFrame) -> DataFrame:
+    """results(error, warning, country, document_type) with ``folder``: _errors, _unknown, or country/type."""
+    path = F.concat_ws("/", vision_name(F.coalesce("country", F.lit("unknown")), True), vision_name(F.coalesce("document_type", F.lit("unknown"))))
+    doubtful = (F.coalesce("document_type", F.lit("")) == "not_a_document") | (F.coalesce("warning", F.lit("")) != "")
+    return results.withColumn("folder", F.when(F.col("error").isNotNull(), "_errors").when(doubtful, "_unknown").otherwise(path))
+
+
+def vision_counts(results: DataFrame) -> DataFrame:
+    """Counts by country/type of results without an error, sorted."""
+    key = F.concat_ws("/", F.coalesce("country", F.lit("?")), F.coalesce("document_type", F.lit("?")))
+    return results.filter("error is null").groupBy(key.alias("key")).agg(F.count("*").alias("n")).orderBy("key")
+
+
+def notebook_counts(results: DataFrame, key: str, missing: str) -> DataFrame:
+    """Counts by a field of JSON results: ``missing`` where the key is absent, null where it is there and null."""
+    v = F.try_parse_json("result")
+    present = F.array_contains(F.coalesce(F.json_object_keys("result"), F.array().cast("array<string>")), key)
+    value = F.when(present, F.try_variant_get(v, f"$.{key}", "string")).otherwise(F.lit(missing))
+    return results.groupBy(value.alias(key)).agg(F.count("*").alias("n"))
 
 
 def consistency(responses: DataFrame) -> DataFrame:
@@ -70,10 +142,31 @@ def golden_score(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.withColumns({"passed": sum((h.cast("int") for h in hit), F.lit(0)), "total": F.lit(len(fields))})
 
 
-def round_robin(df: DataFrame, key: str, endpoints: list[str]) -> DataFrame:
+def spread(df: DataFrame, key: str, endpoints: list[str]) -> DataFrame:
     """A deterministic spread of rows over endpoints by hash of the key."""
-    at = F.pmod(F.xxhash64(key), F.lit(len(endpoints))).cast("int") + 1
-    return df.withColumn("endpoint", F.element_at(F.array(*(F.lit(e) for e in endpoints)), at))
+    return df.withColumn("endpoint", _one_of(endpoints, F.xxhash64(key)))
+
+
+def round_robin(df: DataFrame, key: str, endpoints: list[str]) -> DataFrame:
+    """Endpoints in turn, in order of a numeric key (null first); rows of equal key take turns in any order.
+
+    Ranges of the key are numbered apart, so that no task numbers all rows; a range goes on where the one before ends.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(df.approxQuantile(key, [i / n for i in range(1, n)], 0.001))) if n > 1 else []
+    part = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0)
+    parts = df.withColumn("_part", F.coalesce(part, F.lit(0)))
+    sizes = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row for each range
+    before, total = [], 0
+    for p in range(len(cuts) + 1):
+        before, total = [*before, total], total + sizes.get(p, 0)
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(F.asc_nulls_first(key))) - 1
+    start = F.element_at(F.array(*(F.lit(x).cast("long") for x in before)), F.col("_part") + 1)
+    return parts.withColumn("endpoint", _one_of(endpoints, start + nth)).drop("_part")
+
+
+def _one_of(endpoints: list[str], turn: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(e) for e in endpoints)), F.pmod(turn, F.lit(len(endpoints))).cast("int") + 1)
 
 
 def suspicious(value: Column, patterns: list[str]) -> Column:

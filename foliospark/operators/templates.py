@@ -33,7 +33,8 @@ def match_templates(docs: DataFrame, templates: DataFrame, hit_threshold: float
     """
     probe = docs.withColumn("_probe", F.length("text") >= MIN_TEXT)
     exact = _answer(templates, "_exact", "fingerprint")
-    header = _answer(_first(templates.filter("header_hash <> ''"), ["header_hash"], [F.desc("hit_count"), F.asc("id")]), "_header", "header_hash")
+    most_used = F.min_by(F.struct(*_ANSWER), F.struct(-F.col("hit_count"), "id"))
+    header = templates.filter("header_hash <> ''").groupBy("header_hash").agg(most_used.alias("_header"))
     tiers = probe.join(exact, "fingerprint", "left").join(header, "header_hash", "left")
     ok1 = F.col("_probe") & (F.col("_exact.confidence") >= hit_threshold)
     ok2 = F.col("_probe") & (F.col("_header.confidence") >= hit_threshold)

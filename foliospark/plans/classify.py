@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import guard as checks
-from ..functions.entities import with_entities
 from ..functions.responses import parse_response
 from ..functions.text import trim, with_fingerprint
+from ..operators.progress import error_message
 from ..operators.templates import HIT_THRESHOLD, LEARN_THRESHOLD, learn, match_templates
 
 MIN_STRIPPED = 20
@@ -26,69 +26,85 @@ def row_confidence(a: Column, b: Column) -> Column:
     return F.coalesce(F.least(F.when(a > 0, a), F.when(b > 0, b)), F.lit(0.0))
 
 
-def stub_responder(docs: DataFrame) -> DataFrame:
-    """A deterministic test double, not a model: answers with what the entities and the hint say."""
-    found = with_entities(docs.select("doc_id", "text", "company_hint"))
-    answer = F.to_json(F.struct("country", F.lit("invoice").alias("doc_type"), F.col("company_hint").alias("company"), "year"))
-    return found.select("doc_id", answer.alias("raw_response"))
-
-
 def can_use_llm(hour: Column, minute: Column, start: int = 23 * 60, end: int = 6 * 60) -> Column:
     """Whether a time lies in the half-open night window, which may span midnight."""
     at = hour * 60 + minute
     return (at >= start) & (at < end) if start <= end else (at >= start) | (at < end)
 
 
-def classify(
-    docs: DataFrame, templates: DataFrame, responder: Callable[[DataFrame], DataFrame] | None = stub_responder, hit_threshold: float = HIT_THRESHOLD,
-    guard: bool = True, gate: bool = True,
-) -> DataFrame:
+#: Adds a column raw_response to its rows, all of which it returns: an answer where ``ask_text`` is not null.
+Responder = Callable[[DataFrame], DataFrame]
+
+
+def classify(docs: DataFrame, templates: DataFrame, responder: Responder | None, hit_threshold: float = HIT_THRESHOLD, guard: bool = True, gate: bool = True) -> DataFrame:
     """docs(doc_id, text) to results; every lookup sees the template table as it was before.
 
-    Without a responder misses keep a partial answer of the template table at 0.9 of its confidence,
-    or are marked needs_llm. ``gate`` sets texts of fewer than 20 characters aside.
+    Each document is one row from the lookup on: template answers, answers of the responder and texts
+    set aside differ by column values, so texts are read and joined once. Without a responder misses keep
+    a partial answer of the template table at 0.9 of its confidence, or are marked needs_llm. ``gate``
+    sets texts of fewer than 20 characters aside.
     """
     prints = with_fingerprint(docs.select("doc_id", "text"))
     short = F.length(trim(F.coalesce("text", F.lit("")))) < MIN_STRIPPED
     matched = match_templates(prints, templates, min(hit_threshold, HIT_THRESHOLD)).withColumn("_short", short if gate else F.lit(False))
     accepted = ~F.col("_short") & (F.coalesce("hit.confidence", F.lit(0.0)) >= hit_threshold)
-    matched = matched.withColumn("_hit", accepted)
-    none, text_array = F.lit(None), F.array().cast("array<string>")
-
-    def shaped(df: DataFrame, **c: Column) -> DataFrame:
-        out = df.withColumns(c).withColumn("confidence", row_confidence(F.col("country_confidence"), F.col("doc_type_confidence")))
-        return out.select("doc_id", *RESULT[1:], "fingerprint", "header_hash", "company_hint")
-
-    def from_template(df: DataFrame, source: Column, factor: Column, needs: Column) -> DataFrame:
-        conf = F.coalesce(F.col("hit.confidence") * factor, F.lit(0.0))
-        return shaped(
-            df, country=F.col("hit.country"), country_confidence=F.when(F.col("hit.country").isNotNull(), conf).otherwise(0.0), doc_type=F.col("hit.doc_type"),
-            doc_type_confidence=F.when(F.col("hit.doc_type").isNotNull(), conf).otherwise(0.0), doc_category=F.col("hit.doc_category"), company=F.col("hit.company"),
-            year=none.cast("int"), source=source, needs_llm=needs, is_valid=F.col("hit").isNotNull(),
-            validation_errors=F.when(F.col("_short"), F.array(F.lit("Text too short"))).otherwise(text_array), validation_warnings=text_array, raw_llm_response=none.cast("string"),
-        )
-
-    hits = from_template(matched.filter("_hit"), F.lit("template_cache"), F.lit(1.0), F.lit(False))
-    misses = matched.filter("not _hit")
+    ask = ~F.col("_short") & ~F.col("_hit")
+    rows = matched.withColumn("_hit", accepted).withColumn("ask_text", F.when(ask & F.lit(responder is not None), F.col("text")))
+    text_array = F.array().cast("array<string>")
     if responder is None:
-        part = F.col("hit").isNotNull() & ~F.col("_short")
-        rest = misses.withColumn("hit", F.when(part, F.col("hit")))
-        return hits.unionByName(from_template(rest, F.when(part, "template_cache_partial").otherwise("no_match"), F.lit(PARTIAL_FACTOR), ~F.col("_short")))
-    aside = from_template(misses.filter("_short").withColumn("hit", F.when(F.lit(False), F.col("hit"))), F.lit("no_match"), F.lit(1.0), F.lit(False))
-    asked = misses.filter("not _short")
-    # exploding an array of one keeps Spark from writing these expressions out once for each of the filters and columns that follow
-    answered = asked.join(responder(asked), "doc_id", "left").withColumn("a", F.explode(F.array(parse_response(F.col("raw_response"), F.col("text")))))
-    answered = answered.withColumn("g", F.explode(F.array(checks.check(F.col("a.country"), F.col("a.company"), F.col("a.year"), F.col("text")))))
+        partial = ask & F.col("hit").isNotNull()
+        found = {"hit": F.when(F.col("_hit") | partial, F.col("hit"))}
+        factor = F.when(F.col("_hit"), 1.0).otherwise(PARTIAL_FACTOR)
+        source = F.when(F.col("_hit"), "template_cache").when(partial, "template_cache_partial").otherwise("no_match")
+        rows = rows.withColumns({"source": source, "raw_response": F.lit(None).cast("string"), **found})
+    else:
+        factor = F.lit(1.0)
+        source = F.when(F.col("_hit"), "template_cache").when(F.col("_short"), "no_match").otherwise("llm")
+        rows = responder(rows.withColumns({"source": source, "hit": F.when(F.col("_hit"), F.col("hit"))}))
+    # exploding an array of one keeps Spark from writing these expressions out once for each of the columns that follow
+    rows = rows.withColumn("a", F.explode(F.array(parse_response(F.col("raw_response"), F.col("ask_text")))))
+    rows = rows.withColumn("g", F.explode(F.array(checks.check(F.col("a.country"), F.col("a.company"), F.col("a.year"), F.col("ask_text")))))
+    llm = F.col("source") == "llm"
+    conf = F.coalesce(F.col("hit.confidence") * factor, F.lit(0.0))
     penalty = F.col("g.penalty") if guard else F.lit(0.0)
-    lowered = lambda c: F.greatest(F.lit(0.0), F.col(c) - penalty)
-    answers = shaped(
-        answered, country=F.col("a.country"), country_confidence=lowered("a.country_confidence"), doc_type=F.col("a.doc_type"),
-        doc_type_confidence=lowered("a.doc_type_confidence"), doc_category=F.col("a.doc_category"), company=F.col("a.company"), year=F.col("a.year"),
-        source=F.lit("llm"), needs_llm=F.lit(False), is_valid=F.col("a.is_valid") & (F.col("g.is_valid") if guard else F.lit(True)),
-        validation_errors=F.concat("a.errors", F.col("g.errors")) if guard else F.col("a.errors"), validation_warnings=F.col("g.warnings") if guard else text_array,
-        raw_llm_response=F.col("raw_response"),
+
+    def either(f: str) -> Column:
+        return F.when(llm, F.col(f"a.{f}")).otherwise(F.col(f"hit.{f}"))
+
+    def sure(f: str) -> Column:
+        return F.when(llm, F.greatest(F.lit(0.0), F.col(f"a.{f}_confidence") - penalty)).when(F.col(f"hit.{f}").isNotNull(), conf).otherwise(0.0)
+
+    said = F.concat("a.errors", "g.errors") if guard else F.col("a.errors")
+    answered = F.col("a.is_valid") & (F.col("g.is_valid") if guard else F.lit(True))
+    out = rows.select(
+        "doc_id", either("country").alias("country"), sure("country").alias("country_confidence"), either("doc_type").alias("doc_type"),
+        sure("doc_type").alias("doc_type_confidence"), either("doc_category").alias("doc_category"), either("company").alias("company"),
+        F.when(llm, F.col("a.year")).alias("year"), "source", (~F.col("_hit") & ~F.col("_short") & F.lit(responder is None)).alias("needs_llm"),
+        F.when(llm, answered).otherwise(F.col("hit").isNotNull()).alias("is_valid"),
+        F.when(llm, said).when(F.col("_short"), F.array(F.lit("Text too short"))).otherwise(text_array).alias("validation_errors"),
+        F.when(llm & F.lit(guard), F.col("g.warnings")).otherwise(text_array).alias("validation_warnings"),
+        F.when(llm, F.col("raw_response")).alias("raw_llm_response"), "fingerprint", "header_hash", "company_hint",
     )
-    return hits.unionByName(aside).unionByName(answers)
+    out = out.withColumn("confidence", row_confidence(F.col("country_confidence"), F.col("doc_type_confidence")))
+    return out.select(*RESULT, "fingerprint", "header_hash", "company_hint")
+
+
+ROUTE_CONFIDENCE = 0.7
+
+
+def route(results: DataFrame, cache_only: bool = False, min_confidence: float = ROUTE_CONFIDENCE) -> DataFrame:
+    """Results of ``classify`` with the status of a batch run and its message.
+
+    Too short a text is an error. In a run on the cache alone, what it does not answer waits as
+    ``pending_llm``. Valid results of enough confidence are ok, others errors with reasons and confidence.
+    """
+    short = (F.col("source") == "no_match") & F.array_contains("validation_errors", "Text too short")
+    waits = F.lit(cache_only) & (F.col("source") == "no_match") & ~short
+    sure = F.coalesce("is_valid", F.lit(False)) & (F.coalesce("confidence", F.lit(0.0)) >= min_confidence)
+    status = F.when(short, "error").when(waits, "pending_llm").when(sure, "ok").otherwise("error")
+    reason = error_message(F.coalesce("validation_errors", F.array().cast("array<string>")), F.coalesce("confidence", F.lit(0.0)))
+    message = F.when(short, "Empty or too short text").when(waits, "No cache match (cache-only mode)").when(~sure, reason)
+    return results.withColumns({"status": status, "error_msg": message})
 
 
 def learn_from(templates: DataFrame, results: DataFrame, now: Column, threshold: float = LEARN_THRESHOLD) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import entities, guard, paths, responses, text, validators
 from ..functions.dictionaries import VAT_FORMATS
 from ..operators import chat, likeness, progress, reports, templates
-from ..plans.classify import can_use_llm, classify, learn_from
+from ..plans.classify import can_use_llm, classify, learn_from, route
 from ..plans.organize import organize_plan
-from .inputs import ENDPOINTS, INVOICES, PROGRESS, answers, endpoint_log, invoices, progress_seed, table, template_seed
+from .inputs import DATED, ENDPOINTS, EVIDENCE, INVOICES, PROGRESS, answers, dated_invoices, endpoint_log, evidence_texts, invoices, progress_seed, table, template_seed
+from .stub import stub_responder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,11 +36,12 @@ def _offset(kind: str) -> str:
     return f"CASE WHEN regexp_matches(text, '{p}') THEN '{kind}:' || (length(regexp_extract(text, '(?s)^(.*?)(?:{p})', 1)) // 100) END"
 
 
+HINT = "nullif(lower(trim(regexp_extract(upper(substring(text, 1, 500)), '([A-Z][A-Za-z]+(?:\\s+[A-Z][A-Za-z]+){0,3})\\s+(?:GMBH|AG|SA|SAS|SRL|LTD|PLC|INC|BV|NV)', 1))), '')"
 PRINTS = f"""prints AS (
-  SELECT doc_id, text, {_normal("substring(text, 1, 500)")} AS header,
+  SELECT doc_id, text, {HINT} AS company_hint, {_normal("substring(text, 1, 500)")} AS header,
          concat_ws('|', {", ".join(_offset(k) for k in ("amount", "date", "iban", "vat"))}) AS structure
   FROM documents), marked AS (
-  SELECT doc_id, text, structure, substring(md5(header), 1, 16) AS header_hash, substring(sha256(header || '|' || structure), 1, 32) AS fingerprint FROM prints)"""
+  SELECT doc_id, text, company_hint, structure, substring(md5(header), 1, 16) AS header_hash, substring(sha256(header || '|' || structure), 1, 32) AS fingerprint FROM prints)"""
 
 
 @query(f"WITH {PRINTS} SELECT doc_id, header_hash, structure, fingerprint FROM marked")
@@ -87,24 +89,31 @@ def extract_contacts(spark, sf_dir):
 
 
 @query(
-    f"""WITH {INVOICES} SELECT doc_id, {_all(r"VAT: (DE[0-9]{9})")} AS vat_numbers, {_all(r"\b([A-Z]{2}[0-9]{2}[A-Z0-9]{8,30})\b", "x", "length(x) >= 15")} AS ibans,
+    f"""WITH {DATED}, ys AS (SELECT *, list_filter(found, lambda y: y BETWEEN 2000 AND 2030) AS years FROM dated),
+    counted AS (SELECT *, list_transform(range(1, len(years) + 1), lambda i: struct_pack(n := -len(list_filter(years, lambda y: y = years[i])), i := i)) AS k FROM ys)
+    SELECT doc_id, {_all(r"VAT: (DE[0-9]{9})")} AS vat_numbers, {_all(r"\b([A-Z]{2}[0-9]{2}[A-Z0-9]{8,30})\b", "x", "length(x) >= 15")} AS ibans,
     regexp_extract(text, 'Invoice No: (INV-[0-9]+)', 1) AS invoice_number, regexp_extract(text, 'Total: ([0-9.]+)', 1) AS amounts,
-    regexp_extract(text, ' (EUR|PLN)', 1) AS currencies, year(o_orderdate)::INT AS found_year FROM invoices"""
+    regexp_extract(text, ' (EUR|PLN)', 1) AS currencies, years[list_sort(k)[1].i]::INT AS found_year FROM counted"""
 )
 def extract_invoice_entities(spark, sf_dir):
-    found = entities.with_entities(invoices(spark, sf_dir))
-    year = F.when(F.col("year").isNull(), F.regexp_extract("text", r"\.(\d{4})\n", 1).cast("int")).otherwise(F.col("year"))
-    return found.select("doc_id", _sorted("vat_numbers"), _sorted("ibans"), "invoice_number", _sorted("amounts"), _sorted("currencies"), year.alias("found_year"))
+    """Invoices with up to four dates: years before 2000, years in two digits, repeats and ties."""
+    found = entities.with_entities(dated_invoices(spark, sf_dir))
+    return found.select("doc_id", _sorted("vat_numbers"), _sorted("ibans"), "invoice_number", _sorted("amounts"), _sorted("currencies"), F.col("year").alias("found_year"))
 
 
 @query(
-    f"""WITH {INVOICES} SELECT doc_id, 'germany' AS country,
-    CASE WHEN doc_id % 3 = 0 AND false THEN 0.0 ELSE 1 - (1 - 0.95::DOUBLE) * (1 - 0.90::DOUBLE) END AS country_confidence, 'vat' AS country_source FROM invoices"""
+    f"""WITH {EVIDENCE}, e AS (
+      SELECT doc_id, 1 AS rank, vat_country AS country, 0.95::DOUBLE AS c, 'vat' AS source FROM evidence UNION ALL SELECT doc_id, 2, iban_country, 0.90::DOUBLE, 'iban' FROM evidence
+      UNION ALL SELECT doc_id, 3, bic_country, 0.85::DOUBLE, 'bic' FROM evidence UNION ALL SELECT doc_id, 4, money_country, money, 'currency' FROM evidence),
+    g AS (SELECT doc_id, country, list(c ORDER BY rank) AS cs, min(rank) AS first, arg_min(source, rank) AS source FROM e WHERE country IS NOT NULL GROUP BY 1, 2),
+    f AS (SELECT *, list_reduce(cs[2:], lambda a, c: 1 - (1 - a) * (1 - c), cs[1]) AS confidence FROM g),
+    w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, first) AS n FROM f)
+    SELECT evidence.doc_id, w.country, round(coalesce(w.confidence, 0.0), 9) AS country_confidence, w.source AS country_source FROM evidence LEFT JOIN w ON evidence.doc_id = w.doc_id AND n = 1"""
 )
 def country_evidence(spark, sf_dir):
-    return entities.with_entities(invoices(spark, sf_dir)).select("doc_id", "country", "country_confidence", "country_source")
-
-
+    """Texts whose VAT number, IBAN, BIC and currency agree, disagree or are missing."""
+    found = entities.with_entities(evidence_texts(spark, sf_dir))
+    return found.select("doc_id", "country", F.round("country_confidence", 9).alias("country_confidence"), "country_source")
 
 
 def _sum(digits: str, n: int) -> str:
@@ -201,9 +210,19 @@ def company_similarity(spark, sf_dir):
 
 
 SEED = f"""{PRINTS}, seed AS (
-  SELECT min(doc_id) AS id, fingerprint, arg_min(header_hash, doc_id) AS header_hash FROM marked WHERE doc_id % 2 = 0 GROUP BY fingerprint), templates AS (
-  SELECT id, fingerprint, header_hash, CASE WHEN id % 3 = 0 THEN 'germany' ELSE 'france' END AS country, 'Company ' || id % 10 AS company,
+  SELECT min(doc_id) AS id, fingerprint, arg_min(struct_pack(h := header_hash, c := company_hint), doc_id) AS d FROM marked WHERE doc_id % 2 = 0 GROUP BY fingerprint), templates AS (
+  SELECT id, fingerprint, d.h AS header_hash, d.c AS company_hint, CASE WHEN id % 3 = 0 THEN 'germany' ELSE 'france' END AS country, 'Company ' || id % 10 AS company,
          0.90::DOUBLE + (id % 10) / 100.0::DOUBLE AS confidence, id % 13 AS hit_count, to_timestamp(1700000000 + id * 86400)::TIMESTAMP AS created_at FROM seed)"""
+MATCHED = f"""{SEED}, best AS (SELECT header_hash, arg_min(struct_pack(id := id, confidence := confidence, country := country), (-hit_count, id)) AS h FROM templates GROUP BY 1),
+    hints AS (SELECT DISTINCT company_hint AS hint FROM marked WHERE length(company_hint) >= 3),
+    near AS (SELECT hint, arg_min(struct_pack(id := t.id, confidence := t.confidence, country := t.country), (-t.hit_count, -t.confidence, t.id)) AS f
+      FROM hints JOIN templates t ON contains(t.company_hint, hint) GROUP BY 1),
+    j AS (SELECT m.doc_id, m.text, t.id AS e_id, t.confidence AS e_conf, t.country AS e_country, b.h, near.f,
+      CASE WHEN coalesce(length(m.text), 0) < 50 THEN NULL WHEN t.confidence >= 0.92 THEN 'exact' WHEN b.h.confidence >= 0.92 THEN 'header' WHEN near.f.confidence >= 0.90 THEN 'fuzzy' END AS tier
+      FROM marked m LEFT JOIN templates t USING (fingerprint) LEFT JOIN best b ON m.header_hash = b.header_hash LEFT JOIN near ON m.company_hint = near.hint),
+    matched AS (SELECT doc_id, text, tier, CASE tier WHEN 'exact' THEN e_id WHEN 'header' THEN h.id WHEN 'fuzzy' THEN f.id END AS template_id,
+      CASE tier WHEN 'exact' THEN e_country WHEN 'header' THEN h.country WHEN 'fuzzy' THEN f.country END AS country,
+      CASE tier WHEN 'exact' THEN e_conf WHEN 'header' THEN h.confidence * 0.98::DOUBLE WHEN 'fuzzy' THEN f.confidence * 0.90::DOUBLE END AS confidence FROM j)"""
 
 
 def _matched(spark, sf_dir):
@@ -211,26 +230,16 @@ def _matched(spark, sf_dir):
     return templates.match_templates(docs, template_seed(spark, sf_dir), 0.92)
 
 
-@query(
-    f"""WITH {SEED}, best AS (SELECT header_hash, arg_min(struct_pack(id := id, confidence := confidence, country := country), (-hit_count, id)) AS h FROM templates GROUP BY 1),
-    j AS (SELECT m.doc_id, length(m.text) AS n, t.id AS e_id, t.confidence AS e_conf, t.country AS e_country, b.h FROM marked m LEFT JOIN templates t USING (fingerprint) LEFT JOIN best b ON m.header_hash = b.header_hash)
-    SELECT doc_id, CASE WHEN n >= 50 AND e_conf >= 0.92 THEN 'exact' WHEN n >= 50 AND h.confidence >= 0.92 THEN 'header' END AS tier,
-      CASE WHEN n >= 50 AND e_conf >= 0.92 THEN e_id WHEN n >= 50 AND h.confidence >= 0.92 THEN h.id END AS template_id,
-      CASE WHEN n >= 50 AND e_conf >= 0.92 THEN e_country WHEN n >= 50 AND h.confidence >= 0.92 THEN h.country END AS country,
-      CASE WHEN n >= 50 AND e_conf >= 0.92 THEN e_conf WHEN n >= 50 AND h.confidence >= 0.92 THEN h.confidence * 0.98::DOUBLE END AS confidence FROM j"""
-)
+@query(f"WITH {MATCHED} SELECT doc_id, tier, template_id, country, confidence FROM matched")
 def template_match(spark, sf_dir):
-    """The exact and header tiers; documents without them that a hint matches keep a null tier here."""
-    m = _matched(spark, sf_dir)
-    own = lambda f: F.when(F.col("tier").isin("exact", "header"), F.col(f))
-    return m.select("doc_id", own("tier").alias("tier"), own("hit.id").alias("template_id"), own("hit.country").alias("country"), own("hit.confidence").alias("confidence"))
+    """The tier that served each document, exact before header before containment of the hint."""
+    hit = (F.col(f"hit.{f}").alias(a) for f, a in (("id", "template_id"), ("country", "country"), ("confidence", "confidence")))
+    return _matched(spark, sf_dir).select("doc_id", "tier", *hit)
 
 
-@query()
+@query(f"WITH {MATCHED} SELECT doc_id, tier, template_id, country, confidence FROM matched")
 def template_match_tiers(spark, sf_dir):
-    """All three tiers; the SQL of ``template_match`` has no containment tier."""
-    hit = (F.col(f"hit.{f}").alias(a) for f, a in (("id", "template_id"), ("country", "country"), ("confidence", "confidence")))
-    return _matched(spark, sf_dir).select("doc_id", "tier", *hit)
+    return template_match(spark, sf_dir)
 
 
 @query(
@@ -250,50 +259,108 @@ def age_out(spark, sf_dir):
     return templates.age_out(template_seed(spark, sf_dir), F.lit("2024-06-01").cast("timestamp"), 90).select("id", "fingerprint")
 
 
-@query()
+@query(
+    f"""WITH {MATCHED} SELECT count(*) FILTER (length(text) >= 50) AS total_queries, count(tier) AS total_hits, count(tier)::DOUBLE / count(*) FILTER (length(text) >= 50) AS hit_rate FROM matched"""
+)
 def cache_hit_rate(spark, sf_dir):
     return templates.hit_rate(_matched(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {MATCHED}, h AS (SELECT template_id AS id, count(*) AS hits FROM matched WHERE tier IS NOT NULL GROUP BY 1)
+    SELECT t.id, t.hit_count + coalesce(hits, 0) AS hit_count, CASE WHEN hits > 0 THEN TIMESTAMP '2024-06-01' END AS last_hit_at FROM templates t LEFT JOIN h ON t.id = h.id"""
+)
 def record_hits(spark, sf_dir):
     seed = template_seed(spark, sf_dir)
     return templates.record_hits(seed, _matched(spark, sf_dir), F.lit("2024-06-01").cast("timestamp")).select("id", "hit_count", "last_hit_at")
 
 
+_ANSWERED = """a AS (SELECT 'c' || o_custkey AS fingerprint, o_orderkey, 0.80::DOUBLE + (o_orderkey % 20) / 100.0::DOUBLE AS confidence,
+      CASE WHEN o_orderkey % 3 > 0 THEN 'cat' || o_orderkey % 5 END AS category, 'land' || o_orderkey % 4 AS country FROM orders), g AS (SELECT * FROM a WHERE confidence >= 0.85),
+    l AS (SELECT fingerprint, list(confidence ORDER BY o_orderkey) AS c, count(*) AS k, arg_min(country, o_orderkey) AS country,
+      arg_max(category, o_orderkey) FILTER (category IS NOT NULL) AS category FROM g GROUP BY 1)"""
+
+
+def _answered(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("doc_id"), F.concat(F.lit("c"), "o_custkey").alias("fingerprint"), F.lit("").alias("header_hash"), F.lit(None).cast("string").alias("company_hint"),
+        F.concat(F.lit("land"), k % 4).alias("country"), F.lit("invoice").alias("doc_type"), F.when(k % 3 > 0, F.concat(F.lit("cat"), k % 5)).alias("doc_category"), F.lit("x").alias("company"),
+        (F.lit(0.80) + (k % 20) / 100.0).cast("double").alias("confidence"),
+    )
+
+
 @query(
-    """WITH a AS (SELECT 'c' || o_custkey AS fingerprint, o_orderkey, 0.80::DOUBLE + (o_orderkey % 20) / 100.0::DOUBLE AS confidence FROM orders), g AS (SELECT * FROM a WHERE confidence >= 0.85),
-    l AS (SELECT fingerprint, list(confidence ORDER BY o_orderkey) AS c, count(*) AS k FROM g GROUP BY 1)
-    SELECT fingerprint, list_reduce(c[2:], lambda x, y: least(greatest(x, y) + 0.02::DOUBLE, 0.99::DOUBLE), c[1]) AS confidence, (k - 1)::BIGINT AS hit_count FROM l"""
+    f"""WITH {_ANSWERED} SELECT fingerprint, country, category AS doc_category, list_reduce(c[2:], lambda x, y: least(greatest(x, y) + 0.02::DOUBLE, 0.99::DOUBLE), c[1]) AS confidence, (k - 1)::BIGINT AS hit_count FROM l"""
 )
 def template_learn(spark, sf_dir):
-    a = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("c"), "o_custkey").alias("fingerprint"), F.lit("").alias("header_hash"), F.lit(None).cast("string").alias("company_hint"),
-        F.lit("germany").alias("country"), F.lit("invoice").alias("doc_type"), F.lit("financial").alias("doc_category"), F.lit("x").alias("company"),
-        (F.lit(0.80) + (F.col("o_orderkey") % 20) / 100.0).cast("double").alias("confidence"),
-    )
+    """Answers learned into an empty table."""
     empty = spark.createDataFrame([], templates.TEMPLATE)
-    return templates.learn(empty, a, F.lit("2024-06-01").cast("timestamp")).select("fingerprint", "confidence", "hit_count")
+    return templates.learn(empty, _answered(spark, sf_dir), F.lit("2024-06-01").cast("timestamp")).select("fingerprint", "country", "doc_category", "confidence", "hit_count")
+
+
+@query(
+    f"""WITH {_ANSWERED}, t AS (SELECT c_custkey AS id, 'c' || c_custkey AS fingerprint, 0.50::DOUBLE + (c_custkey % 50) / 100.0::DOUBLE AS confidence, c_custkey % 9 AS hit_count,
+      CASE WHEN c_custkey % 4 > 0 THEN 'old' END AS category FROM customer WHERE c_custkey % 2 = 0)
+    SELECT coalesce(t.fingerprint, l.fingerprint) AS fingerprint, t.id, CASE WHEN t.id IS NULL THEN l.country ELSE 'oldland' END AS country, coalesce(l.category, t.category) AS doc_category,
+      CASE WHEN t.id IS NULL THEN list_reduce(c[2:], lambda x, y: least(greatest(x, y) + 0.02::DOUBLE, 0.99::DOUBLE), c[1])
+           WHEN k IS NULL THEN t.confidence ELSE list_reduce(c, lambda x, y: least(greatest(x, y) + 0.02::DOUBLE, 0.99::DOUBLE), t.confidence) END AS confidence,
+      (coalesce(t.hit_count, 0) + coalesce(k, 0) - CASE WHEN t.id IS NULL THEN 1 ELSE 0 END)::BIGINT AS hit_count,
+      CASE WHEN t.id IS NULL THEN TIMESTAMP '2024-06-01' ELSE TIMESTAMP '2024-01-01' END AS created_at,
+      CASE WHEN k - CASE WHEN t.id IS NULL THEN 1 ELSE 0 END > 0 THEN TIMESTAMP '2024-06-01' END AS last_hit_at
+    FROM t FULL JOIN l ON t.fingerprint = l.fingerprint"""
+)
+def template_learn_merge(spark, sf_dir):
+    """Answers learned into a table that holds half of their fingerprints: first values stay, the category follows, hits add up."""
+    k = F.col("c_custkey")
+    held = table(spark, sf_dir, "customer").filter(k % 2 == 0).select(
+        k.cast("long").alias("id"), F.concat(F.lit("c"), k).alias("fingerprint"), F.lit("").alias("header_hash"), F.lit(None).cast("string").alias("company_hint"), F.lit("oldland").alias("country"),
+        F.lit("invoice").alias("doc_type"), F.when(k % 4 > 0, "old").alias("doc_category"), F.lit("y").alias("company"), (F.lit(0.50) + (k % 50) / 100.0).cast("double").alias("confidence"),
+        (k % 9).cast("long").alias("hit_count"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("last_hit_at"),
+    )
+    out = templates.learn(held, _answered(spark, sf_dir), F.lit("2024-06-01").cast("timestamp"))
+    return out.select("fingerprint", F.when(F.col("country") == "oldland", F.col("id")).alias("id"), "country", "doc_category", "confidence", "hit_count", "created_at", "last_hit_at")
 
 
 @query()
 def classify_cascade(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = classify(docs, template_seed(spark, sf_dir), hit_threshold=0.92)
+    out = classify(docs, template_seed(spark, sf_dir), stub_responder, hit_threshold=0.92)
     return out.select("doc_id", "country", "doc_type", "doc_category", "company", "year", "source", "needs_llm", "is_valid", "confidence")
 
 
-@query()
-def classify_day_mode(spark, sf_dir):
+_DAY = f"""{MATCHED}, day AS (SELECT doc_id, length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31))) < 20 AS short,
+      tier IS NOT NULL AS known, confidence AS c FROM matched),
+    judged AS (SELECT doc_id, CASE WHEN NOT short AND known AND c >= 0.97 THEN 'template_cache' WHEN NOT short AND known THEN 'template_cache_partial' ELSE 'no_match' END AS source,
+      NOT short AND NOT (known AND c >= 0.97) AS needs_llm, NOT short AND known AS is_valid, short,
+      CASE WHEN short OR NOT known THEN 0.0::DOUBLE WHEN c >= 0.97 THEN c ELSE c * 0.9::DOUBLE END AS confidence FROM day)"""
+
+
+def _day_mode(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return classify(docs, template_seed(spark, sf_dir), None, hit_threshold=0.97).select("doc_id", "source", "needs_llm", "is_valid", "confidence")
+    return classify(docs, template_seed(spark, sf_dir), None, hit_threshold=0.97)
+
+
+@query(f"WITH {_DAY.replace('>= 0.92', '>= 0.95')} SELECT doc_id, source, needs_llm, is_valid, round(confidence, 9) AS confidence FROM judged")
+def classify_day_mode(spark, sf_dir):
+    """The cascade without a model: templates alone, partial answers at nine tenths."""
+    return _day_mode(spark, sf_dir).select("doc_id", "source", "needs_llm", "is_valid", F.round("confidence", 9).alias("confidence"))
+
+
+@query(
+    f"""WITH {_DAY.replace('>= 0.92', '>= 0.95')} SELECT doc_id, CASE WHEN short THEN 'error' WHEN source = 'no_match' THEN 'pending_llm' WHEN is_valid AND confidence >= 0.9 THEN 'ok' ELSE 'error' END AS status,
+      CASE WHEN short THEN 'Empty or too short text' WHEN source = 'no_match' THEN 'No cache match (cache-only mode)' WHEN NOT (is_valid AND confidence >= 0.9) THEN printf('Low confidence (conf=%.2f)', confidence) END AS error_msg FROM judged"""
+)
+def route_cache_only(spark, sf_dir):
+    """Statuses of a run on the cache alone."""
+    return route(_day_mode(spark, sf_dir), cache_only=True, min_confidence=0.9).select("doc_id", "status", "error_msg")
 
 
 @query()
 def classify_and_learn(spark, sf_dir):
     docs = invoices(spark, sf_dir).select("doc_id", "text")
     empty = spark.createDataFrame([], templates.TEMPLATE)
-    return learn_from(empty, classify(docs, empty), F.lit("2024-06-01").cast("timestamp")).select("fingerprint", "country", "company", "confidence", "hit_count")
+    return learn_from(empty, classify(docs, empty, stub_responder), F.lit("2024-06-01").cast("timestamp")).select("fingerprint", "country", "company", "confidence", "hit_count")
 
 
 _MEASURES = """count(*) AS total, sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END)::BIGINT AS ok, sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END)::BIGINT AS errors,
@@ -375,16 +442,23 @@ def count_by_type(spark, sf_dir):
 
 
 @query(
-    f"""WITH {RESULTS}, c AS (SELECT company, count(*) AS n FROM routed GROUP BY 1 ORDER BY n DESC, company LIMIT 10)
-    SELECT company, n, n::DOUBLE / (SELECT sum(n) FROM c) AS share, repeat('#', floor(n::DOUBLE / (SELECT sum(n) FROM c) * 100 / 2)::INT) AS bar FROM c"""
+    f"""WITH {RESULTS}, c AS (SELECT company, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM routed WHERE company IS NOT NULL) AS share FROM routed GROUP BY 1)
+    SELECT company, n, share, repeat('#', floor(share * 100 / 2)::INT) AS bar FROM c ORDER BY n DESC, company LIMIT 10"""
 )
 def top_companies(spark, sf_dir):
-    return reports.with_share(reports.count_by(_results(spark, sf_dir), "company", limit=10), bar=True)
+    """The ten most frequent companies with their shares of all rows."""
+    return reports.count_by(_results(spark, sf_dir), "company", limit=10, bar=True)
+
+
+@query(f"WITH {RESULTS} SELECT coalesce(country, 'unknown') AS country, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM routed WHERE status = 'success') AS share FROM routed WHERE status = 'success' GROUP BY 1")
+def count_by_country(spark, sf_dir):
+    return reports.count_by(organize_plan(_results(spark, sf_dir), "/out", use_trash=False).filter("status = 'success'"), "country", "unknown", share=True)
 
 
 _STATS = """SELECT endpoint, count(*) AS requests, count(*) FILTER (error IS NULL) AS successful, count(*) FILTER (error IS NOT NULL) AS failed, coalesce(sum(elapsed) FILTER (error IS NULL), 0.0::DOUBLE) AS total_time,
   min(elapsed) FILTER (error IS NULL) AS min_time, max(elapsed) FILTER (error IS NULL) AS max_time, avg(elapsed) FILTER (error IS NULL) AS avg_time,
-  (sum(tokens) FILTER (error IS NULL))::DOUBLE / sum(elapsed) FILTER (error IS NULL) AS tokens_per_sec, (count(*) FILTER (error IS NULL))::DOUBLE / count(*) AS success_rate FROM log GROUP BY endpoint"""
+  (sum(tokens) FILTER (error IS NULL))::DOUBLE / sum(elapsed) FILTER (error IS NULL) AS tokens_per_sec, (count(*) FILTER (error IS NULL))::DOUBLE / count(*) AS success_rate,
+  coalesce(sum(tokens) FILTER (error IS NULL), 0)::BIGINT AS total_tokens FROM log GROUP BY endpoint"""
 
 
 @query(f"WITH {ENDPOINTS} {_STATS}")
@@ -393,20 +467,124 @@ def endpoint_stats(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ENDPOINTS}, s AS ({_STATS}) SELECT string_split(endpoint, ':')[1] AS host, sum(requests)::BIGINT AS requests, sum(successful)::BIGINT AS successful, count(*) AS endpoints FROM s GROUP BY 1"""
+    f"""WITH {ENDPOINTS}, s AS ({_STATS}) SELECT string_split(endpoint, ':')[1] AS host, sum(requests)::BIGINT AS requests, sum(successful)::BIGINT AS successful, count(*) AS endpoints,
+    sum(total_tokens)::DOUBLE / sum(total_time) AS tokens_per_sec, string_agg(endpoint, ',' ORDER BY endpoint) AS ports FROM s GROUP BY 1"""
 )
 def host_ranking(spark, sf_dir):
-    return reports.host_ranking(reports.endpoint_stats(endpoint_log(spark, sf_dir)), F.substring_index("endpoint", ":", 1)).drop("tokens_per_sec")
+    ranked = reports.host_ranking(reports.endpoint_stats(endpoint_log(spark, sf_dir)), F.substring_index("endpoint", ":", 1))
+    return ranked.withColumn("ports", F.array_join("ports", ","))
+
+
+@query(
+    f"""WITH {ENDPOINTS} SELECT string_split(endpoint, ':')[1] AS host, avg(elapsed) AS avg_time, sum(tokens)::DOUBLE / sum(elapsed) AS tokens_per_sec FROM log WHERE error IS NULL GROUP BY 1"""
+)
+def host_speed(spark, sf_dir):
+    return reports.host_speed(endpoint_log(spark, sf_dir), F.substring_index("endpoint", ":", 1))
 
 
 @query(
-    f"""WITH {ENDPOINTS}, g AS (SELECT pdf_file, count(*) AS answers, count(DISTINCT trim(lower(country))) = 1 AS same_country, count(DISTINCT doc_type) = 1 AS same_doc_type, true AS same_company,
-    count(DISTINCT year) = 1 AS same_year FROM log WHERE error IS NULL GROUP BY 1) SELECT *, same_country AND same_doc_type AND same_company AND same_year AS consistent FROM g"""
+    f"""WITH {ENDPOINTS}, g AS (SELECT pdf_file, count(*) AS answers, count(DISTINCT trim(lower(country))) = 1 AS same_country, count(DISTINCT doc_type) = 1 AS same_doc_type,
+    list_sort(list_distinct(list(trim(lower(company))))) AS cs, count(DISTINCT year) = 1 AS same_year FROM log WHERE error IS NULL GROUP BY 1),
+    c AS (SELECT pdf_file, answers, same_country, same_doc_type, len(cs) = 1 OR (len(cs) = 2 AND (contains(cs[1], cs[2]) OR contains(cs[2], cs[1]))) AS same_company, same_year FROM g)
+    SELECT *, same_country AND same_doc_type AND same_company AND same_year AS consistent FROM c"""
 )
 def consistency(spark, sf_dir):
     return reports.consistency(endpoint_log(spark, sf_dir))
 
 
+@query(
+    """WITH e AS (SELECT 'http://' || h || ':' || p AS endpoint FROM (VALUES ('a'), ('b')) x(h), (VALUES (1), (2), (3)) y(p)), f AS (SELECT p_partkey AS file FROM part ORDER BY p_partkey LIMIT 50) SELECT file, endpoint FROM f, e"""
+)
+def benchmark_requests(spark, sf_dir):
+    """The first fifty files, each asked of every endpoint."""
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file")).orderBy("file").limit(50)
+    return reports.requests_for(files, ["a", "b"], [1, 2, 3])
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN turn % 3 > 0 THEN turn % 3 ELSE len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) END AS tokens FROM conversations"""
+)
+def token_fallback(spark, sf_dir):
+    """Reported tokens, or words where none are reported."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", reports.token_count((F.col("turn") % 3).cast("long"), F.col("text")).alias("tokens"))
+
+
+@query(
+    "SELECT user_id, CASE WHEN user_id % 7 = 0 THEN 'DEAD' WHEN arg_max(event_type, event_id) <> 'error' THEN 'OK' ELSE 'DOWN' END AS status FROM events GROUP BY 1"
+)
+def endpoint_status(spark, sf_dir):
+    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last"))
+    return last.select("user_id", reports.endpoint_status(F.col("last") != "error", F.col("user_id") % 7 == 0).alias("status"))
+
+
+@query(
+    f"""WITH {PROGRESS}, s AS (SELECT count(*) AS processed, count(*) FILTER (status = 'ok' AND source = 'template_cache') AS cache_hits, count(*) FILTER (status = 'ok' AND source <> 'template_cache') AS llm_calls,
+      count(*) FILTER (status = 'error') AS errors FROM progress WHERE status <> 'pending_llm')
+    SELECT *, processed / 100.0::DOUBLE AS files_per_sec, floor((1000000 - processed) / (processed / 100.0::DOUBLE))::BIGINT AS seconds_left FROM s"""
+)
+def session_counters(spark, sf_dir):
+    return reports.session_counters(progress_seed(spark, sf_dir), 100.0, 1_000_000)
+
+
+_VISION = """v AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN 'unreadable' END AS error, CASE WHEN c_custkey % 13 = 0 THEN 'blurred' END AS warning,
+    CASE c_custkey % 5 WHEN 0 THEN ' north korea ' WHEN 1 THEN 'FRANCE' WHEN 2 THEN NULL WHEN 3 THEN '???' ELSE 'côte: sud/est' END AS country,
+    CASE c_custkey % 7 WHEN 0 THEN 'not_a_document' WHEN 1 THEN 'id card' WHEN 2 THEN NULL ELSE 'pass<port>' END AS document_type FROM customer)"""
+
+
+def _vision(spark, sf_dir):
+    k = F.col("c_custkey")
+    country = F.when(k % 5 == 0, " north korea ").when(k % 5 == 1, "FRANCE").when(k % 5 == 3, "???").when(k % 5 == 4, "côte: sud/est")
+    kind = F.when(k % 7 == 0, "not_a_document").when(k % 7 == 1, "id card").when(k % 7 > 2, "pass<port>")
+    return table(spark, sf_dir, "customer").select(
+        k.alias("k"), F.when(k % 11 == 0, "unreadable").alias("error"), F.when(k % 13 == 0, "blurred").alias("warning"), country.alias("country"), kind.alias("document_type")
+    )
+
+
+@query(
+    f"""WITH {_VISION} SELECT k, CASE WHEN error IS NOT NULL THEN '_errors' WHEN document_type = 'not_a_document' OR warning IS NOT NULL THEN '_unknown'
+      ELSE CASE k % 5 WHEN 0 THEN 'North_Korea' WHEN 1 THEN 'France' WHEN 2 THEN 'Unknown' WHEN 3 THEN 'unknown' ELSE 'Côte_Sudest' END || '/' ||
+           CASE k % 7 WHEN 1 THEN 'id_card' WHEN 2 THEN 'unknown' ELSE 'passport' END END AS folder FROM v"""
+)
+def vision_folder(spark, sf_dir):
+    return reports.vision_folder(_vision(spark, sf_dir)).select("k", "folder")
+
+
+@query(f"WITH {_VISION} SELECT coalesce(country, '?') || '/' || coalesce(document_type, '?') AS key, count(*) AS n FROM v WHERE error IS NULL GROUP BY 1")
+def vision_counts(spark, sf_dir):
+    return reports.vision_counts(_vision(spark, sf_dir))
+
+
+@query("SELECT CASE event_id % 3 WHEN 0 THEN 'x' WHEN 1 THEN NULL ELSE 'Unknown' END AS country, count(*) AS n FROM events GROUP BY 1")
+def notebook_counts(spark, sf_dir):
+    """A field that is there, null, or absent."""
+    r = F.when(F.col("event_id") % 3 == 0, F.lit('{"country": "x"}')).when(F.col("event_id") % 3 == 1, F.lit('{"country": null}')).otherwise("{}")
+    return reports.notebook_counts(table(spark, sf_dir, "events").select(r.alias("result")), "country", "Unknown")
+
+
+@query(
+    """WITH t AS (SELECT event_id, ts, date_trunc('day', ts) + INTERVAL 1380 MINUTE AS s FROM events), n AS (SELECT event_id, floor(epoch_us(CASE WHEN s <= ts THEN s + INTERVAL 1 DAY ELSE s END) / 1000000.0 - epoch_us(ts) / 1000000.0)::BIGINT AS seconds FROM t)
+    SELECT event_id, seconds, seconds // 3600 || 'h ' || seconds % 3600 // 60 || 'm' AS shown FROM n"""
+)
+def time_until_night(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", progress.seconds_until(F.col("ts"), 1380).alias("seconds"))
+    return e.withColumn("shown", progress.hours_minutes(F.col("seconds")))
+
+
+@query(
+    f"""WITH {PROGRESS}, w AS (SELECT *, status IN ('pending', 'pending_llm') AND id % 3 = 0 AS gone FROM progress)
+    SELECT id, CASE WHEN gone THEN 'error' ELSE status END AS status, CASE WHEN gone THEN 'File not found (already moved?)' ELSE error_msg END AS error_msg FROM w"""
+)
+def missing_files(spark, sf_dir):
+    p = progress_seed(spark, sf_dir)
+    return progress.missing_files(p, p.filter("id % 3 > 0").select("file_path")).select("id", "status", "error_msg")
+
+
+@query(f"WITH {PROGRESS}, s AS (SELECT folder, {_MEASURES} FROM progress GROUP BY folder) SELECT folder, total, ok, errors, pending + pending_llm AS pending FROM s")
+def folder_rollup(spark, sf_dir):
+    return progress.folder_rollup(progress.folder_stats(progress_seed(spark, sf_dir)))
+
+
 @query(
     """WITH l AS (SELECT conv_id, turn, role <> 'system' AS later, CASE role WHEN 'system' THEN 'Instructions: ' WHEN 'assistant' THEN 'Assistant: ' ELSE 'User: ' END || text AS line FROM conversations)
     SELECT conv_id, md5(string_agg(line, chr(10) || chr(10) ORDER BY later, turn, line) || chr(10) || chr(10) || 'Assistant:') AS digest FROM l GROUP BY 1"""
@@ -420,9 +598,9 @@ def night_mode(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", can_use_llm(F.hour("ts"), F.minute("ts")).alias("is_night"))
 
 
-@query()
+@query("SELECT doc_id, ['a', 'b', 'c'][(row_number() OVER (ORDER BY doc_id) - 1) % 3 + 1] AS endpoint FROM documents")
 def round_robin(spark, sf_dir):
-    return reports.round_robin(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", ["a", "b", "c"]).groupBy("endpoint").agg(F.count("*").alias("n"))
+    return reports.round_robin(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", ["a", "b", "c"])
 
 
 @query()

@@ -34,6 +34,41 @@ INVOICES = """invoices AS (
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 
+def dated_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices with further dates: twenty years on, once or twice, in two digits, and a year later."""
+    k, year = F.col("doc_id"), F.year("o_orderdate") + 20
+    more = F.concat(
+        F.lit("Due: 01.02."), year, F.when(k % 3 == 0, F.concat(F.lit("\nPaid: 3/4/"), F.lpad(((year + 1) % 100).cast("string"), 2, "0"))).otherwise(""),
+        F.when(k % 4 == 0, F.concat(F.lit("\nAgain: 5-6-"), year + 1)).otherwise(""), F.lit("\n"),
+    )
+    return invoices(spark, sf_dir).withColumn("text", F.concat("text", F.when(k % 7 == 0, "").otherwise(more)))
+
+
+DATED = f"""{INVOICES}, dated AS (
+  SELECT doc_id, concat(text, CASE WHEN doc_id % 7 = 0 THEN '' ELSE concat('Due: 01.02.', year(o_orderdate) + 20, chr(10)) END) AS text,
+         CASE WHEN doc_id % 7 = 0 THEN [year(o_orderdate)] ELSE list_concat([year(o_orderdate), year(o_orderdate) + 20],
+           CASE WHEN doc_id % 3 = 0 THEN [year(o_orderdate) + 21] ELSE [] END, CASE WHEN doc_id % 4 = 0 THEN [year(o_orderdate) + 21] ELSE [] END) END AS found
+  FROM invoices)"""
+
+
+def evidence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with a VAT number, IBAN, BIC and currency that agree, disagree or are missing."""
+    k = F.col("o_orderkey")
+    one = lambda n, *values: F.element_at(F.array(*(F.lit(v) for v in values)), (k % n + 1).cast("int"))
+    parts = [
+        one(5, "VAT: DE123456789\n", "VAT: FR12345678901\n", "VAT: PL1234567890\n", "", ""), one(4, "IBAN DE89370400440532013000\n", "IBAN FR7630006000011234567890189\n", "IBAN NL91ABNA0417164300\n", ""),
+        one(3, "BIC COBADEFF\n", "BIC BNPAFRPP\n", ""), one(7, "Total: 12.50 EUR\n", "Total: 12.50 PLN\n", "Total: 12.50 GBP\n", "Total: 12.50 USD\n", "", "Total: 12.50 CHF\n", ""),
+    ]
+    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.concat(F.lit("letter "), *parts).alias("text"))
+
+
+EVIDENCE = """evidence AS (
+  SELECT o_orderkey AS doc_id, ['germany', 'france', 'poland', NULL, NULL][o_orderkey % 5 + 1] AS vat_country, ['germany', 'france', 'netherlands', NULL][o_orderkey % 4 + 1] AS iban_country,
+         ['germany', 'france', NULL][o_orderkey % 3 + 1] AS bic_country, [NULL, 'poland', 'uk', NULL, NULL, 'switzerland', NULL][o_orderkey % 7 + 1] AS money_country,
+         [NULL, 0.95, 0.90, NULL, NULL, 0.85, NULL][o_orderkey % 7 + 1]::DOUBLE AS money
+  FROM orders)"""
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoices with a model answer, spoiled in different ways by the order's key."""
     k = F.col("doc_id") % 6
@@ -84,7 +119,7 @@ def endpoint_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         endpoint.alias("endpoint"), F.concat(F.lit("f"), F.col("event_id") % 200).alias("pdf_file"), F.floor(F.abs("value") * 100).cast("bigint").cast("double").alias("elapsed"),
         (F.col("event_id") % 50).alias("tokens"), F.when(F.col("event_type") == "error", "timeout").alias("error"),
         F.when(F.col("event_id") % 400 < 200, "Germany").otherwise(" germany").alias("country"), F.when(F.col("event_id") % 3000 == 7, "bill").otherwise("invoice").alias("doc_type"),
-        F.when(F.col("event_id") % 2 == 0, "Acme").otherwise("Acme GmbH").alias("company"), (2020 + F.col("event_id") % 200 % 5).cast("int").alias("year"),
+        F.when(F.col("event_id") % 700 == 3, "Other Ltd").when(F.col("event_id") % 2 == 0, "Acme").otherwise("Acme GmbH").alias("company"), (2020 + F.col("event_id") % 200 % 5).cast("int").alias("year"),
     )
 
 
@@ -92,5 +127,5 @@ ENDPOINTS = """log AS (
   SELECT concat('host', user_id % 3, ':', 8000 + user_id % 9) AS endpoint, concat('f', event_id % 200) AS pdf_file, floor(abs(value) * 100)::BIGINT::DOUBLE AS elapsed,
          event_id % 50 AS tokens, CASE WHEN event_type = 'error' THEN 'timeout' END AS error,
          CASE WHEN event_id % 400 < 200 THEN 'Germany' ELSE ' germany' END AS country, CASE WHEN event_id % 3000 = 7 THEN 'bill' ELSE 'invoice' END AS doc_type,
-         CASE WHEN event_id % 2 = 0 THEN 'Acme' ELSE 'Acme GmbH' END AS company, (2020 + event_id % 200 % 5)::INT AS year
+         CASE WHEN event_id % 700 = 3 THEN 'Other Ltd' WHEN event_id % 2 = 0 THEN 'Acme' ELSE 'Acme GmbH' END AS company, (2020 + event_id % 200 % 5)::INT AS year
   FROM events)"""

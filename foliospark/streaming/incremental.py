@@ -2,33 +2,67 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.templates import TEMPLATE
-from ..plans.classify import classify, learn_from, stub_responder
+from ..plans.classify import Responder, classify, learn_from, route
+
+PROGRESS = "doc_id bigint, status string, source string, error_msg string, batch int"
+COMPACT_EVERY = 20
+
+
+def _newest(rows: DataFrame, key: str) -> DataFrame:
+    """Of each key the row of the latest batch."""
+    rest = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(key, "_r.*")
+
+
+def templates_before(spark: SparkSession, work: str, number: int, compact_every: int = COMPACT_EVERY) -> DataFrame:
+    """The template table that batch ``number`` starts from: the last compacted one and the changes since."""
+    base = number // compact_every * compact_every
+    columns = [c.split()[0] for c in TEMPLATE.split(", ")]
+    read = lambda path, n: spark.read.schema(TEMPLATE).parquet(path).withColumn("batch", F.lit(n))
+    parts = [read(f"{work}/compacted/batch={base}", base - 1)] if base else []
+    parts += [read(f"{work}/templates/batch={n}", n) for n in range(base, number)]
+    if not parts:
+        return spark.createDataFrame([], TEMPLATE)
+    return _newest(reduce(DataFrame.unionByName, parts), "fingerprint").select(*columns)
+
+
+def read_progress(spark: SparkSession, work: str) -> DataFrame:
+    """doc_id, status, source, error_msg of every document, as its latest batch left it."""
+    return _newest(spark.read.schema(PROGRESS).parquet(f"{work}/progress"), "doc_id")
 
 
 def run_incremental(
-    spark: SparkSession, source: str, work: str, responder: Callable[[DataFrame], DataFrame] = stub_responder, max_files: int = 1000, hit_threshold: float = 0.95
-) -> StreamingQuery:
+    spark: SparkSession, source: str, work: str, responder: Responder | None, max_files: int = 1000, hit_threshold: float = 0.95, cache_only: bool = False,
+    compact_every: int = COMPACT_EVERY,
+) -> StreamingQuery:
     """Classify the Parquet files of ``source`` (doc_id, text) not yet seen, then stop.
 
-    The checkpoint below ``work`` is the progress. Each micro-batch reads the template table that the
-    batch before left, writes its results to ``results/batch=N`` and the next table to
-    ``templates/version=N+1``; a batch that is run again after a failure overwrites its own output only.
+    The checkpoint below ``work`` says which files were seen. A micro-batch reads the template table that
+    the batches before left and writes its routed results, its rows of the progress table and the templates
+    that it changed, each to a folder of its own; every ``compact_every`` batches the templates are written
+    whole. A batch that is run again after a failure overwrites its own output only. In a ``cache_only`` run nothing is asked.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        before = s.read.schema(TEMPLATE).parquet(f"{work}/templates/version={number}") if number else s.createDataFrame([], TEMPLATE)
-        results = classify(batch, before, responder, hit_threshold)
+        before = templates_before(s, work, number, compact_every)
+        results = route(classify(batch, before, None if cache_only else responder, hit_threshold), cache_only)
         results.write.mode("overwrite").parquet(f"{work}/results/batch={number}")
         written = s.read.parquet(f"{work}/results/batch={number}")
-        learn_from(before, written, F.current_timestamp()).write.mode("overwrite").parquet(f"{work}/templates/version={number + 1}")
+        written.select("doc_id", "status", "source", "error_msg").write.mode("overwrite").parquet(f"{work}/progress/batch={number}")
+        touched = before.join(written.select("fingerprint").distinct(), "fingerprint", "left_semi").select(*before.columns)
+        learn_from(touched, written.filter("status = 'ok'"), F.current_timestamp()).write.mode("overwrite").parquet(f"{work}/templates/batch={number}")
+        if (number + 1) % compact_every == 0:
+            changed = s.read.schema(TEMPLATE).parquet(f"{work}/templates/batch={number}").withColumn("batch", F.lit(number))
+            whole = _newest(before.withColumn("batch", F.lit(number - 1)).unionByName(changed), "fingerprint").select(*before.columns)
+            whole.write.mode("overwrite").parquet(f"{work}/compacted/batch={number + 1}")
 
     stream = spark.readStream.schema("doc_id bigint, text string").option("maxFilesPerTrigger", max_files).parquet(source)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()

@@ -13,6 +13,7 @@ from foliospark.functions import guard, responses, text, validators
 from foliospark.operators import likeness, templates
 from foliospark.plans.classify import classify
 from foliospark.queries import catalog, inputs
+from foliospark.queries.stub import stub_responder
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = [f.removesuffix(".parquet") for f in sorted(os.listdir(SF_DIR)) if f.endswith(".parquet")]
@@ -88,12 +89,13 @@ def test_guard_penalties(spark):
 
 def test_cascade_on_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert classify(docs, spark.createDataFrame([], templates.TEMPLATE)).count() == 0
+    for responder in (stub_responder, None):
+        assert classify(docs, spark.createDataFrame([], templates.TEMPLATE), responder).count() == 0
 
 
 def test_short_text_is_set_aside(spark):
     docs = spark.createDataFrame([(1, "short"), (2, None)], "doc_id long, text string")
-    rows = classify(docs, spark.createDataFrame([], templates.TEMPLATE)).collect()
+    rows = classify(docs, spark.createDataFrame([], templates.TEMPLATE), stub_responder).collect()
     assert sorted(r["doc_id"] for r in rows) == [1, 2]
     assert {r["source"] for r in rows} == {"no_match"} and not any(r["is_valid"] for r in rows)
 
