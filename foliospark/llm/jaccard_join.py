@@ -137,7 +137,14 @@ def common_shingles(texts: DataFrame, size: int) -> np.ndarray:
     n_docs = texts.count()
     found = texts.select("_t").mapInArrow(lambda b: _repeated(b, size), "shingle long, n long")
     hot = found.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(HOT_LEAST, int(HOT_SHARE * n_docs)))
-    return np.sort(hot.orderBy(F.desc("n")).limit(MOST_HOT).select("shingle").toPandas()["shingle"].to_numpy().astype(np.int64).view(U64))
+    hot = materialize(hot, "common_shingles")
+    n_hot = hot.count()
+    kept = hot
+    if n_hot > MOST_HOT:
+        kept = hot.filter(F.col("n") > hot.approxQuantile("n", [1 - MOST_HOT / n_hot], 1e-4)[0])
+    out = np.sort(kept.select("shingle").toPandas()["shingle"].to_numpy().astype(np.int64).view(U64))
+    release(hot)
+    return out
 
 
 def _describe(batches: Iterator[pa.RecordBatch], size: int, threshold: tuple[int, int], held) -> Iterator[pa.RecordBatch]:
