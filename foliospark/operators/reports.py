@@ -23,7 +23,7 @@ def count_by(df: DataFrame, key: str, missing: str | None = None, limit: int | N
 
 
 def organize_summary(results: DataFrame) -> DataFrame:
-    """One row: how many files ended in each status, and the successful ones by country and by type."""
+    """One row: how many files ended in each status."""
     one = lambda s: F.count_if(F.col("status") == s)
     return results.agg(F.count("*").alias("total_files"), one("success").alias("successful"), one("trash").alias("moved_to_trash"), one("skipped").alias("skipped"), one("error").alias("errors"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import signal
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,11 @@ from pyspark.sql import functions as F
 from ..functions.text import trim
 
 BLOCK = "array<struct<page:int,y:double,x:double,text:string>>"
+#: Larger files are parsed under a time limit from the start.
 ISOLATE_BYTES = 500_000
+MAX_PAGES, TIMEOUT_SECONDS = 5, 30.0
+IMAGES = "*.{jpg,jpeg,png}"
+REPORT = ["source", "destination", "status", "country", "doc_type", "company", "year", "confidence", "error"]
 
 
 def scan_pdfs(spark: SparkSession, root: str, recursive: bool = True, glob: str = "*.pdf") -> DataFrame:
@@ -24,10 +30,17 @@ def signature(files: DataFrame) -> Column:
     return F.concat_ws(";", files["path"], files["length"].cast("string"), files["modificationTime"].cast("long").cast("string"))
 
 
-def folders(files: DataFrame, suffix: str = "-sort") -> DataFrame:
-    """Distinct parent folders, sorted, without those of earlier output."""
-    folder = F.regexp_replace("path", "/[^/]*$", "")
-    return files.select(folder.alias("folder")).distinct().filter(~F.col("folder").endswith(suffix)).orderBy("folder")
+def scan_images(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    return scan_pdfs(spark, root, recursive, IMAGES)
+
+
+def folders(files: DataFrame, root: str, suffix: str = "-sort") -> DataFrame:
+    """The root, if it holds files itself, and its direct subfolders that do, sorted; not those of earlier output."""
+    root = root.rstrip("/")
+    inside = F.regexp_replace(F.regexp_replace("path", "/[^/]*$", ""), "^file:/+", "/")
+    below = F.substring(inside, len(root) + 2, 1_000_000)
+    found = files.select(inside.alias("folder"), below.alias("below")).distinct()
+    return found.filter(((F.col("folder") == root) | F.col("folder").startswith(root + "/")) & ~F.contains("below", F.lit("/")) & ~F.col("folder").endswith(suffix)).select("folder").orderBy("folder")
 
 
 def join_blocks(blocks: Column) -> Column:
@@ -37,27 +50,79 @@ def join_blocks(blocks: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(rows), lambda b: b["text"]), "\n\n")
 
 
-def extract(files: DataFrame, parser: Callable[[bytes], list[tuple]], max_pages: int = 5) -> DataFrame:
-    """path, text, status (ok, blocked, error) through ``parser``: bytes to (page, y, x, text) blocks.
+@contextmanager
+def _limit(seconds: float | None):
+    """Raises TimeoutError in the body after some seconds."""
+    if not seconds:
+        yield
+        return
+
+    def stop(*_):
+        raise TimeoutError(f"no result within {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def extract(
+    files: DataFrame, parser: Callable[[bytes], list[tuple]], max_pages: int = MAX_PAGES, timeout: float = TIMEOUT_SECONDS, structured: bool = True, badlist: DataFrame | None = None
+) -> DataFrame:
+    """path, signature, text, status (ok, blocked, error, timeout), error, listed through ``parser``: bytes to (page, y, x, text) blocks.
 
-    A parser raises PermissionError for an encrypted file; any other failure is an error of its file only.
+    Files up to ``ISOLATE_BYTES`` that are not on the list of bad ones are parsed at once; if that fails they are
+    ``listed`` and, like all others, parsed under the time limit. A parser raises PermissionError for an encrypted file;
+    any other failure is an error of its file only. Without ``structured`` blocks are joined as they come, by line ends.
     """
+    key = signature(files).alias("signature")
+    rows = files.select("path", key, "content", (F.col("length") <= ISOLATE_BYTES).alias("small"))
+    if badlist is None:
+        rows = rows.withColumn("direct", F.col("small"))
+    else:
+        bad = badlist.select("signature", F.lit(True).alias("_bad")).distinct()
+        rows = rows.join(bad, "signature", "left").withColumn("direct", F.col("small") & F.col("_bad").isNull())
+
+    def parse(content: bytes, seconds: float | None) -> list[dict]:
+        with _limit(seconds):
+            return [dict(zip(("page", "y", "x", "text"), b)) for b in parser(content) if b[0] < max_pages]
+
+    def one(content: bytes, direct: bool) -> tuple[list[dict], str, str | None, bool]:
+        listed = False
+        if direct:
+            try:
+                return parse(content, None), "ok", None, False
+            except PermissionError as e:
+                return [], "blocked", str(e), False
+            except Exception:  # noqa: BLE001  tried again under the limit
+                listed = True
+        try:
+            return parse(content, timeout), "ok", None, listed
+        except PermissionError as e:
+            return [], "blocked", str(e), listed
+        except TimeoutError as e:
+            return [], "timeout", str(e), listed
+        except Exception as e:  # noqa: BLE001  one bad file must not end the job
+            return [], "error", str(e), listed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    blocks = [dict(zip(("page", "y", "x", "text"), b)) for b in parser(content) if b[0] < max_pages]
-                    rows.append((path, blocks, "ok", None))
-                except PermissionError as e:
-                    rows.append((path, [], "blocked", str(e)))
-                except Exception as e:  # noqa: BLE001  one bad file must not end the job
-                    rows.append((path, [], "error", str(e)))
-            yield pd.DataFrame(rows, columns=["path", "blocks", "status", "error"])
+            found = [(p, s, *one(c, d)) for p, s, c, d in zip(batch["path"], batch["signature"], batch["content"], batch["direct"])]
+            yield pd.DataFrame(found, columns=["path", "signature", "blocks", "status", "error", "listed"])
+
+    schema = f"path string, signature string, blocks {BLOCK}, status string, error string, listed boolean"
+    parsed = rows.select("path", "signature", "content", "direct").mapInPandas(run, schema)
+    text = join_blocks(F.col("blocks")) if structured else F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
+    return parsed.select("path", "signature", text.alias("text"), "status", "error", "listed")
+
 
-    parsed = files.select("path", "content").mapInPandas(run, f"path string, blocks {BLOCK}, status string, error string")
-    return parsed.select("path", join_blocks(F.col("blocks")).alias("text"), "status", "error")
+def bad_files(extracted: DataFrame, badlist: DataFrame | None = None) -> DataFrame:
+    """The list of bad files after an extraction: signature."""
+    new = extracted.filter("listed").select("signature")
+    return (new if badlist is None else badlist.select("signature").unionByName(new)).distinct()
 
 
 def is_readable(text: Column, status: Column) -> Column:
@@ -68,10 +133,16 @@ def read_json_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """Templates that ``export_templates`` wrote, or an array of them in one file; columns that it lacks are null."""
+    schema = "id bigint, fingerprint string, header_hash string, company_hint string, country string, doc_type string, doc_category string, company string, confidence double, hit_count bigint, created_at timestamp, last_hit_at timestamp"
+    return spark.read.schema(schema).option("multiLine", path.endswith(".json")).json(path)
+
+
 def export_templates(templates: DataFrame, path: str, compat: bool = False) -> None:
-    """Templates as JSON, most used first; ``compat`` leaves out what older readers ignore."""
+    """Templates as JSON lines, most used first; ``compat`` leaves out what older readers ignore."""
     out = templates.drop("id", "header_hash", "created_at") if compat else templates
-    out.orderBy(F.desc("hit_count")).write.mode("overwrite").json(path)
+    out.orderBy(F.desc("hit_count"), "fingerprint").write.mode("overwrite").json(path)
 
 
 def write_results_csv(results: DataFrame, path: str, columns: list[str]) -> None:
@@ -79,6 +150,56 @@ def write_results_csv(results: DataFrame, path: str, columns: list[str]) -> None
     results.select(*(F.format_string("%.2f", c).alias(c) if t == "double" else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c, t in results.select(*columns).dtypes)).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_report_json(results: DataFrame, path: str) -> None:
-    """One JSON line for each result, partitioned by status; summaries come from the reports module."""
-    results.write.mode("overwrite").partitionBy("status").json(path)
+def report_rows(plan: DataFrame) -> DataFrame:
+    """The rows of a report from an organize plan with ``file_path``."""
+    return plan.select(F.col("file_path").alias("source"), F.col("dest_path").alias("destination"), "status", "country", "doc_type", "company", "year", "confidence", F.coalesce("error", "message").alias("error"))
+
+
+def write_report_csv(plan: DataFrame, path: str) -> None:
+    write_results_csv(report_rows(plan), path, REPORT)
+
+
+def write_report_json(plan: DataFrame, path: str) -> None:
+    """``summary`` (one JSON object with the counters) and ``results`` (JSON lines by status) below ``path``.
+
+    Results stay lines in many files: one document of all of them would have to be put together in one task.
+    """
+    one = lambda section, key: F.struct(F.lit(section).alias("section"), key.alias("key"))
+    success = F.col("status") == "success"
+    sections = F.array(one("status", F.col("status")), one("country", F.when(success, F.coalesce("country", F.lit("unknown")))), one("doc_type", F.when(success, F.coalesce("doc_type", F.lit("unknown")))))
+    counts = plan.select(F.explode(sections).alias("s")).filter("s.key is not null").groupBy("s.section", "s.key").agg(F.count("*").alias("n"))
+    status = lambda v: F.coalesce(F.sum(F.when((F.col("section") == "status") & (F.col("key") == v), F.col("n"))), F.lit(0))
+    by = lambda section: F.map_from_entries(F.collect_list(F.when(F.col("section") == section, F.struct("key", "n"))))  # noqa: E731  a row for each country or type
+    summary = counts.agg(
+        F.coalesce(F.sum(F.when(F.col("section") == "status", F.col("n"))), F.lit(0)).alias("total_files"), status("success").alias("successful"), status("trash").alias("moved_to_trash"),
+        status("skipped").alias("skipped"), status("error").alias("errors"), by("country").alias("by_country"), by("doc_type").alias("by_doc_type"),
+    )
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    about = F.struct("country", "doc_type", "company", "year", "confidence").alias("classification")
+    report_rows(plan).select("source", "destination", "status", about, "error").write.mode("overwrite").partitionBy("status").json(f"{path}/results")
+
+
+def move_files(plan: DataFrame, copy: bool = False) -> DataFrame:
+    """source, destination, error: carries a plan's moves out in tasks, on paths that they all share; nothing else moves files.
+
+    A task that is run again finds moved files at their destination and passes over them.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+        import shutil
+
+        for batch in batches:
+            errors = []
+            for source, destination in zip(batch["source"], batch["destination"]):
+                try:
+                    if copy or os.path.exists(source) or not os.path.exists(destination):
+                        os.makedirs(os.path.dirname(destination), exist_ok=True)
+                        (shutil.copy2 if copy else shutil.move)(source, destination)
+                    errors.append(None)
+                except OSError as e:
+                    errors.append(str(e))
+            yield batch.assign(error=errors)
+
+    moves = plan.filter("dest_path is not null").select(F.col("file_path").alias("source"), F.col("dest_path").alias("destination"))
+    return moves.mapInPandas(run, "source string, destination string, error string")
