@@ -20,7 +20,7 @@ sample, so single outliers do not move it. A language whose texts are all in the
 texts takes the variance of all; one without any rejects nothing.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected. Without
-any labelled text all are ``und``. Rows that repeat are judged alike. Columns other than the id, the
+any labelled text all are ``und`` with score 0, and only those without a letter are rejected. Rows that repeat are judged alike. Columns other than the id, the
 text and the label are ignored.
 """
 
@@ -380,7 +380,7 @@ def _score(batches: Iterator[pa.RecordBatch], held, pieces: list, keep_text: boo
                 [
                     *(batch.column(i).slice(lo, hi - lo) for i in range(last)),
                     pa.array(names[best].tolist(), pa.string()), pa.array(np.where(known, score, 0.0)),
-                    pa.array(h, from_pandas=True), pa.array(~known | odd),
+                    pa.array(h, from_pandas=True), pa.array(~letters | odd),
                 ],
                 names=[*(batch.schema[i].name for i in range(last)), "lang_pred", "score", "cross_entropy", "rejected"],
             )

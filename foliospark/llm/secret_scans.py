@@ -67,12 +67,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = materialize(spans.withColumn("role", role), "secret_candidates")
     first, last = F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope)
     weak = spans.filter(F.col("ord") >= 3).withColumn("cell", F.explode(F.sequence(first, last)))
-    # a partner is found by the cell of its start or its end: either lies within the scope
+    # a partner lies in every cell it touches, so it is found from inside as well
     other = (
         spans.filter(F.col("role") != "endpoint")
         .select(
             "_id", "_h", F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("role").alias("o_role"),
-            F.explode(F.array_distinct(F.array(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope)))).alias("cell"),
+            F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))).alias("cell"),
         )
     )
     linked = (

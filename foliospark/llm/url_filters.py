@@ -47,18 +47,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         F.length("rule_path").alias("path_len"),
         "action",
     ).distinct()
-    # one row; as many lengths as rule paths have, so bounded by the longest rule
-    lengths = rules.agg(F.sort_array(F.collect_set("path_len")).alias("lengths"))
+    # as many numbers as rule paths have lengths, so bounded by the longest rule
+    lengths = F.array(*(F.lit(r["path_len"]) for r in rules.select("path_len").distinct().orderBy("path_len").collect())).cast("array<int>")
 
     labels = F.split("_host", r"\.")
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
-    fitting = F.filter("lengths", lambda k: k <= F.length("_path"))
+    fitting = F.filter(lengths, lambda k: k <= F.length("_path"))
     prefixes = F.transform(fitting, lambda k: F.substring(F.col("_path"), F.lit(1), k))
     distinct_urls = urls.filter(F.col("_host") != "").select("_host", "_path").distinct()
     expanded = (
-        distinct_urls.crossJoin(F.broadcast(lengths))
-        .select("_host", "_path", F.explode(suffixes).alias("s"), prefixes.alias("p"))
+        distinct_urls.select("_host", "_path", F.explode(suffixes).alias("s"), prefixes.alias("p"))
         .select("_host", "_path", "s", F.explode("p").alias("p"))
         .select("_host", "_path", F.concat_ws("\n", "s", "p").alias("expression"))
         .withColumn("digest", F.sha2("expression", 256))

@@ -104,6 +104,39 @@ def test_secret_scans(spark):
     assert secret_scans.digest(secret_scans.scan_secrets(frame(spark, texts).limit(0))).count() == 0
 
 
+def linked_spans(t, scope):
+    """Certain and linked spans by comparing every weak candidate with every other span."""
+    certain = [(m.start(), m.end(), "assign") for m in re.finditer(secret_scans.ASSIGN, t) if len(m[1]) >= 8]
+    certain += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    certain += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    weak = [(m.start(), m.end(), "ident") for m in re.finditer(secret_scans.IDENT, t)] + [(m.start(), m.end(), "endpoint") for m in re.finditer(secret_scans.ENDPOINT, t)]
+    weak += [(m.start(), m.end(), "opaque") for m in re.finditer(secret_scans.OPAQUE, t) if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+    role = lambda k: "identifier" if k in ("access", "ident") else "endpoint" if k == "endpoint" else "secret"
+    needs = {"ident": {"secret"}, "opaque": {"identifier"}, "endpoint": {"identifier", "secret"}}
+    kept = [
+        (a, e, k) for a, e, k in weak
+        if needs[k] <= {role(o) for x, y, o in certain + weak if role(o) != role(k) and x < e + scope and y > a - scope}
+    ]
+    kinds = ["assign", "access", "hex", "ident", "opaque", "endpoint"]
+    return ",".join(f"{k}:{a}:{e}" for a, _, e, k in sorted((a, kinds.index(k), e, k) for a, e, k in certain + kept))
+
+
+def test_secret_linking_against_brute_force(spark):
+    r = random.Random(21)
+    token = lambda n: "".join(r.choice("abcdefXYZ0123456789") for _ in range(n - 3)) + "aZ9"
+    gap = lambda: " ".join(["word"] * r.choice((1, 3, 20, 38, 39, 40, 41, 60, 90)))  # noqa: E731  around the scope of 200 characters
+    make = [
+        lambda: f"client_id: {token(6)}", lambda: token(30), lambda: f"postgres://db{r.randrange(9)}.internal/x", lambda: f"AKIA{'Q7' * 8}",
+        lambda: f"secret={token(12)}", lambda: f"user_name = joe{r.randrange(99)}", lambda: f"token=login={token(700)}", lambda: "0123456789abcdef" * 2, lambda: "plain",
+    ]
+    rows = [(i, "\u00e9 " + f" {gap()} ".join(r.choice(make)() for _ in range(r.randrange(1, 6)))) for i in range(1500)]
+    got = {x.doc_id: x.spans for x in secret_scans.digest(secret_scans.scan_secrets(frame(spark, rows))).collect()}
+    expect = {i: linked_spans(t, secret_scans.SCOPE) for i, t in rows}
+    assert got == expect
+    added = Counter(s.split(":")[0] for x in expect.values() for s in x.split(","))
+    assert min(added["ident"], added["opaque"], added["endpoint"]) >= 70
+
+
 def luhn(x):
     return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(x))) % 10 == 0
 
@@ -156,6 +189,43 @@ def test_pii_trees_add_what_looks_alike(spark):
     assert redacted[0][0].text == "call tel: [PHONE] now" and redacted[3][0].text == "nothing at all"
 
 
+def disguised_texts(seed, n):
+    """(rows, spans by id that should be found): half of the texts hold a certain span, as many a disguised one or a look-alike."""
+    r = random.Random(seed)
+    words = [f"{a}{b}" for a in ("lor", "mir", "ten", "sha", "qui", "bel") for b in ("o", "and", "ing", "eth", "u", "as")]
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    prose = lambda: " ".join(r.choice(words) for _ in range(r.randrange(3, 12)))
+    rows, expect = [], {}
+    for i in range(n):
+        certain = [f"+1 ({digits(3)}) 555-{digits(4)}", f"{r.choice(words)}.{digits(2)}@mail{digits(1)}.example.com"][i % 2]
+        hidden = [
+            f"{r.choice(words)}{digits(2)} (at) {r.choice(words)} (dot) example (dot) org", f"{r.choice(words)}(at){r.choice(words)}(dot)com",
+            f"({digits(3)}) 555-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}",
+        ][i // 2 % 4]
+        other = [f"2024-0{digits(1)}-1{digits(1)} {digits(4)}", f"{digits(4)}-{digits(6)}-{digits(3)}", digits(12), f"{digits(1)} @ {digits(1)}.{digits(2)}"][i // 8 % 4]
+        cue = "" if i // 2 % 4 < 2 else "tel: "
+        text = f"{prose()} {certain} {prose()}"
+        if i % 3 == 0:
+            text += f" {cue}{hidden} {prose()}"
+            at = len(text) - len(text.split(hidden)[1]) - len(hidden)
+            expect[i] = (at, at + len(hidden))
+        elif i % 3 == 1:
+            text += f" {other} {prose()}"
+        rows.append((i, text))
+    return rows, expect
+
+
+def test_pii_trees_find_disguised_data(spark):
+    rows, expect = disguised_texts(11, 1800)
+    got = by_id(pii.find_personal_data(frame(spark, rows)))
+    digests = by_id(pii.digest(pii.find_personal_data(frame(spark, rows[:200]))))
+    for i, t in rows[:200]:
+        assert digests[i][0].base_sha256 == hashlib.sha256(personal(t).encode()).hexdigest()
+    added = {(i, s["start"], s["end"]) for i, x in got.items() for s in x[0].added}
+    hits = sum((i, *e) in added for i, e in expect.items())
+    assert hits >= 0.8 * len(expect) and hits >= 0.9 * len(added), (hits, len(expect), len(added))
+
+
 # --- op2 --------------------------------------------------------------------------------------
 
 
