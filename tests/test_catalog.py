@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 
 import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.functions import guard, responses, text, validators
+from foliospark.functions import entities, guard, responses, text, validators
 from foliospark.operators import likeness, templates
 from foliospark.plans.classify import classify
 from foliospark.queries import catalog, inputs
@@ -150,3 +151,86 @@ def test_template_tiers_against_brute_force(spark, monkeypatch):
                 break
     assert {k: v[:3] for k, v in got.items()} == {k: v[:3] for k, v in want.items()}
     assert all(got[k][3] == pytest.approx(v[3]) for k, v in want.items() if v[0]) and {v[0] for v in want.values()} >= {"exact", "fuzzy", None}
+
+
+def test_smart_truncate_against_python(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    keys = text.TRUNCATION_KEYWORDS
+    lines = [f"line {i} of the letter" if i % 9 else f"Total {keys[i % len(keys)]} {i % 18}" for i in range(400)]
+    docs = docs.unionByName(spark.createDataFrame([(-1, "\n".join(lines)), (-2, "x" * 5000), (-3, None), (-4, "\n".join(["a"] * 40 + ["y" * 4000]))], "doc_id long, text string"))
+    prepared = docs.select("doc_id", text.prepare_text(F.col("text")).alias("p"), text.smart_truncate(text.prepare_text(F.col("text"))).alias("cut")).collect()
+
+    def truncate(t, limit=3000, header=30):
+        if t is None or len(t) <= limit:
+            return t
+        rows = t.split("\n")
+        head = [x.strip() for x in rows[:header] if x.strip()]
+        found = []
+        for x in rows[header:]:
+            if any(k in x.lower() for k in keys):
+                at = rows.index(x)
+                found += [x.strip(), rows[at + 1].strip() if at + 1 < len(rows) else ""]
+        found = list(dict.fromkeys(x for x in found if x))
+        whole = "\n".join(head + (["", "---", ""] + found if found else []))
+        return whole[: limit - 20] + "\n...[trimmed]" if len(whole) > limit else whole
+
+    assert {r["doc_id"]: r["cut"] for r in prepared} == {r["doc_id"]: truncate(r["p"]) for r in prepared}
+    assert any(r["cut"] != r["p"] for r in prepared)
+
+
+def test_guard_against_python(spark):
+    from foliospark.functions.dictionaries import COUNTRY_INDICATORS, EVIDENCE_PREFIXES
+
+    def similarity(company, t):
+        c, t = company.lower(), t.lower()
+        found = list(dict.fromkeys(re.findall(r"\b(\w{3,})\b", c)))
+        if c in t:
+            return 1.0
+        if not found:
+            return 0.0
+        share, start = sum(w in t for w in found) / len(found), " ".join(c.split()[:2])
+        return max(share, 0.8) if len(start) >= 4 and start in t else share
+
+    def judge(country, company, year, t):
+        errors, warnings, penalty = [], [], 0.0
+        if year is not None and str(year) not in t:
+            short = str(year)[-2:] in t
+            penalty += 0.05 if short else 0.3
+            (warnings if short else errors).append(f"Year {year} found only as '{str(year)[-2:]}'" if short else f"Year {year} not found in text (possible hallucination)")
+        if company:
+            s = similarity(company, t)
+            if s < 0.7:
+                penalty += 0.1 if s < 0.5 else 0.05
+                said = "may be hallucinated" if s < 0.5 else "has low confidence"
+                warnings.append(f"Company '{company}' {said} (similarity: {round(s * 100)}%)")
+        if country:
+            prefix = re.search(r"\b([A-Z]{2})\d{8,12}", t)
+            known = country in COUNTRY_INDICATORS
+            if not (known and (any(i in t.lower() for i in COUNTRY_INDICATORS[country]) or (prefix and EVIDENCE_PREFIXES.get(prefix[1]) == country))):
+                penalty += 0.05
+                warnings.append(f"No strong evidence for country '{country}' in text")
+        return not errors, round(penalty, 9), errors, warnings
+
+    texts = ["Rechnung der Stadtwerke, Berlin 2021", "VAT FR12345678901 of '21", "Acme Tools and more", "", "Alpha Beta 1999 London"]
+    rows = [(c, n, y, t) for c in ("germany", "france", "chile", "", None) for n in ("Acme Tools", "Alpha Beta Gamma Delta", "Stadtwerke Nord", "AB", "", None) for y in (2021, 1999, None) for t in texts]
+    df = spark.createDataFrame(rows, "country string, company string, year int, text string")
+    got = df.select(guard.check(F.col("country"), F.col("company"), F.col("year"), F.col("text")).alias("g"), "*").collect()
+    for r in got:
+        g = r["g"]
+        assert (g["is_valid"], round(g["penalty"], 9), g["errors"], g["warnings"]) == judge(r["country"], r["company"], r["year"], r["text"]), r
+
+
+def test_cascade_against_its_parts(spark):
+    rows = {r["doc_id"]: r for r in catalog.classify_cascade(spark, SF_DIR).collect()}
+    tiers = {r["doc_id"]: r for r in catalog.template_match(spark, SF_DIR).collect()}
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    found = {r["doc_id"]: r for r in entities.with_entities(docs).select("doc_id", "text", "country", "year").collect()}
+    assert len(rows) == len(tiers)
+    for i, r in rows.items():
+        if len((found[i]["text"] or "").strip()) < 20:
+            assert (r["source"], r["is_valid"], r["confidence"]) == ("no_match", False, 0.0)
+        elif tiers[i]["tier"] and tiers[i]["confidence"] >= 0.92:
+            assert (r["source"], r["country"], r["confidence"]) == ("template_cache", tiers[i]["country"], pytest.approx(tiers[i]["confidence"]))
+        else:
+            assert r["source"] == "llm" and r["year"] == found[i]["year"] and r["country"] == found[i]["country"] and r["doc_type"] == "invoice"
+    assert {r["source"] for r in rows.values()} == {"template_cache", "llm", "no_match"}
