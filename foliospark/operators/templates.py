@@ -29,7 +29,7 @@ def match_templates(docs: DataFrame, templates: DataFrame, hit_threshold: float
     Exact: equal fingerprint. Header: the most used template of the header, then the threshold.
     Fuzzy: the most used template whose hint contains the document's, at least 0.90 confident. The
     containment join meets on the first three characters of the document's hint among the trigrams
-    of the templates' hints, over distinct hints of documents without an earlier match only.
+    of the templates' hints, over distinct hints.
     """
     probe = docs.withColumn("_probe", F.length("text") >= MIN_TEXT)
     exact = _answer(templates, "_exact", "fingerprint")
@@ -39,7 +39,8 @@ def match_templates(docs: DataFrame, templates: DataFrame, hit_threshold: float
     ok1 = F.col("_probe") & (F.col("_exact.confidence") >= hit_threshold)
     ok2 = F.col("_probe") & (F.col("_header.confidence") >= hit_threshold)
     tiers = tiers.withColumns({"_ok1": F.coalesce(ok1, F.lit(False)), "_ok2": F.coalesce(ok2, F.lit(False))})
-    hints = tiers.filter("_probe and not _ok1 and not _ok2 and length(company_hint) >= 3").select(F.col("company_hint").alias("_hint")).distinct()
+    # of all documents: which of them the earlier tiers serve would take those joins, and the fingerprints, a second time
+    hints = probe.filter("_probe and length(company_hint) >= 3").select(F.col("company_hint").alias("_hint")).distinct()
     grams = F.transform(F.sequence(F.lit(1), F.length("company_hint") - 2), lambda i: F.substring(F.col("company_hint"), i, F.lit(3)))
     index = templates.filter("length(company_hint) >= 3").select("*", F.explode(F.array_distinct(grams)).alias("_gram"))
     pairs = hints.withColumn("_gram", F.substring("_hint", 1, 3)).join(index, "_gram").filter(F.contains(F.col("company_hint"), F.col("_hint")))
