@@ -1 +1,17 @@
-"""foliospark: invoice-document analytics expressed as Spark DataFrame programs."""
+"""A PySpark-native engine for classifying invoice-like documents at scale."""
+
+from importlib import import_module
+
+_NAMES = {
+    "classify": "plans.classify", "learn_from": "plans.classify", "route": "plans.classify", "organize_plan": "plans.organize", "run_incremental": "streaming.incremental",
+    "read_progress": "streaming.incremental", "with_fingerprint": "functions.text", "with_entities": "functions.entities", "parse_response": "functions.responses",
+    "validate_vat": "functions.validators", "validate_iban": "functions.validators", "match_templates": "operators.templates", "learn": "operators.templates",
+    "scan_pdfs": "sources.files", "extract": "sources.files",
+}
+__all__ = sorted(_NAMES)
+
+
+def __getattr__(name: str):
+    if name in _NAMES:
+        return getattr(import_module(f"{__name__}.{_NAMES[name]}"), name)
+    raise AttributeError(f"module {__name__!r} has no attribute {name!r}")

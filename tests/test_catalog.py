@@ -234,3 +234,9 @@ def test_cascade_against_its_parts(spark):
         else:
             assert r["source"] == "llm" and r["year"] == found[i]["year"] and r["country"] == found[i]["country"] and r["doc_type"] == "invoice"
     assert {r["source"] for r in rows.values()} == {"template_cache", "llm", "no_match"}
+
+
+def test_package_names():
+    import foliospark
+
+    assert all(callable(getattr(foliospark, n)) for n in foliospark.__all__)
