@@ -47,6 +47,7 @@ FALSE_REJECTION = 0.002
 FOLDS = 5
 _TAIL, _FEW, _BINS, _LEAST_POWER = 0.1, 50, 10, 0.4
 UNKNOWN = "und"
+JUDGED = ("lang_pred", "score", "cross_entropy", "rejected")
 _PENDING = 4_000_000
 _SLAB_BYTES = 2 << 20  # of text that meets the pieces at once
 _BLOB_BYTES = 8 << 20
@@ -501,9 +502,12 @@ def fit(
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, keep_text: bool = False) -> DataFrame:
-    """The columns ``keep`` of every row (and the text, if asked) with lang_pred, score, cross_entropy (nats a character) and rejected."""
+    """The columns ``keep`` of every row (and the text, if asked) with lang_pred, score, cross_entropy (nats a character) and rejected.
+
+    Columns of the input with these four names are replaced.
+    """
     held, pieces = _send(docs.sparkSession, model)
-    rows = docs.select(*(keep or ["doc_id"]), F.col(text_col))
+    rows = docs.select(*(c for c in keep or ["doc_id"] if c not in JUDGED), F.col(text_col))
     carried = rows.dtypes if keep_text else rows.dtypes[:-1]
     schema = ", ".join(f"`{c}` {t}" for c, t in carried) + ", lang_pred string, score double, cross_entropy double, rejected boolean"
     return rows.mapInArrow(lambda b: _score(b, held, pieces, keep_text), schema)

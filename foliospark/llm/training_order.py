@@ -40,7 +40,7 @@ SEPARATOR = 0
 FEISTEL_ROUNDS = 6
 WRITE_ROUNDS = 4
 KEY = 20240229
-NOTE = "order.json"
+NOTE, SOURCE = "order.json", "source.json"
 _RECORDS = 256
 
 
@@ -246,15 +246,28 @@ def read_slots(folder: str, first: int, n: int, size: int = SEQUENCE_TOKENS, sha
         slot += 1
 
 
+def _source_mark(docs: DataFrame, id_col: str, text_col: str) -> dict:
+    """The number of rows, and checksums over ids and texts, whatever their order."""
+    h = F.xxhash64(F.col(id_col), F.col(text_col))
+    r = docs.agg(F.count("*").alias("rows"), F.bit_xor(h).alias("a"), F.sum(F.pmod(h, F.lit(2**31 - 1))).alias("b")).first()
+    return {"rows": r["rows"], "marks": [r["a"], r["b"]]}
+
+
 def materialise_order(
     docs: DataFrame, folder: str | None = None, size: int = SEQUENCE_TOKENS, shard_records: int = SHARD_RECORDS, key: int = KEY, **options
 ) -> DataFrame:
     """Write the shards and return a row for each sequence: slot, shard, byte_offset, n_tokens, ids_crc32, doc_ids.
 
     The sequences stay in the folder until the last shard and the index are written, so a call repeated
-    with the same arguments goes on where one was stopped, in another session too.
+    with the same arguments and documents goes on where one was stopped, in another session too; one with
+    others raises.
     """
     spark = docs.sparkSession
+    if folder:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        asked = {"key": key, "size": size, "shard_records": shard_records, **{k: v for k, v in options.items() if not k.endswith("_col")}}
+        _same_order(store, f"{root}/{SOURCE}", asked | _source_mark(docs, options.get("id_col", "doc_id"), options.get("text_col", "text")))
     folder = folder or new_path(spark, "shards")
     index = f"{folder}/index"
     if not exists(spark, f"{index}/_SUCCESS"):

@@ -423,6 +423,9 @@ def test_training_order_goes_on_in_a_folder(spark, tmp_path):
     assert sorted(r.slot for r in out) == list(range(len(out)))
     again = training_order.materialise_order(docs, folder, size=32, shard_records=8).collect()
     assert sorted(map(str, again)) == sorted(map(str, out))
+    for changed, options in ((docs.filter("doc_id is not null"), {}), (docs, {"key": 5}), (docs, {"separator": 7})):
+        with pytest.raises(ValueError, match="another order"):
+            training_order.materialise_order(changed, folder, size=32, shard_records=8, **options)
 
 
 def test_training_order_round_trip(spark, corpus, tmp_path):
@@ -570,6 +573,21 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embedding_dense_cluster(spark, monkeypatch):
+    """Near copies of one vector share many filters; repeated ids, clashing names and vectors of doubles."""
+    monkeypatch.setattr(embedding_dedup, "WIDTH", 64)
+    r = np.random.default_rng(6)
+    v = r.standard_normal(24) + 0.12 * r.standard_normal((1500, 24))
+    rows = [(i, [float(z) for z in row], 1, 2) for i, row in enumerate(v)] + [(0, [float(z) for z in v[0]], 1, 2)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n int, filter int")
+    got = {x.vec_id: x for x in embedding_dedup.near_duplicates(table, block=256).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    truth = (u @ u.T >= 0.9).sum(axis=1) - 1
+    truth[0] += 1
+    found = np.array([got[i].n_links for i in range(1500)])
+    assert found.sum() >= 0.97 * truth.sum() and {x.component_id for x in got.values()} == {0}
+
+
 @pytest.mark.parametrize("dim, n", [(64, 600_000), (64, 10_000_000), (32, 600_000), (8, 2_000_000), (3, 2_000_000), (1, 100)])
 def test_embedding_plan_for_millions(dim, n):
     limit, words = embedding_dedup.plan_filters(n, 0.9, dim)
@@ -600,6 +618,9 @@ def test_language_id(spark):
     got = {r.doc_id: r for r in language_id.predict(odd, model).collect()}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected for i in (0, 1, 2))
     assert got[3].lang_pred == "en" and got[5].rejected and got[None].lang_pred in model.langs
+    clash = odd.withColumns({"score": F.lit("x"), "rejected": F.lit(1), "lang_pred": F.lit(None).cast("string")})
+    same = language_id.predict(clash, model, keep=["doc_id", "score", "rejected", "lang_pred", "lang"]).collect()
+    assert {(r.doc_id, r.lang, r.lang_pred, r.score, r.rejected) for r in same} == {(i, "en", r.lang_pred, r.score, r.rejected) for i, r in got.items()}
     empty = language_id.fit(odd.limit(0))
     assert {r.lang_pred for r in language_id.predict(odd, empty).collect()} == {"und"}
 
