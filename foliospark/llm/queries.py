@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, decontamination, embedding_dedup, jaccard_join, language_id, pii, secret_scans, substring_dedup, training_order, url_filters
+from . import best_fit_packing, conversation_trie, decontamination, embedding_dedup, jaccard_join, language_id, pii, secret_scans, substring_dedup, training_order, url_filters
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -63,6 +63,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 OP6_SQL = r"""
 WITH u AS (
   SELECT page_id, coalesce(url, '') AS url FROM pages
@@ -96,6 +100,7 @@ def queries() -> dict:
         "op8_training_order": op8_training_order,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_language_id": op10_language_id,
+        "op11_conversation_trie": op11_conversation_trie,
     }
 
 
