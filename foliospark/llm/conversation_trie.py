@@ -193,8 +193,8 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     # the last node on a conversation's path, for all nodes of the path
     at = ranked.select(*KEY, "at")
     last = members.filter("is_end").select("conv_id", *KEY).join(at, KEY).select("conv_id", "at")
-    turnless = convs.filter("n = 0").select("conv_id", *(zero.alias(c) for c in KEY))
-    last = last.unionByName(turnless.join(F.broadcast(at.filter("depth = 0")), KEY).select("conv_id", "at"))
+    root_at = at.filter("depth = 0").first()
+    last = last.unionByName(convs.filter("n = 0").select("conv_id", F.lit(root_at["at"] if root_at else None).cast("long").alias("at")))
     last = materialize(last, "last")
     reach = members.select("conv_id", *KEY).join(last, "conv_id").groupBy(*KEY).agg(F.max("at").alias("end"))
     reach = reach.unionByName(last.agg(F.max("at").alias("end")).filter("end is not null").select(*(zero.alias(c) for c in KEY), "end"))
