@@ -43,6 +43,7 @@ from .store import materialize
 TEACHING_DOCS = 20_000
 MAX_TERMS = 1_000
 MAX_CANDIDATES = 200_000
+MOST_LABELS = 4_000_000  # of which a table of (id, label) may be broadcast
 SHORTEST, LONGEST = 3, 12  # letters of a prefix
 LIMITS = ((9, 2), (5, 1))  # (letters, distance)
 LEAST_ODDS, LEAST_DOCS = 10.0, 3
@@ -523,7 +524,10 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
     known = known.agg((F.avg(F.col(label_col).cast("double")) >= 0.5).alias("toxic"))
     rows = docs.filter(~held_out(id_col)).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.join(known, "_id").select("toxic", "text")
+    known = materialize(known, "labels")
+    if known.count() <= MOST_LABELS:  # texts stay where they are read
+        return rows.join(F.broadcast(known), "_id").select("toxic", "text")
+    return materialize(rows.join(known, "_id").select("toxic", "text"), "labelled")
 
 
 def fit(
