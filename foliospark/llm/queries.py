@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, conversation_trie, decontamination, embedding_dedup, jaccard_join, language_id, pii, secret_scans, substring_dedup, toxicity, training_order, url_filters
+from . import best_fit_packing, conversation_trie, decontamination, embedding_dedup, jaccard_join, language_id, pii, secret_scans, substring_dedup, tokenizer_alignment, toxicity, training_order, url_filters
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -67,6 +67,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer_alignment.align(_table(spark, sf_dir, "documents"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", toxicity.held_out())
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")), keep=["doc_id", "held_out"])
@@ -106,6 +110,7 @@ def queries() -> dict:
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_language_id": op10_language_id,
         "op11_conversation_trie": op11_conversation_trie,
+        "op12_tokenizer_alignment": op12_tokenizer_alignment,
         "op13_toxicity": op13_toxicity,
     }
 
