@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..llm.store import materialize
+from ..store import materialize
 
 BLOCK = 2000
 _FIELDS = ["rep", "g_full", "g_header", "g_structure", "g_hint"]
