@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.paths import path_hash
 
 PENDING = ["pending", "pending_llm"]
+RETRIED = ["error", "pending_llm"]
+OUTCOME = ["status", "country", "doc_type", "doc_category", "company", "year", "confidence", "source", "dest_path", "error_msg", "processing_time_ms", "processed_at"]
 
 
 def register_files(progress: DataFrame, files: DataFrame) -> DataFrame:
@@ -22,16 +24,22 @@ def pending(progress: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def record(progress: DataFrame, results: DataFrame) -> DataFrame:
-    """Progress with the columns of ``results`` (keyed by file_path_hash) where it has a row."""
-    changed = [c for c in results.columns if c != "file_path_hash"]
-    got = results.select("file_path_hash", F.struct(*changed).alias("_new"))
+    """Progress after the outcomes of some files, keyed by file_path_hash.
+
+    A success sets all columns of ``results`` but the message, which stays; any other outcome sets status,
+    message and time alone.
+    """
+    given = [c for c in results.columns if c != "file_path_hash" and c in progress.columns]
+    got = results.select("file_path_hash", F.struct(*given).alias("_new"))
+    there, ok = F.col("_new").isNotNull(), F.col("_new.status") == "ok"
+    sets = {c: there if c in ("status", "processed_at") else there & ~ok if c == "error_msg" else there & ok for c in given}
     out = progress.join(got, "file_path_hash", "left")
-    return out.select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in progress.columns))
+    return out.select(*(F.when(sets[c], F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in sets else F.col(c) for c in progress.columns))
 
 
 def reset_errors(progress: DataFrame, folder: str | None = None) -> DataFrame:
-    """Errors become pending again, without their message."""
-    hit = (F.col("status") == "error") & (F.col("folder") == folder if folder else F.lit(True))
+    """Errors and files that wait for a model become pending again, without their message."""
+    hit = F.col("status").isin(RETRIED) & (F.col("folder") == folder if folder else F.lit(True))
     return progress.withColumns({"error_msg": F.when(hit, None).otherwise(F.col("error_msg")), "status": F.when(hit, "pending").otherwise(F.col("status"))})
 
 
@@ -102,10 +110,9 @@ def current_run(runs: DataFrame, source_root: str) -> DataFrame:
 
 def ensure_run(runs: DataFrame, source_root: str, now: Column) -> DataFrame:
     """Runs with a new running one for the root, unless it has one; its id follows the largest."""
-    if not current_run(runs, source_root).isEmpty():
-        return runs
-    made = {"id": (F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id")}
-    new = runs.agg(made["id"]).select(F.col("id").cast(dict(runs.dtypes)["id"]), F.lit(source_root).alias("source_root"), F.lit("running").alias("status"), now.alias("started_at"))
+    running = F.count_if((F.col("source_root") == source_root) & (F.col("status") == "running"))
+    new = runs.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).cast(dict(runs.dtypes)["id"]).alias("id"), running.alias("_running")).filter("_running = 0")
+    new = new.select("id", F.lit(source_root).alias("source_root"), F.lit("running").alias("status"), now.alias("started_at"))
     return runs.unionByName(new.select(*(c for c in new.columns if c in runs.columns)), allowMissingColumns=True)
 
 
@@ -117,8 +124,10 @@ def latest_runs(runs: DataFrame, n: int = 5) -> DataFrame:
     return runs.orderBy(F.desc("id")).limit(n)
 
 
-def finish_runs(runs: DataFrame, progress: DataFrame, now: Column) -> DataFrame:
-    """Runs with their totals, finished."""
+def finish_runs(runs: DataFrame, progress: DataFrame, now: Column, run: int | None = None) -> DataFrame:
+    """Runs, or the one of that id, with their totals, finished."""
+    if run is not None:
+        return runs.filter(F.col("id") != run).unionByName(finish_runs(runs.filter(F.col("id") == run), progress.filter(F.col("batch_run_id") == run), now))
     totals = progress.groupBy(F.col("batch_run_id").alias("id")).agg(*_measures())
     stats = totals.select("id", F.struct("total", "ok", "errors", "cache_hits", "llm_calls").alias("_s"))
     fields = {"total_files": "_s.total", "processed_files": "_s.ok", "errors": "_s.errors", "cache_hits": "_s.cache_hits", "llm_calls": "_s.llm_calls"}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import running_sum
+
 
 def count_by(df: DataFrame, key: str, missing: str | None = None, limit: int | None = None, share: bool = False, bar: bool = False) -> DataFrame:
     """Counts by a column, largest first, then by key. Nulls are left out, or counted as ``missing``.
@@ -14,8 +16,7 @@ def count_by(df: DataFrame, key: str, missing: str | None = None, limit: int | N
     rows = df.withColumn(key, F.coalesce(F.col(key), F.lit(missing))) if missing else df.filter(F.col(key).isNotNull())
     out = rows.groupBy(key).agg(F.count("*").alias("n"))
     if share or bar:
-        total = rows.agg(F.count("*").alias("_total")).first()["_total"]
-        out = out.withColumn("share", F.col("n") / F.lit(total))
+        out = out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
     if bar:
         out = out.withColumn("bar", F.repeat(F.lit("#"), F.floor(F.col("share") * 100 / 2).cast("int")))
     out = out.orderBy(F.desc("n"), F.asc(key))
@@ -148,21 +149,9 @@ def spread(df: DataFrame, key: str, endpoints: list[str]) -> DataFrame:
 
 
 def round_robin(df: DataFrame, key: str, endpoints: list[str]) -> DataFrame:
-    """Endpoints in turn, in order of a numeric key (null first); rows of equal key take turns in any order.
-
-    Ranges of the key are numbered apart, so that no task numbers all rows; a range goes on where the one before ends.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.approxQuantile(key, [i / n for i in range(1, n)], 0.001))) if n > 1 else []
-    part = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    parts = df.withColumn("_part", F.coalesce(part, F.lit(0)))
-    sizes = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row for each range
-    before, total = [], 0
-    for p in range(len(cuts) + 1):
-        before, total = [*before, total], total + sizes.get(p, 0)
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy(F.asc_nulls_first(key))) - 1
-    start = F.element_at(F.array(*(F.lit(x).cast("long") for x in before)), F.col("_part") + 1)
-    return parts.withColumn("endpoint", _one_of(endpoints, start + nth)).drop("_part")
+    """Endpoints in turn, in order of a key (null first); rows of equal key take turns by their content."""
+    nth = running_sum(df, [], [F.asc_nulls_first(key), F.xxhash64(*df.columns)], "_nth")
+    return nth.withColumn("endpoint", _one_of(endpoints, F.col("_nth") - 1)).drop("_nth")
 
 
 def _one_of(endpoints: list[str], turn: Column) -> Column:

@@ -12,7 +12,8 @@ HEADER_FACTOR, FUZZY_FACTOR, FUZZY_FLOOR = 0.98, 0.90, 0.90
 BOOST, CAP = 0.02, 0.99
 MIN_TEXT = 50
 TEMPLATE = "id bigint, fingerprint string, header_hash string, company_hint string, country string, doc_type string, doc_category string, company string, confidence double, hit_count bigint, created_at timestamp, last_hit_at timestamp"
-_ANSWER = ["id", "country", "doc_type", "doc_category", "company", "confidence"]
+GRAM_BLOCK = 2000
+_ANSWER = ["id", "fingerprint", "country", "doc_type", "doc_category", "company", "confidence"]
 
 
 def _first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -23,38 +24,58 @@ def _answer(t: DataFrame, name: str, *keys: str) -> DataFrame:
     return t.select(*keys, F.struct(*_ANSWER).alias(name))
 
 
+def _containing(needles: DataFrame, outer: DataFrame, block: int = GRAM_BLOCK) -> DataFrame:
+    """(_hint, _fuzzy): for each needle the best answer among the hints that contain it.
+
+    ``outer`` has one row for each hint, with its best answer. A needle meets hints on its rarest trigram
+    among theirs, if they have all of its trigrams; hints of a frequent trigram are dealt out in blocks.
+    """
+    def grams(c: str) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3))))
+
+    index = outer.filter("length(_outer) >= 3").select("*", F.explode(grams("_outer")).alias("_gram"))
+    often = index.groupBy("_gram").agg(F.count("*").alias("_k"))
+    wanted = needles.filter("length(_hint) >= 3").select("_hint", F.size(grams("_hint")).alias("_all"), F.explode(grams("_hint")).alias("_gram"))
+    found = wanted.join(often, "_gram").groupBy("_hint", "_all").agg(F.count("*").alias("_n"), F.min(F.struct("_k", "_gram")).alias("_rare")).filter("_n = _all")
+    blocks = F.ceil(F.col("_rare._k") / block).cast("int")
+    found = found.select("_hint", F.col("_rare._gram").alias("_gram"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"))
+    dealt = index.join(often, "_gram").withColumn("_block", F.pmod(F.xxhash64("_outer"), F.ceil(F.col("_k") / block)).cast("int"))
+    pairs = found.join(dealt.select("_gram", "_block", "_outer", "_best", "_rank"), ["_gram", "_block"]).filter(F.contains("_outer", F.col("_hint")))
+    return pairs.groupBy("_hint").agg(F.min_by("_best", "_rank").alias("_fuzzy"))
+
+
 def match_templates(docs: DataFrame, templates: DataFrame, hit_threshold: float = HIT_THRESHOLD) -> DataFrame:
     """docs(doc_id, text, fingerprint, header_hash, company_hint) with ``tier`` (exact, header, fuzzy or null) and ``hit``.
 
     Exact: equal fingerprint. Header: the most used template of the header, then the threshold.
-    Fuzzy: the most used template whose hint contains the document's, at least 0.90 confident. The
-    containment join meets on the first three characters of the document's hint among the trigrams
-    of the templates' hints, over distinct hints.
+    Fuzzy: the most used template whose hint contains the document's (ASCII capitals of the template's count
+    as small letters), at least 0.90 confident. Distinct combinations of the three keys are looked up, and
+    documents take their answer by one join, the only one that texts may go through.
     """
-    probe = docs.withColumn("_probe", F.length("text") >= MIN_TEXT)
+    keys = ["fingerprint", "header_hash", "company_hint"]
+    best = lambda *order: F.min_by(F.struct(*_ANSWER), F.struct(*order))
+    kinds = docs.filter(F.length("text") >= MIN_TEXT).select(*keys).distinct()
     exact = _answer(templates, "_exact", "fingerprint")
-    most_used = F.min_by(F.struct(*_ANSWER), F.struct(-F.col("hit_count"), "id"))
-    header = templates.filter("header_hash <> ''").groupBy("header_hash").agg(most_used.alias("_header"))
-    tiers = probe.join(exact, "fingerprint", "left").join(header, "header_hash", "left")
-    ok1 = F.col("_probe") & (F.col("_exact.confidence") >= hit_threshold)
-    ok2 = F.col("_probe") & (F.col("_header.confidence") >= hit_threshold)
-    tiers = tiers.withColumns({"_ok1": F.coalesce(ok1, F.lit(False)), "_ok2": F.coalesce(ok2, F.lit(False))})
-    # of all documents: which of them the earlier tiers serve would take those joins, and the fingerprints, a second time
-    hints = probe.filter("_probe and length(company_hint) >= 3").select(F.col("company_hint").alias("_hint")).distinct()
-    grams = F.transform(F.sequence(F.lit(1), F.length("company_hint") - 2), lambda i: F.substring(F.col("company_hint"), i, F.lit(3)))
-    index = templates.filter("length(company_hint) >= 3").select("*", F.explode(F.array_distinct(grams)).alias("_gram"))
-    pairs = hints.withColumn("_gram", F.substring("_hint", 1, 3)).join(index, "_gram").filter(F.contains(F.col("company_hint"), F.col("_hint")))
-    fuzzy = _first(pairs, ["_hint"], [F.desc("hit_count"), F.desc("confidence"), F.asc("id")])
-    tiers = tiers.join(_answer(fuzzy, "_fuzzy", "_hint"), F.col("company_hint") == F.col("_hint"), "left")
-    ok3 = F.coalesce(F.col("_probe") & (F.col("_fuzzy.confidence") >= FUZZY_FLOOR), F.lit(False))
-    tier = F.when(F.col("_ok1"), "exact").when(F.col("_ok2"), "header").when(ok3, "fuzzy")
+    header = templates.filter("header_hash <> ''").groupBy("header_hash").agg(best(-F.col("hit_count"), "id").alias("_header"))
+    # of all kinds: which of them the earlier tiers serve would take those joins a second time
+    needles = kinds.filter("length(company_hint) >= 3").select(F.col("company_hint").alias("_hint")).distinct()
+    rank = (-F.col("hit_count"), -F.col("confidence"), "id")
+    lowered = F.translate("company_hint", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    outer = templates.filter("length(company_hint) >= 3").groupBy(lowered.alias("_outer")).agg(best(*rank).alias("_best"), F.min(F.struct(*rank)).alias("_rank"))
+    fuzzy = _containing(needles, outer)
+    tiers = kinds.join(exact, "fingerprint", "left").join(header, "header_hash", "left").join(fuzzy, F.col("company_hint") == F.col("_hint"), "left")
+    sure = lambda f, least: F.coalesce(F.col(f"{f}.confidence") >= least, F.lit(False))
+    tier = F.when(sure("_exact", hit_threshold), "exact").when(sure("_header", hit_threshold), "header").when(sure("_fuzzy", FUZZY_FLOOR), "fuzzy")
 
     def pick(f: str) -> Column:
-        return F.when(tier == "exact", F.col(f"_exact.{f}")).when(tier == "header", F.col(f"_header.{f}")).when(tier == "fuzzy", F.col(f"_fuzzy.{f}"))
-
-    factor = F.when(tier == "header", HEADER_FACTOR).when(tier == "fuzzy", FUZZY_FACTOR).otherwise(1.0)
-    hit = F.struct(*(pick(f).alias(f) for f in _ANSWER[:-1]), (pick("confidence") * factor).alias("confidence"))
-    return tiers.select(*docs.columns, tier.alias("tier"), F.when(tier.isNotNull(), hit).alias("hit"))
+        return F.when(F.col("tier") == "exact", F.col(f"_exact.{f}")).when(F.col("tier") == "header", F.col(f"_header.{f}")).otherwise(F.col(f"_fuzzy.{f}"))
+
+    factor = F.when(F.col("tier") == "header", HEADER_FACTOR).when(F.col("tier") == "fuzzy", FUZZY_FACTOR).otherwise(1.0)
+    hit = F.struct(*(pick(f).alias(f) for f in _ANSWER if f != "confidence"), (pick("confidence") * factor).alias("confidence"))
+    served = tiers.withColumn("tier", tier).filter("tier is not null").select(*(F.col(k).alias(f"_{k}") for k in keys), "tier", hit.alias("hit"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys[1:]]
+    met = docs.join(served, (F.col("fingerprint") == F.col("_fingerprint")) & same[0] & same[1] & (F.length("text") >= MIN_TEXT), "left")
+    return met.select(*docs.columns, "tier", "hit")
 
 
 def learn(templates: DataFrame, answers: DataFrame, now: Column, threshold: float = LEARN_THRESHOLD) -> DataFrame:

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import destination, resolve_conflicts
+from ..functions.paths import destination
+from ..operators.free_names import resolve_conflicts
 
 
-def organize_plan(results: DataFrame, output_dir: str, min_confidence: float = 0.7, use_trash: bool = True, by_category: bool = False) -> DataFrame:
-    """results(filename, country, doc_type, doc_category, company, year, confidence, is_valid, error) with status, message and dest_path."""
+def organize_plan(
+    results: DataFrame, output_dir: str, min_confidence: float = 0.7, use_trash: bool = True, by_category: bool = False, existing: DataFrame | None = None,
+) -> DataFrame:
+    """results(filename, country, doc_type, doc_category, company, year, confidence, is_valid, error) with status, message and dest_path.
+
+    No two rows share a destination, nor does any take the name of an ``existing`` file (``path``).
+    """
     low = F.coalesce(F.col("confidence"), F.lit(0.0)) < min_confidence
     bad = ~F.coalesce("is_valid", F.lit(False))
     status = F.when(F.col("error").isNotNull(), "error").when(bad | low, "trash" if use_trash else "skipped").otherwise("success")
@@ -20,5 +26,4 @@ def organize_plan(results: DataFrame, output_dir: str, min_confidence: float = 0
         F.col("status") == "trash", F.concat_ws("/", F.lit(output_dir), F.lit("unclassified"), F.col("filename"))
     )
     placed = placed.withColumn("dest_path", path)
-    moved = resolve_conflicts(placed.filter("dest_path is not null"), "dest_path", "filename")
-    return moved.unionByName(placed.filter("dest_path is null"))
+    return resolve_conflicts(placed, "dest_path", "file_path" if "file_path" in results.columns else "filename", existing)

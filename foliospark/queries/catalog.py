@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..functions.dictionaries import VAT_FORMATS
 from ..operators import chat, likeness, progress, reports, templates
 from ..plans.classify import can_use_llm, classify, learn_from, route
 from ..plans.organize import organize_plan
+from ..plans.sessions import Sessions
+from ..store import new_path
 from .inputs import DATED, ENDPOINTS, EVIDENCE, INVOICES, PROGRESS, answers, dated_invoices, endpoint_log, evidence_texts, invoices, progress_seed, table, template_seed
 from .stub import stub_responder
 
@@ -36,7 +40,18 @@ def _offset(kind: str) -> str:
     return f"CASE WHEN regexp_matches(text, '{p}') THEN '{kind}:' || (length(regexp_extract(text, '(?s)^(.*?)(?:{p})', 1)) // 100) END"
 
 
-HINT = "nullif(lower(trim(regexp_extract(upper(substring(text, 1, 500)), '([A-Z][A-Za-z]+(?:\\s+[A-Z][A-Za-z]+){0,3})\\s+(?:GMBH|AG|SA|SAS|SRL|LTD|PLC|INC|BV|NV)', 1))), '')"
+# letters whose capital form is two letters, which this SQL's upper() leaves as they are
+WIDE = {"ß": "SS", "ﬀ": "FF", "ﬁ": "FI", "ﬂ": "FL", "ﬃ": "FFI", "ﬄ": "FFL", "ﬅ": "ST", "ﬆ": "ST", "ŉ": "ʼN", "ǰ": "J̌"}
+
+
+def _upper(x: str) -> str:
+    for letter, capitals in WIDE.items():
+        x = f"replace({x}, '{letter}', '{capitals}')"
+    return f"upper({x})"
+
+
+HEAD = _upper("substring(text, 1, 500)")
+HINT = f"nullif(lower(trim(regexp_extract({HEAD}, '([A-Z][A-Za-z]+(?:\\s+[A-Z][A-Za-z]+){{0,3}})\\s+(?:GMBH|AG|SA|SAS|SRL|LTD|PLC|INC|BV|NV)', 1))), '')"
 PRINTS = f"""prints AS (
   SELECT doc_id, text, {HINT} AS company_hint, {_normal("substring(text, 1, 500)")} AS header,
          concat_ws('|', {", ".join(_offset(k) for k in ("amount", "date", "iban", "vat"))}) AS structure
@@ -65,7 +80,7 @@ def fingerprint_generator(spark, sf_dir):
 
 
 @query(
-    f"""WITH {INVOICES} SELECT doc_id, lower(trim(regexp_extract(upper(substring(text, 1, 500)),
+    f"""WITH {INVOICES} SELECT doc_id, lower(trim(regexp_extract({HEAD},
     '([A-Z][A-Za-z]+(?:\\s+[A-Z][A-Za-z]+){{0,3}})\\s+(?:GMBH|AG|SA|SAS|SRL|LTD|PLC|INC|BV|NV)', 1))) AS company_hint FROM invoices"""
 )
 def company_hint(spark, sf_dir):
@@ -237,9 +252,11 @@ def template_match(spark, sf_dir):
     return _matched(spark, sf_dir).select("doc_id", "tier", *hit)
 
 
-@query(f"WITH {MATCHED} SELECT doc_id, tier, template_id, country, confidence FROM matched")
+@query(f"WITH {MATCHED} SELECT tier, count(*) AS n_documents, count(DISTINCT template_id) AS n_templates, round(avg(confidence), 9) AS confidence FROM matched GROUP BY tier")
 def template_match_tiers(spark, sf_dir):
-    return template_match(spark, sf_dir)
+    """How much each tier serves, and with how many templates."""
+    numbers = F.count("*").alias("n_documents"), F.count_distinct("hit.id").alias("n_templates"), F.round(F.avg("hit.confidence"), 9).alias("confidence")
+    return _matched(spark, sf_dir).groupBy("tier").agg(*numbers)
 
 
 @query(
@@ -356,6 +373,69 @@ def route_cache_only(spark, sf_dir):
     return route(_day_mode(spark, sf_dir), cache_only=True, min_confidence=0.9).select("doc_id", "status", "error_msg")
 
 
+def _second(sql: str) -> str:
+    """The lookup's common table expressions once more, over the second session's files and templates."""
+    for name in ("templates", "best", "hints", "near", "matched", "day", "judged", "j"):
+        sql = re.sub(rf"\b{name}\b(?! :=)", f"{name}2", sql)
+    return sql
+
+
+_LOOKUP = MATCHED.removeprefix(f"{SEED}, ").replace(">= 0.92", ">= 0.95") + _DAY.removeprefix(MATCHED)
+_STATUS = """CASE WHEN short THEN 'error' WHEN source = 'no_match' THEN 'pending_llm' WHEN is_valid AND confidence >= 0.9 THEN 'ok' ELSE 'error' END"""
+_FIRST = _LOOKUP.replace("FROM marked m", "FROM (SELECT * FROM marked WHERE doc_id % 3 > 0) m").replace("FROM marked WHERE length", "FROM marked WHERE doc_id % 3 > 0 AND length")
+_LATER = _second(_LOOKUP).replace("FROM marked m", "FROM (SELECT * FROM marked JOIN again USING (doc_id)) m").replace("FROM marked WHERE length", "FROM marked JOIN again USING (doc_id) WHERE length")
+_SESSIONS = f"""{SEED}, {_FIRST}, one AS (SELECT doc_id, {_STATUS} AS status, source, confidence, short FROM judged),
+    used AS (SELECT template_id AS id, count(*) AS n FROM matched JOIN one USING (doc_id) WHERE tier IS NOT NULL AND NOT short GROUP BY 1),
+    templates2 AS (SELECT t.* REPLACE (t.hit_count + coalesce(n, 0) AS hit_count) FROM templates t LEFT JOIN used USING (id)),
+    again AS (SELECT doc_id FROM marked LEFT JOIN one USING (doc_id) WHERE status IS NULL OR status <> 'ok'),
+    {_LATER}, two AS (SELECT doc_id, {_STATUS} AS status, source, confidence, short FROM judged2),
+    final AS (SELECT * FROM two UNION ALL SELECT * FROM one WHERE status = 'ok'),
+    used2 AS (SELECT template_id AS id, count(*) AS n FROM matched2 JOIN two USING (doc_id) WHERE tier IS NOT NULL AND NOT short GROUP BY 1)"""
+
+
+def _sessions(spark, sf_dir) -> Sessions:
+    """Two sessions on the cache alone: two thirds of the documents, a retry of what failed, then all."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.concat(F.lit("/in/"), F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".pdf")).alias("file_path"), F.col("source").alias("folder"), F.lit(1).alias("file_size"), "text", "doc_id")
+    book = Sessions(spark, new_path(spark, "sessions"))
+    book.templates.import_new(template_seed(spark, sf_dir))
+    now = F.lit("2024-06-01").cast("timestamp")
+    options = {"cache_only": True, "hit_threshold": 0.97, "min_confidence": 0.9, "now": now}
+    book.run(files.filter("doc_id % 3 > 0").drop("doc_id"), "/in", None, **options)
+    book.retry()
+    book.run(files.drop("doc_id"), "/in", None, **options)
+    return book
+
+
+@query(
+    f"""WITH {_SESSIONS} SELECT '/in/' || d.source || '/' || d.doc_id || '.pdf' AS file_path, d.source AS folder, f.status, CASE WHEN f.status = 'ok' THEN f.source END AS source,
+      CASE WHEN short THEN 'Empty or too short text' WHEN f.source = 'no_match' THEN 'No cache match (cache-only mode)' WHEN f.status <> 'ok' THEN printf('Low confidence (conf=%.2f)', confidence) END AS error_msg,
+      CASE WHEN d.doc_id % 3 > 0 THEN 1 ELSE 2 END::BIGINT AS batch_run_id FROM final f JOIN documents d USING (doc_id)"""
+)
+def run_sessions(spark, sf_dir):
+    """What two sessions and a retry leave of each file; the second one ranks templates by the hits of the first."""
+    return _sessions(spark, sf_dir).files.read().select("file_path", "folder", "status", "source", "error_msg", "batch_run_id")
+
+
+@query(
+    f"""WITH {_SESSIONS}, r AS (SELECT CASE WHEN doc_id % 3 > 0 THEN 1 ELSE 2 END::BIGINT AS id, f.* FROM final f), later AS (SELECT * FROM r WHERE id = 2), first AS (SELECT 1::BIGINT AS id, one.* FROM one)
+    SELECT id, '/in' AS source_root, 'finished' AS status, count(*) AS total_files, count(*) FILTER (status = 'ok') AS processed_files, count(*) FILTER (status = 'ok' AND source = 'template_cache') AS cache_hits,
+      0::BIGINT AS llm_calls, count(*) FILTER (status = 'error') AS errors FROM (SELECT id, status, source FROM first UNION ALL SELECT id, status, source FROM later) GROUP BY 1"""
+)
+def run_records(spark, sf_dir):
+    """The records of both runs, as each ended."""
+    return _sessions(spark, sf_dir).runs.read().drop("started_at", "finished_at")
+
+
+@query(
+    f"""WITH {_SESSIONS} SELECT t.id, t.hit_count + coalesce(u.n, 0) AS hit_count, CASE WHEN u.n > 0 OR t.hit_count > s.hit_count THEN TIMESTAMP '2024-06-01' END AS last_hit_at
+    FROM templates2 t JOIN templates s USING (id) LEFT JOIN used2 u USING (id)"""
+)
+def template_hits_in_runs(spark, sf_dir):
+    """Hits of every template after both sessions."""
+    return _sessions(spark, sf_dir).templates.read().select("id", "hit_count", "last_hit_at")
+
+
 @query()
 def classify_and_learn(spark, sf_dir):
     docs = invoices(spark, sf_dir).select("doc_id", "text")
@@ -381,8 +461,8 @@ def folder_stats(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PROGRESS} SELECT id, CASE WHEN status = 'error' AND folder = '1-URGENT' THEN 'pending' ELSE status END AS status,
-    CASE WHEN status = 'error' AND folder = '1-URGENT' THEN NULL ELSE error_msg END AS error_msg FROM progress"""
+    f"""WITH {PROGRESS} SELECT id, CASE WHEN status IN ('error', 'pending_llm') AND folder = '1-URGENT' THEN 'pending' ELSE status END AS status,
+    CASE WHEN status IN ('error', 'pending_llm') AND folder = '1-URGENT' THEN NULL ELSE error_msg END AS error_msg FROM progress"""
 )
 def retry_reset(spark, sf_dir):
     return progress.reset_errors(progress_seed(spark, sf_dir), "1-URGENT").select("id", "status", "error_msg")
@@ -428,6 +508,30 @@ def organize_paths(spark, sf_dir):
     return plan.groupBy("status", "dest_path").agg(F.count("*").alias("n_files"))
 
 
+def _existing(spark, sf_dir):
+    """Files that lie at some destinations already: the plain name of every fifth, and the first number of every seventh."""
+    plan = organize_plan(_results(spark, sf_dir), "/out", use_trash=False).filter("status = 'success'")
+    base = F.regexp_replace("dest_path", r"(_\d+)?\.pdf$", "")
+    pick = lambda n: F.pmod(F.length(base) + F.ascii(F.reverse(base)), F.lit(n)) == 0
+    names = F.concat(F.when(pick(5), F.array(F.concat(base, F.lit(".pdf")))).otherwise(F.array()), F.when(pick(7), F.array(F.concat(base, F.lit("_1.pdf")), F.concat(base, F.lit("_3.pdf")))).otherwise(F.array()))
+    return plan.select(F.explode(names).alias("path")).distinct()
+
+
+@query(
+    rf"""WITH {RESULTS}, d AS (SELECT concat_ws('/', '/out', replace(country, ' ', '_'), coalesce(doc_type, 'unknown'),
+      regexp_replace(substring(replace(replace(replace(company, '/', '_'), ':', '_'), ' ', '_'), 1, 50), '_+$', ''), year, replace(filename, '.pdf', '')) AS base FROM routed WHERE status = 'success'),
+    e AS (SELECT DISTINCT base, unnest(list_concat(CASE WHEN (length(base) + ascii(right(base, 1))) % 5 = 0 THEN [0] ELSE [] END, CASE WHEN (length(base) + ascii(right(base, 1))) % 7 = 0 THEN [1, 3] ELSE [] END)) AS k FROM d),
+    g AS (SELECT base, count(*) AS n FROM d GROUP BY 1),
+    free AS (SELECT base, n, unnest(range(0, n + 4)) AS k FROM g),
+    ranked AS (SELECT f.base, f.n, f.k, row_number() OVER (PARTITION BY f.base ORDER BY f.k) AS r FROM free f WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.base = f.base AND e.k = f.k))
+    SELECT base || CASE WHEN k = 0 THEN '' ELSE '_' || k END || '.pdf' AS dest_path, 1::BIGINT AS n_files FROM ranked WHERE r <= n"""
+)
+def organize_free_names(spark, sf_dir):
+    """Destinations beside files that are there: each row takes the first free name of its destination."""
+    plan = organize_plan(_results(spark, sf_dir), "/out", use_trash=False, existing=_existing(spark, sf_dir))
+    return plan.filter("status = 'success'").groupBy("dest_path").agg(F.count("*").alias("n_files"))
+
+
 @query(
     f"""WITH {RESULTS} SELECT count(*) AS total_files, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status = 'trash') AS moved_to_trash,
     count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'error') AS errors FROM routed"""
