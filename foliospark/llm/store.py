@@ -1,75 +1,7 @@
-"""Intermediate tables in the folder that every executor shares.
-
-Long jobs cut their lineage by writing a Parquet table below ``spark.checkpoint.dir`` and reading
-it back, so a lost executor costs the running stage only. Where that setting is absent (tests on a
-local master) a temporary folder takes its place; on a cluster its absence is an error.
-"""
+"""Intermediate tables in the folder that every executor shares: the engine's own, under the name used here."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: dict[str, str] = {}
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, without a trailing slash."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
-    if not master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="foliospark-")
-        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
-    return "file://" + _LOCAL[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/foliospark-{uuid.uuid4().hex}/{name}"
-    jvm = spark.sparkContext._jvm
-    parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(parent)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back; shuffle files of the write go when it ends."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._folio_path = path
-    return out
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote, once nothing reads them any more."""
-    for table in tables:
-        path = getattr(table, "_folio_path", None)
-        if path:
-            delete(table.sparkSession, path)
+from ..store import delete, exists, materialize, new_path, release, shared_dir
 
+__all__ = ["delete", "exists", "materialize", "new_path", "release", "shared_dir"]
