@@ -119,6 +119,11 @@ EVIDENCE_PREFIXES = {
     "AT": "austria", "CH": "switzerland",
 }
 
+# What invented personal data looks like.
+SUSPICIOUS_PATTERNS = [
+    "john doe", "jane doe", "test", "example", "sample", "1234567890", "0123456789", "123456789", "000000", "1990-01-01", "01.01.1990", "1980-01-01", "01.01.1980",
+]
+
 
 def mapping(table: dict) -> Column:
     """A map literal; values may be strings, numbers or None."""

@@ -30,19 +30,23 @@ def recover_json(raw: Column, attempts: int = 4) -> Column:
 
 def normalize_country(name: Column) -> Column:
     """Exact name, alias, or the first name that contains or is contained; null otherwise."""
-    n = trim(F.lower(name))
-    partial = F.try_element_at(F.filter(strings(PARTIAL), lambda c: F.contains(n, c) | F.contains(c, n)), F.lit(1))
-    return F.when(F.coalesce(name, F.lit("")) != "", F.coalesce(F.when(n.isin(COUNTRIES), n), lookup(COUNTRY_ALIASES, n), partial))
+    def known(n: Column) -> Column:
+        partial = F.try_element_at(F.filter(strings(PARTIAL), lambda c: F.contains(n, c) | F.contains(c, n)), F.lit(1))
+        return F.coalesce(F.when(n.isin(COUNTRIES), n), lookup(COUNTRY_ALIASES, n), partial)
+
+    return F.when(F.coalesce(name, F.lit("")) != "", let(trim(F.lower(name)), known))
 
 
 def normalize_doc_type(name: Column) -> Column:
     """struct<doc_type, confidence, category>; null for an empty name."""
-    n = F.regexp_replace(trim(F.lower(name)), " ", "_")
-    valid, mapped = n.isin(list(DOC_TYPE_CATEGORY)), lookup(DOC_TYPE_ALIASES, n)
-    kind = F.when(valid, n).otherwise(F.coalesce(mapped, F.lit("unknown")))
-    confidence = F.when(valid, VALID).when(mapped.isNotNull(), MAPPED).otherwise(UNKNOWN)
-    category = F.coalesce(lookup(DOC_TYPE_CATEGORY, kind), F.lit("other"))
-    return F.when(F.coalesce(name, F.lit("")) != "", F.struct(kind.alias("doc_type"), confidence.alias("confidence"), category.alias("category")))
+    def known(n: Column) -> Column:
+        valid, mapped = n.isin(list(DOC_TYPE_CATEGORY)), lookup(DOC_TYPE_ALIASES, n)
+        kind = F.when(valid, n).otherwise(F.coalesce(mapped, F.lit("unknown")))
+        confidence = F.when(valid, VALID).when(mapped.isNotNull(), MAPPED).otherwise(UNKNOWN)
+        category = F.coalesce(lookup(DOC_TYPE_CATEGORY, kind), F.lit("other"))
+        return F.struct(kind.alias("doc_type"), confidence.alias("confidence"), category.alias("category"))
+
+    return F.when(F.coalesce(name, F.lit("")) != "", let(F.regexp_replace(trim(F.lower(name)), " ", "_"), known))
 
 
 def parse_response(raw: Column, text: Column) -> Column:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dictionaries import SUSPICIOUS_PATTERNS
 from .ranking import running_sum
 
 
-def count_by(df: DataFrame, key: str, missing: str | None = None, limit: int | None = None, share: bool = False, bar: bool = False) -> DataFrame:
+def count_by(df: DataFrame, key: str, missing: str | None = None, limit: int | None = None, share: bool = False, bar: bool = False, cut: int | None = None) -> DataFrame:
     """Counts by a column, largest first, then by key. Nulls are left out, or counted as ``missing``.
 
-    ``share`` adds each count's part of all counted rows, also of those beyond ``limit``, and ``bar`` a mark for every two percent.
+    ``share`` adds each count's part of all counted rows, also of those beyond ``limit``, ``bar`` a mark for every two percent,
+    and ``cut`` the name as shown, cut after so many characters.
     """
     rows = df.withColumn(key, F.coalesce(F.col(key), F.lit(missing))) if missing else df.filter(F.col(key).isNotNull())
     out = rows.groupBy(key).agg(F.count("*").alias("n"))
@@ -19,6 +21,8 @@ def count_by(df: DataFrame, key: str, missing: str | None = None, limit: int | N
         out = out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
     if bar:
         out = out.withColumn("bar", F.repeat(F.lit("#"), F.floor(F.col("share") * 100 / 2).cast("int")))
+    if cut:
+        out = out.withColumn("shown", shortened(F.col(key), cut))
     out = out.orderBy(F.desc("n"), F.asc(key))
     return out.limit(limit) if limit else out
 
@@ -158,7 +162,29 @@ def _one_of(endpoints: list[str], turn: Column) -> Column:
     return F.element_at(F.array(*(F.lit(e) for e in endpoints)), F.pmod(turn, F.lit(len(endpoints))).cast("int") + 1)
 
 
-def suspicious(value: Column, patterns: list[str]) -> Column:
-    return F.exists(F.array(*(F.lit(p) for p in patterns)), lambda p: F.contains(F.lower(value), p))
+def suspicious(value: Column, patterns: list[str] = SUSPICIOUS_PATTERNS) -> Column:
+    """Whether a value holds one of the patterns, case aside."""
+    found, low = F.lit(False), F.lower(F.coalesce(value, F.lit("")))
+    for p in patterns:
+        found = found | F.contains(low, F.lit(p))
+    return found
 
 
+def mark_suspicious(results: DataFrame, fields: list[str]) -> DataFrame:
+    """results(error, ...) with ``warning``: suspicious_data where one of the fields looks invented, kept otherwise."""
+    found = F.lit(False)
+    for f in fields:
+        found = found | suspicious(F.col(f))
+    kept = F.col("warning") if "warning" in results.columns else F.lit(None).cast("string")
+    return results.withColumn("warning", F.when(F.col("error").isNull() & found, "suspicious_data").otherwise(kept))
+
+
+def shortened(name: Column, length: int) -> Column:
+    """A name cut after some characters, with dots where it went on."""
+    return F.when(F.length(name) > length, F.concat(F.substring(name, 1, length), F.lit("..."))).otherwise(name)
+
+
+def probed(endpoints: DataFrame, probes: DataFrame) -> DataFrame:
+    """endpoints(endpoint) with the status of its latest probe in probes(endpoint, at, ok): available or not, null if never asked."""
+    last = probes.groupBy("endpoint").agg(F.max_by("ok", "at").alias("available"), F.max("at").alias("probed_at"), F.count("*").alias("probes"))
+    return endpoints.join(last, "endpoint", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import guard as checks
+from ..functions.binding import bind
 from ..functions.responses import parse_response
 from ..functions.text import trim, with_fingerprint
 from ..operators.progress import error_message
@@ -72,9 +73,8 @@ def classify(docs: DataFrame, templates: DataFrame, responder: Responder | None,
         rows = responder(rows.withColumns({"source": source, "hit": F.when(F.col("_hit"), F.col("hit"))}))
     if "response_error" not in rows.columns:
         rows = rows.withColumn("response_error", F.lit(None).cast("string"))
-    # exploding an array of one keeps Spark from writing these expressions out once for each of the columns that follow
-    rows = rows.withColumn("a", F.explode(F.array(parse_response(F.col("raw_response"), F.col("ask_text")))))
-    rows = rows.withColumn("g", F.explode(F.array(checks.check(F.col("a.country"), F.col("a.company"), F.col("a.year"), F.col("ask_text")))))
+    rows = bind(rows, a=parse_response(F.col("raw_response"), F.col("ask_text")))
+    rows = bind(rows, g=checks.check(F.col("a.country"), F.col("a.company"), F.col("a.year"), F.col("ask_text")))
     llm = F.col("source") == "llm"
     conf = F.coalesce(F.col("hit.confidence") * factor, F.lit(0.0))
     penalty = F.col("g.penalty") if guard else F.lit(0.0)

@@ -16,6 +16,7 @@ from ..functions.paths import destination
 from ..operators import progress as P
 from ..operators.free_names import resolve_conflicts
 from ..operators.ranking import running_sum
+from ..operators.templates import template_stats
 from ..sources.moves import move_files_journaled
 from ..sources.template_store import TemplateStore
 from ..sources.versioned import VersionedTable
@@ -137,9 +138,9 @@ class Sessions:
         return n
 
     def status(self) -> dict[str, DataFrame]:
-        """overall, folders (with shown names) and the latest runs, and the totals of the template table."""
+        """overall, folders (with shown names), the latest runs, and the template table: its numbers, and its queries and hits."""
         files = self.files.read()
         totals = self.templates.totals()
         stats = P.folder_stats(files)
         cache = self.spark.createDataFrame([tuple(totals.values())], "total_queries long, total_hits long, hit_rate double")
-        return {"overall": P.run_stats(files), "folders": stats.withColumn("shown", P.folder_label(F.col("folder"))), "runs": P.latest_runs(self.runs.read()), "cache": cache}
+        return {"overall": P.run_stats(files), "folders": stats.withColumn("shown", P.folder_label(F.col("folder"))), "runs": P.latest_runs(self.runs.read()), "templates": template_stats(self.templates.read()), "cache": cache}

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import entities, guard, paths, responses, text, validators
-from ..functions.dictionaries import VAT_FORMATS
+from ..functions.binding import bind
+from ..functions.dictionaries import DOC_TYPE_CATEGORY, SUSPICIOUS_PATTERNS, VAT_FORMATS
 from ..operators import chat, likeness, progress, reports, templates
 from ..plans.classify import can_use_llm, classify, learn_from, route
 from ..plans.organize import organize_plan
@@ -177,6 +178,18 @@ def validate_iban(spark, sf_dir):
     return c.select("c_custkey", "iban", "v.is_valid", "v.country", F.array_join("v.errors", "; ").alias("errors"))
 
 
+@query(
+    """WITH i AS (SELECT c_custkey, 'gb' || lpad((c_custkey % 98)::VARCHAR, 2, '0') || ' we st' || repeat('7', (c_custkey % 9)::INT) || c_custkey AS iban FROM customer),
+    u AS (SELECT *, upper(replace(iban, ' ', '')) AS plain FROM i)
+    SELECT c_custkey, trim(regexp_replace(plain, '(.{4})', '\\1 ', 'g')) AS shown, substring(plain, 5) AS bban FROM u"""
+)
+def iban_parts(spark, sf_dir):
+    """IBANs as written in groups, and the account part."""
+    k = F.col("c_custkey")
+    iban = F.concat(F.lit("gb"), F.lpad((k % 98).cast("string"), 2, "0"), F.lit(" we st"), F.repeat(F.lit("7"), (k % 9).cast("int")), k.cast("string"))
+    return table(spark, sf_dir, "customer").select(k, validators.format_iban(iban).alias("shown"), validators.bban(iban).alias("bban"))
+
+
 @query(
     """WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, ' +', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM documents)
     SELECT doc_id, md5(coalesce(array_to_string(lines, chr(10)), '')) AS digest FROM l"""
@@ -204,15 +217,15 @@ def smart_truncate(spark, sf_dir):
     FROM invoices"""
 )
 def parse_response(spark, sf_dir):
-    a = answers(spark, sf_dir).withColumn("a", responses.parse_response(F.col("raw_response"), F.col("text")))
+    a = bind(answers(spark, sf_dir), a=responses.parse_response(F.col("raw_response"), F.col("text")))
     return a.select("doc_id", "a.country", "a.doc_type", "a.doc_type_confidence", "a.year", "a.is_valid", F.array_join("a.errors", "; ").alias("errors"))
 
 
 @query()
 def guard_validate(spark, sf_dir):
-    a = answers(spark, sf_dir).withColumn("a", responses.parse_response(F.col("raw_response"), F.col("text")))
+    a = bind(answers(spark, sf_dir), a=responses.parse_response(F.col("raw_response"), F.col("text")))
     g = guard.check(F.col("a.country"), F.col("a.company"), F.col("a.year"), F.col("text"))
-    return a.withColumn("g", g).select("doc_id", "g.is_valid", "g.penalty", F.array_join("g.errors", "; ").alias("errors"), F.array_join("g.warnings", "; ").alias("warnings"))
+    return bind(a, g=g).select("doc_id", "g.is_valid", "g.penalty", F.array_join("g.errors", "; ").alias("errors"), F.array_join("g.warnings", "; ").alias("warnings"))
 
 
 @query(
@@ -436,13 +449,31 @@ def template_hits_in_runs(spark, sf_dir):
     return _sessions(spark, sf_dir).templates.read().select("id", "hit_count", "last_hit_at")
 
 
-@query()
+@query(
+    f"""WITH {INVOICES}, {PRINTS.replace("FROM documents", "FROM invoices")}
+    SELECT fingerprint, 'germany' AS country, arg_min(company_hint, doc_id) AS company, count(*) - 1 AS hit_count,
+      list_reduce(list_transform(range(1, least(count(*), 20)), lambda i: 0.85::DOUBLE), lambda x, y: least(greatest(x, y) + 0.02::DOUBLE, 0.99::DOUBLE), 0.85::DOUBLE) AS confidence
+    FROM marked GROUP BY fingerprint"""
+)
 def classify_and_learn(spark, sf_dir):
     docs = invoices(spark, sf_dir).select("doc_id", "text")
     empty = spark.createDataFrame([], templates.TEMPLATE)
     return learn_from(empty, classify(docs, empty, stub_responder), F.lit("2024-06-01").cast("timestamp")).select("fingerprint", "country", "company", "confidence", "hit_count")
 
 
+_KINDS = ["invoice", "credit_note", "receipt", "contract", "novel"]
+
+
+@query(
+    f"""WITH t AS (SELECT o_orderkey AS id, {_KINDS}[o_orderkey % {len(_KINDS)} + 1] AS doc_type FROM orders)
+    SELECT id, doc_type, CASE doc_type {" ".join(f"WHEN '{k}' THEN '{DOC_TYPE_CATEGORY.get(k, 'other')}'" for k in _KINDS)} END AS doc_category FROM t"""
+)
+def category_backfill(spark, sf_dir):
+    """Templates of before the category existed get it from their type."""
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("o_orderkey") % len(_KINDS) + 1).cast("int"))
+    return templates.add_category(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), kind.alias("doc_type")))
+
+
 _MEASURES = """count(*) AS total, sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END)::BIGINT AS ok, sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END)::BIGINT AS errors,
   sum(CASE WHEN status = 'pending' THEN 1 ELSE 0 END)::BIGINT AS pending, sum(CASE WHEN status = 'pending_llm' THEN 1 ELSE 0 END)::BIGINT AS pending_llm,
   sum(CASE WHEN source = 'template_cache' THEN 1 ELSE 0 END)::BIGINT AS cache_hits, sum(CASE WHEN source = 'llm' THEN 1 ELSE 0 END)::BIGINT AS llm_calls,
@@ -559,6 +590,26 @@ def count_by_country(spark, sf_dir):
     return reports.count_by(organize_plan(_results(spark, sf_dir), "/out", use_trash=False).filter("status = 'success'"), "country", "unknown", share=True)
 
 
+@query(
+    f"""WITH {RESULTS}, c AS (SELECT company, count(*) AS n FROM routed WHERE company IS NOT NULL GROUP BY 1) SELECT company, n, CASE WHEN length(company) > 25 THEN substring(company, 1, 25) || '...' ELSE company END AS shown FROM c"""
+)
+def company_names_shown(spark, sf_dir):
+    """Companies with their names as the report shows them."""
+    return reports.count_by(_results(spark, sf_dir), "company", cut=25)
+
+
+@query(
+    f"""WITH {INVOICES}, g AS (SELECT doc_id, CASE WHEN doc_id % 6 = 2 THEN NULL ELSE CASE doc_id % 4 WHEN 0 THEN 'germany' WHEN 1 THEN 'poland' WHEN 3 THEN 'netherlands' END END AS country,
+      CASE WHEN doc_id % 6 <> 2 THEN lower(n_name) END AS company, CASE WHEN doc_id % 6 <> 2 AND doc_id % 7 <> 0 THEN year(o_orderdate) END AS year, lower(substring(n_name, 1, 4)) AS expected FROM invoices)
+    SELECT doc_id, coalesce(country = 'poland', false)::INT + coalesce(contains(company, expected), false)::INT + coalesce(year = 1995, false)::INT AS passed, 3 AS total FROM g"""
+)
+def golden_fields(spark, sf_dir):
+    """How many of three expected fields the answers have."""
+    a = bind(answers(spark, sf_dir), a=responses.parse_response(F.col("raw_response"), F.col("text")))
+    given = a.select("doc_id", "a.country", "a.company", "a.year", F.lit("Poland").alias("expected_country"), F.substring("n_name", 1, 4).alias("expected_company"), F.lit(1995).alias("expected_year"))
+    return reports.golden_score(given, ["country", "company", "year"]).select("doc_id", "passed", "total")
+
+
 _STATS = """SELECT endpoint, count(*) AS requests, count(*) FILTER (error IS NULL) AS successful, count(*) FILTER (error IS NOT NULL) AS failed, coalesce(sum(elapsed) FILTER (error IS NULL), 0.0::DOUBLE) AS total_time,
   min(elapsed) FILTER (error IS NULL) AS min_time, max(elapsed) FILTER (error IS NULL) AS max_time, avg(elapsed) FILTER (error IS NULL) AS avg_time,
   (sum(tokens) FILTER (error IS NULL))::DOUBLE / sum(elapsed) FILTER (error IS NULL) AS tokens_per_sec, (count(*) FILTER (error IS NULL))::DOUBLE / count(*) AS success_rate,
@@ -659,6 +710,34 @@ def vision_counts(spark, sf_dir):
     return reports.vision_counts(_vision(spark, sf_dir))
 
 
+_FAKES = """f AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 11 = 0 THEN 'unreadable' END AS error, CASE WHEN p_partkey % 2 = 0 THEN 'blurred' END AS warning,
+    CASE WHEN p_partkey % 5 = 0 THEN 'John DOE' ELSE p_name END AS full_name, lpad(p_partkey::VARCHAR, 7, '0') AS document_number FROM part)"""
+
+
+@query(
+    f"""WITH {_FAKES} SELECT k, CASE WHEN error IS NULL AND ({" OR ".join(f"contains(lower({c}), '{p}')" for c in ("full_name", "document_number") for p in SUSPICIOUS_PATTERNS)}) THEN 'suspicious_data' ELSE warning END AS warning FROM f"""
+)
+def suspicious_values(spark, sf_dir):
+    """Results whose fields look invented."""
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(
+        k.alias("k"), F.when(k % 11 == 0, "unreadable").alias("error"), F.when(k % 2 == 0, "blurred").alias("warning"), F.when(k % 5 == 0, "John DOE").otherwise(F.col("p_name")).alias("full_name"),
+        F.lpad(k.cast("string"), 7, "0").alias("document_number"),
+    )
+    return reports.mark_suspicious(rows, ["full_name", "document_number"]).select("k", "warning")
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT 'host' || user_id % 40 AS endpoint FROM events), p AS (SELECT 'host' || user_id % 40 AS endpoint, event_id, event_type <> 'error' AS ok FROM events WHERE user_id % 40 <> 7)
+    SELECT e.endpoint, arg_max(ok, event_id) AS available, max(event_id) AS probed_at, count(event_id) AS probes FROM e LEFT JOIN p USING (endpoint) GROUP BY 1"""
+)
+def endpoint_probes(spark, sf_dir):
+    """What the latest probe of every endpoint said; the third column counts probes that got no answer at all as none."""
+    e = table(spark, sf_dir, "events").withColumn("endpoint", F.concat(F.lit("host"), (F.col("user_id") % 40).cast("string")))
+    probes = e.filter("user_id % 40 <> 7").select("endpoint", F.col("event_id").alias("at"), (F.col("event_type") != "error").alias("ok"))
+    return reports.probed(e.select("endpoint").distinct(), probes).withColumn("probes", F.coalesce("probes", F.lit(0)))
+
+
 @query("SELECT CASE event_id % 3 WHEN 0 THEN 'x' WHEN 1 THEN NULL ELSE 'Unknown' END AS country, count(*) AS n FROM events GROUP BY 1")
 def notebook_counts(spark, sf_dir):
     """A field that is there, null, or absent."""
@@ -697,9 +776,22 @@ def chat_flatten(spark, sf_dir):
     return chat.flatten(table(spark, sf_dir, "conversations")).select("conv_id", F.md5("prompt").alias("digest"))
 
 
-@query("SELECT event_id, hour(ts) * 60 + minute(ts) >= 1380 OR hour(ts) * 60 + minute(ts) < 360 AS is_night FROM events")
+@query(
+    """WITH l AS (SELECT conv_id, turn, role, array_to_string(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), ' +', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS shown FROM conversations)
+    SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'model' ELSE 'user' END AS role, md5('user=Answer in JSON.|user=text one|model={}|user=' || shown) AS digest FROM l"""
+)
+def chat_messages(spark, sf_dir):
+    """The prompt for every turn's text, with roles as another model names them."""
+    said = chat.messages(F.coalesce("text", F.lit("")), "Answer in JSON.", [("text one", "{}")])
+    shown = F.array_join(F.transform(said, lambda m: F.concat(chat.role_for_model(m["role"]), F.lit("="), m["content"])), "|")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", chat.role_for_model(F.col("role")).alias("role"), F.md5(shown).alias("digest"))
+
+
+@query("SELECT event_id, hour(ts) * 60 + minute(ts) >= 1380 OR hour(ts) * 60 + minute(ts) < 360 AS is_night, hour(ts) * 60 + minute(ts) >= 1380 OR hour(ts) * 60 + minute(ts) < 360 OR event_id % 7 = 0 AS may_ask FROM events")
 def night_mode(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", can_use_llm(F.hour("ts"), F.minute("ts")).alias("is_night"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", can_use_llm(F.hour("ts"), F.minute("ts")).alias("is_night"), can_use_llm(F.hour("ts"), F.minute("ts"), force=F.col("event_id") % 7 == 0).alias("may_ask")
+    )
 
 
 @query("SELECT doc_id, ['a', 'b', 'c'][(row_number() OVER (ORDER BY doc_id) - 1) % 3 + 1] AS endpoint FROM documents")

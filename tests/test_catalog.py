@@ -46,7 +46,7 @@ def test_query_matches_sql(spark, duck, name):
     assert _rows(ours) == _rows(theirs)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - {"classify_and_learn"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert catalog.queries()[name](spark, SF_DIR).count() > 0
 
