@@ -1,4 +1,4 @@
-"""Pairs of documents whose generator fingerprints have something in common."""
+"""Documents whose generator fingerprints have something in common: counts for each document, or pairs of classes."""
 
 from __future__ import annotations
 
@@ -28,20 +28,55 @@ def _pairs(classes: DataFrame, key: str, block: int) -> DataFrame:
     return met.select("x", "y")
 
 
-def _contained(classes: DataFrame) -> DataFrame:
-    """(x, y): classes where the hint of x holds the other hint of y. They meet on the rarest trigram of the shorter hint."""
+def contained_hints(classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(outer, inner): distinct hints of which one holds the other.
+
+    They meet on the rarest trigram of the shorter one; hints of a frequent trigram are dealt out in blocks.
+    """
     hints = classes.filter("g_hint <> ''").select("g_hint").distinct()
     grams = F.transform(F.sequence(F.lit(1), F.length("g_hint") - 2), lambda i: F.substring(F.col("g_hint"), i, F.lit(3)))
     index = hints.filter("length(g_hint) >= 3").select("g_hint", F.explode(F.array_distinct(grams)).alias("gram"))
-    often = index.groupBy("gram").agg(F.count("*").alias("k"))
-    rarest = index.join(often, "gram").groupBy("g_hint").agg(F.min(F.struct("k", "gram"))["gram"].alias("gram"))
-    held = rarest.withColumnRenamed("g_hint", "inner").join(index.withColumnRenamed("g_hint", "outer"), "gram")
-    held = held.filter(F.contains("outer", "inner") & (F.col("outer") != F.col("inner"))).select("outer", "inner")
+    often = index.groupBy("gram").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("k"))
+    rarest = index.join(often, "gram").groupBy(F.col("g_hint").alias("inner")).agg(F.min(F.struct("k", "gram", "blocks")).alias("r"))
+    rarest = rarest.select("inner", F.col("r.gram").alias("gram"), F.explode(F.sequence(F.lit(0), F.col("r.blocks") - 1)).alias("block"))
+    dealt = index.join(often, "gram").select(F.col("g_hint").alias("outer"), "gram", F.pmod(F.xxhash64("g_hint"), "blocks").cast("int").alias("block"))
+    held = rarest.join(dealt, ["gram", "block"])
+    return held.filter(F.contains("outer", F.col("inner")) & (F.col("outer") != F.col("inner"))).select("outer", "inner")
+
+
+def _contained(classes: DataFrame) -> DataFrame:
+    """(x, y): classes where the hint of x holds the other hint of y."""
+    held = contained_hints(classes)
     row = F.struct(*_FIELDS)
     x, y = classes.select(F.col("g_hint").alias("outer"), row.alias("x")), classes.select(F.col("g_hint").alias("inner"), row.alias("y"))
     return held.join(x, "outer").join(y, "inner").select("x", "y")
 
 
+def likeness_counts(docs: DataFrame) -> DataFrame:
+    """One row for each document: its class and how many others are like it, and why.
+
+    class_id is the smallest id of the documents with its fingerprint. n_same others have that fingerprint
+    (similarity 1), n_header its header (0.6), n_structure its structure (0.3), n_hint its hint (0.1), and the
+    hint of n_contained others holds or lies in its own (0.05); these parts add up to the similarity of two
+    documents. Work and rows grow with the documents and with the distinct hints that hold one another, not
+    with the pairs.
+    """
+    g = materialize(text.generator_fingerprint(docs).select("doc_id", "g_full", "g_header", "g_structure", "g_hint"), "fingerprints")
+    keys = ["g_header", "g_structure", "g_hint"]
+    classes = materialize(g.groupBy("g_full", *keys).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "classes")
+    out = classes.withColumn("n_same", F.col("n") - 1)
+    for key in keys:
+        sizes = classes.filter(F.col(key).isNotNull()).groupBy(key).agg((F.sum("n") - 1).alias("n_" + key[2:]))
+        out = out.join(sizes, key, "left")
+    by_hint = classes.filter("g_hint is not null").groupBy("g_hint").agg(F.sum("n").alias("k"))
+    held = materialize(contained_hints(classes), "held")
+    both = held.select(F.col("outer").alias("x"), F.col("inner").alias("g_hint")).unionByName(held.select(F.col("inner").alias("x"), F.col("outer").alias("g_hint")))
+    contained = both.join(by_hint, "g_hint").groupBy(F.col("x").alias("g_hint")).agg(F.sum("k").alias("n_contained"))
+    out = out.join(contained, "g_hint", "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_same", "n_header", "n_structure", "n_hint", "n_contained")]
+    return g.select("doc_id", "g_full").join(out.select("g_full", "class_id", *numbers), "g_full").drop("g_full")
+
+
 def similar_pairs(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b, similarity) of all pairs that score above 0, with equal fingerprints taken together.
 

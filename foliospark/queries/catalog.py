@@ -799,10 +799,23 @@ def round_robin(spark, sf_dir):
     return reports.round_robin(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", ["a", "b", "c"])
 
 
-@query()
+def _suffixed(suffixes: str) -> str:
+    name = f"trim(regexp_extract({HEAD}, '([A-Z][A-Za-z]+(?:\\s+[A-Z][A-Za-z]+){{0,3}})\\s+(?:{suffixes})', 1))"
+    return f"CASE WHEN length({name}) BETWEEN 3 AND 50 THEN lower({name}) END"
+
+
+@query(
+    f"""WITH g AS (SELECT doc_id, text, {_normal("text")} AS n, concat_ws('|', {", ".join(_offset(k) for k in ("amount", "date", "email", "iban", "vat"))}) AS s FROM documents),
+    p AS (SELECT doc_id, CASE WHEN n = '' THEN 'empty' ELSE substring(n, 1, 500) END AS h, CASE WHEN n = '' THEN 'empty' ELSE 's' || s END AS s,
+      CASE WHEN n <> '' THEN coalesce({_suffixed("GMBH|AG|SA|SAS|SRL|LTD|PLC|INC|BV|NV|SP Z O O")}, {_suffixed("ENERGIE|ENERGY|TELECOM|MOBILE|BANK")}) END AS c FROM g),
+    j AS (SELECT a.doc_id, a.doc_id <> b.doc_id AS other, b.doc_id AS b_id, a.h = b.h AS h, a.s = b.s AS s, coalesce(a.c = b.c, false) AS c, a.c IS NOT DISTINCT FROM b.c AS c0,
+      coalesce(a.c <> b.c AND (contains(a.c, b.c) OR contains(b.c, a.c)), false) AS within FROM p a, p b)
+    SELECT doc_id, min(b_id) FILTER (h AND s AND c0) AS class_id, count(*) FILTER (other AND h AND s AND c0) AS n_same, count(*) FILTER (other AND h) AS n_header, count(*) FILTER (other AND s) AS n_structure,
+      count(*) FILTER (other AND c) AS n_hint, count(*) FILTER (within) AS n_contained FROM j GROUP BY 1"""
+)
 def fingerprint_similarity(spark, sf_dir):
-    """Pairs of fingerprints with equal header, structure or hint, or a contained hint; equal fingerprints count as one."""
-    return likeness.similar_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """For every document how many others share its fingerprint, header, structure or hint, or have a hint that holds its own or lies in it."""
+    return likeness.likeness_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,39 @@ def test_similar_pairs_against_brute_force(spark):
         assert got == want and 0.05 in want.values() and 0.1 in want.values()
 
 
+def test_likeness_counts_of_a_hot_trigram(spark, monkeypatch):
+    """Hints that all begin alike, in small blocks: equal to comparing all, and in step with the pairs."""
+    names = [f"Company {chr(65 + i % 26)}{chr(65 + i // 26)}{' Holding' * (i % 3)} GMBH" for i in range(120)] + ["Company GMBH", "Holding AG", "Nothing"]
+    docs = spark.createDataFrame([(i, f"{n}\n{'x' * (i % 3)} Total: 12.50 EUR") for i, n in enumerate(names * 2)], "doc_id long, text string")
+    prints = {r["doc_id"]: r for r in text.generator_fingerprint(docs).collect()}
+    contained = likeness.contained_hints
+    monkeypatch.setattr(likeness, "contained_hints", lambda c: contained(c, 7))
+    for r in likeness.likeness_counts(docs).collect():
+        me, others = prints[r["doc_id"]], [p for i, p in prints.items() if i != r["doc_id"]]
+        hint = me["g_hint"]
+        near = sum(bool(hint and p["g_hint"] and p["g_hint"] != hint and (hint in p["g_hint"] or p["g_hint"] in hint)) for p in others)
+        want = tuple(sum(p[k] == me[k] and me[k] is not None for p in others) for k in ("g_full", "g_header", "g_structure", "g_hint"))
+        assert (r["n_same"], r["n_header"], r["n_structure"], r["n_hint"], r["n_contained"]) == (*want, near)
+        assert r["class_id"] == min(i for i, p in prints.items() if p["g_full"] == me["g_full"])
+
+
+def test_fuzzy_tier_of_a_hot_trigram(spark):
+    """Twenty thousand hints with one first trigram meet on rarer ones; the best template wins, capitals aside."""
+    n = 20_000
+    word = lambda i: "".join(chr(97 + (i // 26**k) % 26) for k in range(4))
+    rows = [(i, f"f{i}", f"h{i}", f"the {word(i)} {'GROUP ' if i % 2 else 'group '}{word(i * 7 % n)}", 0.9 + (i % 10) / 100, i % 17) for i in range(n)]
+    held = spark.createDataFrame(rows, "id long, fingerprint string, header_hash string, company_hint string, confidence double, hit_count long").selectExpr(
+        "*", "'germany' as country", "'invoice' as doc_type", "'financial' as doc_category", "company_hint as company", "timestamp '2024-01-01' as created_at", "cast(null as timestamp) as last_hit_at"
+    )
+    needles = [f"the {word(i)}" for i in range(0, n, 2000)] + [f"group {word(i * 7 % n)}" for i in range(1, n, 3000)] + ["the", "roup", "the zzzz", "no such"]
+    docs = spark.createDataFrame([(i, "t" * 60, f"x{i}", f"y{i}", h) for i, h in enumerate(needles)], "doc_id long, text string, fingerprint string, header_hash string, company_hint string")
+    got = {r["doc_id"]: (r["hit"]["id"] if r["hit"] else None) for r in templates.match_templates(docs, held).collect()}
+    for i, h in enumerate(needles):
+        fits = [r for r in rows if h in r[3].lower()]
+        best = min(fits, key=lambda r: (-r[5], -r[4], r[0]), default=None)
+        assert got[i] == (best[0] if best and best[4] >= 0.9 else None), h
+
+
 def test_template_tiers_against_brute_force(spark, monkeypatch):
     names = ["Alpha Beta GMBH", "Alpha GMBH", "Gamma Alpha Beta GMBH", "Lambda AG", "Lambda Mu AG"]
     rows = [(i, f"{names[i * 7 % 5]}\nletter {chr(97 + i % 13)}{chr(97 + i // 13)}\n{'more text of the letter ' * 4}") for i in range(100)] + [(100, "Alpha GMBH"), (101, None)]
