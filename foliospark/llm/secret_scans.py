@@ -25,7 +25,7 @@ ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?:\G|(?<![0-9a-f]))[0-9a-f]{32,}+"
 
 IDENT = r"(?i:access_?key_?id|client_?id|account_?id|user_?name|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.@-]{3,}+"
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{24,}+={0,2}"
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+={0,2}"
 ENDPOINT = r"(?<![A-Za-z0-9])(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ftp)://[^\s\"'<>]++"
 
 SCOPE = 200

@@ -127,7 +127,7 @@ def test_secret_linking_against_brute_force(spark):
     gap = lambda: " ".join(["word"] * r.choice((1, 3, 20, 38, 39, 40, 41, 60, 90)))  # noqa: E731  around the scope of 200 characters
     make = [
         lambda: f"client_id: {token(6)}", lambda: token(30), lambda: f"postgres://db{r.randrange(9)}.internal/x", lambda: f"AKIA{'Q7' * 8}",
-        lambda: f"secret={token(12)}", lambda: f"user_name = joe{r.randrange(99)}", lambda: f"token=login={token(700)}", lambda: "0123456789abcdef" * 2, lambda: "plain",
+        lambda: f"secret={token(12)}", lambda: f"user_name = joe{r.randrange(99)}", lambda: f"token=login={token(700)}", lambda: "0123456789abcdef" * 2, lambda: "plain", lambda: "aBcD" * 30 + "7",
     ]
     rows = [(i, "\u00e9 " + f" {gap()} ".join(r.choice(make)() for _ in range(r.randrange(1, 6)))) for i in range(1500)]
     got = {x.doc_id: x.spans for x in secret_scans.digest(secret_scans.scan_secrets(frame(spark, rows))).collect()}
