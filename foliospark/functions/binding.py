@@ -22,7 +22,8 @@ def bind(df: DataFrame, **values: Column) -> DataFrame:
     """Adds columns whose values are computed once, whatever is built on them.
 
     Exploding an array of one keeps Spark from writing an expression out at each of its mentions, and
-    lambdas over the column find a value instead of computing it for every element.
+    lambdas over the column find a value instead of computing it for every element. Values that nobody
+    reads are computed too.
     """
     fields = F.struct(*(v.alias(k) for k, v in values.items()))
     kept = [c for c in df.columns if c not in values]

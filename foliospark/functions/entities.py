@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .binding import bind
+from .binding import let
 from .dictionaries import BIC_BLACKLIST, BIC_COUNTRIES, CURRENCIES, IBAN_COUNTRIES, VAT_PREFIXES, lookup, strings
 from .text import trim
 
@@ -75,30 +75,26 @@ def currencies(text: Column) -> Column:
     return F.array_distinct(_all(text, CURRENCY))
 
 
-def _found_dates(text: Column) -> Column:
-    return _all(text, DATE, 0)
+def dates(text: Column) -> Column:
+    return F.array_distinct(F.transform(_all(text, DATE, 0), lambda x: F.translate(x, "/-", "..")))
 
 
-def dates(text: Column, found: Column | None = None) -> Column:
-    """Distinct dates with points, from a text or the dates found in it."""
-    return F.array_distinct(F.transform(_found_dates(text) if found is None else found, lambda x: F.translate(x, "/-", "..")))
-
-
-def years(text: Column, found: Column | None = None) -> Column:
+def years(text: Column) -> Column:
     """Years of all dates, repeats kept: two digits turn at 50, and 2000 to 2030 count."""
-    last = F.transform(_found_dates(text) if found is None else found, lambda x: F.regexp_extract(x, r"(?U)(\d+)$", 1).try_cast("int"))
+    last = F.transform(_all(text, DATE, 3), lambda y: y.cast("int"))
     full = F.transform(last, lambda y: F.when(y < 50, y + 2000).when(y < 100, y + 1900).otherwise(y))
     return F.filter(full, lambda y: y.between(2000, 2030))
 
 
 def most_common(values: Column) -> Column:
     """The most frequent element, on a tie the one seen first; null for an empty array."""
-    best = F.aggregate(
-        F.array_distinct(values),
-        F.struct(F.lit(None).cast("int").alias("v"), F.lit(0).alias("n")),
-        lambda a, v: F.when(F.size(F.filter(values, lambda x: x == v)) > a["n"], F.struct(v.alias("v"), F.size(F.filter(values, lambda x: x == v)).alias("n"))).otherwise(a),
-    )
-    return best["v"]
+    start = F.struct(F.lit(None).cast("int").alias("v"), F.lit(0).alias("n"))
+
+    def best(found: Column) -> Column:
+        counted = F.transform(F.array_distinct(found), lambda v: F.struct(v.alias("v"), F.size(F.filter(found, lambda x: x == v)).alias("n")))
+        return F.aggregate(counted, start, lambda a, c: F.when(c["n"] > a["n"], c).otherwise(a))["v"]
+
+    return let(values, best)
 
 
 def invoice_number(text: Column) -> Column:
@@ -110,38 +106,43 @@ def amounts(text: Column) -> Column:
 
 
 def fuse(evidence: Column) -> Column:
-    """struct<country, confidence> of an array column of evidence: 1-(1-a)(1-b) within a country, the best country, on ties the first seen."""
+    """struct<country, confidence, source>: 1-(1-a)(1-b) within a country, the best country, on ties the first seen; nulls without evidence."""
+    start = F.struct(F.lit(None).cast("string").alias("country"), F.lit(0.0).alias("confidence"))
 
-    def combined(country: Column) -> Column:
-        own = F.filter(evidence, lambda e: e["country"] == country)
+    def combined(own: Column) -> Column:
         first = F.element_at(own, 1)["confidence"]
-        return F.aggregate(F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), first, lambda a, e: 1 - (1 - a) * (1 - e["confidence"]))
+        return F.aggregate(F.slice(own, 2, F.size(own) - 1), first, lambda a, e: 1 - (1 - a) * (1 - e["confidence"]))
 
-    scored = F.transform(F.array_distinct(F.transform(evidence, lambda e: e["country"])), lambda c: F.struct(c.alias("country"), combined(c).alias("confidence")))
-    start = F.struct(F.lit(None).cast("string").alias("country"), F.lit(0.0).alias("confidence"))
-    return F.aggregate(scored, start, lambda a, s: F.when(s["confidence"] > a["confidence"], s).otherwise(a))
+    def best(found: Column) -> Column:
+        countries = F.array_distinct(F.transform(found, lambda e: e["country"]))
+        scored = F.transform(countries, lambda c: F.struct(c.alias("country"), let(F.filter(found, lambda e: e["country"] == c), combined).alias("confidence")))
+        winner = F.aggregate(scored, start, lambda a, s: F.when(s["confidence"] > a["confidence"], s).otherwise(a))
+        source = lambda w: F.try_element_at(F.filter(found, lambda e: e["country"] == w["country"]), F.lit(1))["source"]
+        return let(winner, lambda w: F.struct(w["country"].alias("country"), w["confidence"].alias("confidence"), source(w).alias("source")))
+
+    return let(evidence, best)
 
 
 def with_entities(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All entities, the country of each kind of evidence, and the fused country."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    out = bind(df, _dates=_found_dates(t))
-    out = bind(out, _years=years(t, F.col("_dates")))
-    out = bind(
-        out, vat_numbers=vat_numbers(t), ibans=ibans(t), bics=bics(t), phone_codes=phones(t), emails=emails(t), currencies=currencies(t), dates=dates(t, F.col("_dates")),
-        year=most_common(F.col("_years")), invoice_number=invoice_number(t), amounts=amounts(t),
-    ).drop("_dates", "_years")
+    out = df.withColumns({
+        "vat_numbers": vat_numbers(t), "ibans": ibans(t), "bics": bics(t), "phone_codes": phones(t), "emails": emails(t),
+        "currencies": currencies(t), "dates": dates(t), "year": most_common(years(t)), "invoice_number": invoice_number(t), "amounts": amounts(t),
+    })
     priced = {k: v for k, v in CURRENCIES.items() if v[0] and v[1] > 0.7}
-    out = bind(
-        out, email_domains=domains(F.col("emails")), vat_country=lookup(VAT_PREFIXES, _head(_first(F.col("vat_numbers")))), iban_country=lookup(IBAN_COUNTRIES, _head(_first(F.col("ibans")))),
-        bic_country=lookup(BIC_COUNTRIES, _head(_first(F.col("bics")), 5)),
-        currency_country=lookup({k: v[0] for k, v in priced.items()}, _first(F.filter("currencies", lambda c: c.isin(list(priced))))),
-    )
+    out = out.withColumns({
+        "email_domains": domains(F.col("emails")),
+        "vat_country": lookup(VAT_PREFIXES, _head(_first(F.col("vat_numbers")))),
+        "iban_country": lookup(IBAN_COUNTRIES, _head(_first(F.col("ibans")))),
+        "bic_country": lookup(BIC_COUNTRIES, _head(_first(F.col("bics")), 5)),
+        "currency_country": lookup({k: v[0] for k, v in priced.items()}, _first(F.filter("currencies", lambda c: c.isin(list(priced))))),
+    })
     piece = lambda c, p, s: F.struct(c.alias("country"), p.cast("double").alias("confidence"), F.lit(s).alias("source"))
     fixed = F.array(piece(F.col("vat_country"), F.lit(VAT_CONFIDENCE), "vat"), piece(F.col("iban_country"), F.lit(IBAN_CONFIDENCE), "iban"), piece(F.col("bic_country"), F.lit(BIC_CONFIDENCE), "bic"))
     money = F.transform("currencies", lambda c: piece(lookup({k: v[0] for k, v in CURRENCIES.items()}, c), lookup({k: v[1] for k, v in CURRENCIES.items()}, c), "currency"))
     evidence = F.concat(fixed, F.when(F.col("currency_country").isNotNull(), money).otherwise(F.slice(money, 1, 0)))
-    out = bind(out, _evidence=F.filter(evidence, lambda e: e["country"].isNotNull()))
-    out = bind(out, _best=fuse(F.col("_evidence")))
-    source = F.try_element_at(F.filter("_evidence", lambda e: e["country"] == F.col("_best.country")), F.lit(1))["source"]
-    return out.select("*", F.col("_best.country").alias("country"), F.col("_best.confidence").alias("country_confidence"), source.alias("country_source")).drop("_evidence", "_best")
+    fused = fuse(F.filter(evidence, lambda e: e["country"].isNotNull()))
+    return out.withColumn("_fused", fused).select(
+        "*", F.col("_fused.country").alias("country"), F.col("_fused.confidence").alias("country_confidence"), F.col("_fused.source").alias("country_source")
+    ).drop("_fused")

@@ -32,12 +32,20 @@ def normalize(text: Column) -> Column:
 
 
 def first_offset(text: Column, pattern: str) -> Column:
-    """Code-point offset of the first match, null if there is none."""
-    return F.when(text.rlike(f"(?U){pattern}"), F.length(F.regexp_extract(text, f"(?Us)^(.*?)(?:{pattern})", 1)))
+    """Code-point offset of the first match, null if there is none.
+
+    ``regexp_instr`` counts UTF-16 units, which are code points unless the text has some beyond the first plane;
+    only then the text before the match is cut out and measured.
+    """
+    units = F.regexp_instr(text, F.lit(f"(?U){pattern}"))
+    wide = F.length(F.regexp_extract(text, f"(?Us)^(.*?)(?:{pattern})", 1))
+    return F.when(units > 0, F.when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), wide).otherwise(units - 1))
 
 
 def structure(text: Column, kinds=("amount", "date", "iban", "vat")) -> Column:
-    parts = [F.concat(F.lit(f"{k}:"), F.floor(first_offset(text, STRUCTURE[k]) / 100).cast("string")) for k in kinds]
+    """Kinds with the hundreds of their offsets; all but e-mail addresses hold a digit, so texts without one are passed over."""
+    digits = text.rlike(r"(?U)\d")
+    parts = [F.concat(F.lit(f"{k}:"), F.floor((first_offset(text, STRUCTURE[k]) if k == "email" else F.when(digits, first_offset(text, STRUCTURE[k]))) / 100).cast("string")) for k in kinds]
     return F.concat_ws("|", *parts)
 
 
@@ -54,7 +62,8 @@ def company_hint(text: Column, suffixes=CACHE_SUFFIXES) -> Column:
     header = F.upper(F.substring(text, 1, 500))
 
     def hint(s: str) -> Column:
-        name = trim(F.regexp_extract(header, f"(?U){_NAME}(?:{s})", 1))
+        # the suffix behind a letter and white space is found in one pass; only then names before it are tried
+        name = F.when(header.rlike(f"(?U)[A-Za-z]\\s+(?:{s})"), trim(F.regexp_extract(header, f"(?U){_NAME}(?:{s})", 1)))
         return F.when(F.length(name).between(3, 50), F.lower(name))
 
     return F.coalesce(*(hint(s) for s in suffixes))
