@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dictionaries import DOC_TYPE_CATEGORY, lookup
+from ..store import materialize
 
 HIT_THRESHOLD, LEARN_THRESHOLD = 0.95, 0.85
 HEADER_FACTOR, FUZZY_FACTOR, FUZZY_FLOOR = 0.98, 0.90, 0.90
@@ -54,7 +55,7 @@ def match_templates(docs: DataFrame, templates: DataFrame, hit_threshold: float
     """
     keys = ["fingerprint", "header_hash", "company_hint"]
     best = lambda *order: F.min_by(F.struct(*_ANSWER), F.struct(*order))
-    kinds = docs.filter(F.length("text") >= MIN_TEXT).select(*keys).distinct()
+    kinds = materialize(docs.filter(F.length("text") >= MIN_TEXT).select(*keys).distinct(), "kinds")  # read twice, and dear to compute
     exact = _answer(templates, "_exact", "fingerprint")
     header = templates.filter("header_hash <> ''").groupBy("header_hash").agg(best(-F.col("hit_count"), "id").alias("_header"))
     # of all kinds: which of them the earlier tiers serve would take those joins a second time

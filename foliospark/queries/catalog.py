@@ -15,7 +15,7 @@ from ..plans.classify import can_use_llm, classify, learn_from, route
 from ..plans.ordered import classify_in_order
 from ..plans.organize import organize_plan
 from ..plans.sessions import Sessions
-from ..store import new_path
+from ..store import materialize, new_path
 from .inputs import DATED, ENDPOINTS, EVIDENCE, INVOICES, PROGRESS, answers, dated_invoices, endpoint_log, evidence_texts, invoices, progress_seed, table, template_seed
 from .stub import stub_responder
 
@@ -254,9 +254,14 @@ MATCHED = f"""{SEED}, best AS (SELECT header_hash, arg_min(struct_pack(id := id,
       CASE tier WHEN 'exact' THEN e_conf WHEN 'header' THEN h.confidence * 0.98::DOUBLE WHEN 'fuzzy' THEN f.confidence * 0.90::DOUBLE END AS confidence FROM j)"""
 
 
+def _stored(spark, sf_dir):
+    """The templates as a table on disk, as a lookup finds them."""
+    return materialize(template_seed(spark, sf_dir), "templates")
+
+
 def _matched(spark, sf_dir):
     docs = text.with_fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return templates.match_templates(docs, template_seed(spark, sf_dir), 0.92)
+    return templates.match_templates(docs, _stored(spark, sf_dir), 0.92)
 
 
 @query(f"WITH {MATCHED} SELECT doc_id, tier, template_id, country, confidence FROM matched")
@@ -302,7 +307,7 @@ def cache_hit_rate(spark, sf_dir):
     SELECT t.id, t.hit_count + coalesce(hits, 0) AS hit_count, CASE WHEN hits > 0 THEN TIMESTAMP '2024-06-01' END AS last_hit_at FROM templates t LEFT JOIN h ON t.id = h.id"""
 )
 def record_hits(spark, sf_dir):
-    seed = template_seed(spark, sf_dir)
+    seed = _stored(spark, sf_dir)
     return templates.record_hits(seed, _matched(spark, sf_dir), F.lit("2024-06-01").cast("timestamp")).select("id", "hit_count", "last_hit_at")
 
 
@@ -356,7 +361,7 @@ def template_learn_merge(spark, sf_dir):
 @query()
 def classify_cascade(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = classify(docs, template_seed(spark, sf_dir), stub_responder, hit_threshold=0.92)
+    out = classify(docs, _stored(spark, sf_dir), stub_responder, hit_threshold=0.92)
     return out.select("doc_id", "country", "doc_type", "doc_category", "company", "year", "source", "needs_llm", "is_valid", "confidence")
 
 
@@ -369,7 +374,7 @@ _DAY = f"""{MATCHED}, day AS (SELECT doc_id, length(trim(coalesce(text, ''), ' '
 
 def _day_mode(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return classify(docs, template_seed(spark, sf_dir), None, hit_threshold=0.97)
+    return classify(docs, _stored(spark, sf_dir), None, hit_threshold=0.97)
 
 
 @query(f"WITH {_DAY.replace('>= 0.92', '>= 0.95')} SELECT doc_id, source, needs_llm, is_valid, round(confidence, 9) AS confidence FROM judged")
