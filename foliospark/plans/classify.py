@@ -13,6 +13,7 @@ from ..functions.responses import parse_response
 from ..functions.text import trim, with_fingerprint
 from ..operators.progress import error_message
 from ..operators.templates import HIT_THRESHOLD, LEARN_THRESHOLD, MIN_TEXT, learn, match_templates
+from ..store import materialize
 
 MIN_STRIPPED = 20
 PARTIAL_FACTOR = 0.9
@@ -126,3 +127,20 @@ def learn_from(templates: DataFrame, results: DataFrame, now: Column, threshold:
     good = results.filter((F.col("source") == "llm") & F.col("is_valid") & (F.col("confidence") >= threshold))
     fields = ["doc_id", "fingerprint", "header_hash", "company_hint", "country", "doc_type", "doc_category", "company"]
     return learn(templates, good.select(*fields, F.col("country_confidence").alias("confidence")), now, threshold)
+
+
+class ModeError(RuntimeError):
+    """A batch that needs a model at a time when none may be asked."""
+
+
+def classify_batch(
+    docs: DataFrame, templates: DataFrame, responder: Responder, now: Column, may_ask: bool = True, hit_threshold: float = HIT_THRESHOLD, guard: bool = True, threshold: float = LEARN_THRESHOLD
+) -> tuple[DataFrame, DataFrame]:
+    """(results in order of doc_id, templates afterwards): lookups against the table as it was, answers for the misses, then learning.
+
+    Raises ModeError if models may not be asked now (see ``can_use_llm``). Short texts are not set aside here.
+    """
+    if not may_ask:
+        raise ModeError("models may be asked at night or when forced")
+    results = materialize(classify(docs, templates, responder, hit_threshold, guard, gate=False), "results")
+    return results.orderBy("doc_id"), learn_from(templates, results, now, threshold)

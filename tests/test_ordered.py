@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.text import with_fingerprint
 from foliospark.operators import templates as T
-from foliospark.plans.classify import classify
+from foliospark.plans.classify import ModeError, classify, classify_batch
 from foliospark.plans.ordered import classify_in_order
 
 
@@ -67,6 +67,17 @@ def test_later_documents_hit(spark, threshold, window):
     assert {s for s, *_ in got.values()} >= {"llm", "no_match"} and (threshold > 0.98 or sum(s == "template_cache" for s, *_ in got.values()) > 50)
 
 
+def test_a_batch_in_its_order(spark):
+    docs = spark.createDataFrame([(i, letter(i % 3, 1)) for i in (9, 2, 7, 4, 0)] + [(5, "short")], "doc_id long, text string").repartition(4)
+    nothing, now = spark.createDataFrame([], T.TEMPLATE), F.lit("2024-06-01").cast("timestamp")
+    results, after = classify_batch(docs, nothing, responder, now, threshold=0.8)
+    assert [r["doc_id"] for r in results.collect()] == [0, 2, 4, 5, 7, 9] and {r["source"] for r in results.collect()} == {"llm"}
+    # every lookup saw the table as it was, so all were asked, and equal fingerprints confirmed one another
+    assert after.count() < 5 and after.agg(F.sum("hit_count")).first()[0] > 0
+    with pytest.raises(ModeError):
+        classify_batch(docs, nothing, responder, now, may_ask=False)
+
+
 def test_without_misses(spark):
     docs = spark.createDataFrame([(1, "short")], "doc_id long, text string")
     results, after = classify_in_order(docs, spark.createDataFrame([], T.TEMPLATE), responder, F.current_timestamp())
