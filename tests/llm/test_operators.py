@@ -184,6 +184,8 @@ def test_pii_trees_add_what_looks_alike(spark):
     rows.append((1000, "mail some.one (at) example (dot) com please"))
     got = by_id(pii.find_personal_data(frame(spark, rows)))
     assert all(not got[i][0].added for i in range(400))  # clean documents are left alone
+    hidden = rows[-1][1]
+    assert [hidden[x["start"] : x["end"]] for x in got[1000][0].added] == ["some.one (at) example (dot) com"]
     assert len(got[0][0].base) == 1
     redacted = by_id(pii.redact(frame(spark, rows).select("doc_id", "text", "lang")))
     assert redacted[0][0].text == "call tel: [PHONE] now" and redacted[3][0].text == "nothing at all"
@@ -226,6 +228,34 @@ def test_pii_trees_find_disguised_data(spark):
     assert hits >= 0.8 * len(expect) and hits >= 0.9 * len(added), (hits, len(expect), len(added))
 
 
+UNSEEN = [  # shapes that neither the disguises of the fit nor those of its calibration have
+    lambda w, d: f"{w(0)}_at_{w(1)}_dot_com", lambda w, d: f"{w(0)} at {w(1)} dot org", lambda w, d: f"{w(0)} arobase {w(1)} point fr", lambda w, d: f"{w(0)}{{at}}{w(1)}{{dot}}net",
+    lambda w, d: f"{w(0)}<at>{w(1)}.com", lambda w, d: f"{w(0)} [AT] {w(1)} [DOT] com", lambda w, d: f"{d(3)}/{d(3)}/{d(4)}", lambda w, d: f"({d(4)}) {d(6)}", lambda w, d: f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}",
+]
+
+
+def test_pii_shapes_that_were_never_taught(spark, capsys):
+    """How many unseen shapes are found is reported: brackets and underscores of other kinds are; bare words and slashes are not."""
+    rows, _ = disguised_texts(17, 900)
+    r = random.Random(18)
+    word, digits = lambda i: r.choice(["lorand", "mirbel", "quitas", "shaneth"]) + "ab"[i], lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    expect = {}
+    for i in range(180):
+        shape = i % len(UNSEEN)
+        hidden = UNSEEN[shape](word, digits)
+        text = f"write or call me at {hidden} any time" if shape < 6 else f"tel: {hidden} any time"
+        at = text.index(hidden)
+        rows.append((10_000 + i, text))
+        expect[10_000 + i] = (shape, at, at + len(hidden))
+    rows += [(20_000 + i, f"we met at the dot of noon at place {i}, point by point") for i in range(100)]
+    got = by_id(pii.find_personal_data(frame(spark, rows)))
+    found = Counter(shape for i, (shape, a, e) in expect.items() if any(x["start"] < e and x["end"] > a for x in got[i][0].added))
+    with capsys.disabled():
+        print(f"\nunseen shapes found, of 20 each: {[found[k] for k in range(len(UNSEEN))]}")
+    assert not any(got[20_000 + i][0].added for i in range(100))
+    assert min(found[k] for k in (0, 3, 4, 5, 7, 8)) >= 16, found
+
+
 # --- op2 --------------------------------------------------------------------------------------
 
 
