@@ -42,10 +42,10 @@ from .kernels import U64, mix, powers, slices, text_buffers
 from .store import materialize, release
 
 SIDE = 1 << 24  # added to the ids of B, so that one array holds the tokens of both
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 CHUNK_STRETCHES = 1_000_000
 MOST_PAIRS = 4_000_000  # of which a table may be broadcast
-BLOCKS = 3
+BLOCKS = 4
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 _BLOCK = 4096
 _BASE = 0x9E3779B97F4A7C15
