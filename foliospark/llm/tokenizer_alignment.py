@@ -26,6 +26,7 @@ table gives no rows. Columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 from collections.abc import Iterator
@@ -42,7 +43,7 @@ from .kernels import U64, mix, powers, slices, text_buffers
 from .store import materialize, release
 
 SIDE = 1 << 24  # added to the ids of B, so that one array holds the tokens of both
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 CHUNK_STRETCHES = 1_000_000
 MOST_PAIRS = 4_000_000  # of which a table may be broadcast
 BLOCKS = 4
@@ -120,6 +121,15 @@ def byte_lengths(spark: SparkSession, paths: tuple[str, str]) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame(a + b, columns=["t", "len"]), "t int, len int")
 
 
+def _trim() -> None:
+    """Hand free memory back to the system, which a worker would keep for its next tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # --- stretches of texts -------------------------------------------------------------------------
 
 
@@ -199,7 +209,10 @@ def _split(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], id_type: p
                 yield from flush()
                 chunk, known, spelt, held = chunk + 1, {}, [], 0
                 good, counts = np.zeros(0, bool), np.zeros(0, np.int64)
+                _trim()
     yield from flush()
+    known, spelt = {}, []
+    _trim()
 
 
 def _tokenize(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +222,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iter
             a, b = pair.encode(batch.column(2).slice(lo, hi - lo).to_pylist())
             both = pa.array([x + [SIDE + i for i in y] for x, y in zip(a, b)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), both], names=["w", "n", "t"])
+    _trim()
 
 
 # --- alignment ----------------------------------------------------------------------------------
@@ -277,6 +291,7 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = table.slice(done)
     if rest is not None and rest.num_rows:
         yield render(rest)
+    _trim()
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -316,6 +331,7 @@ def _assemble(with_groups: bool):
         columns = [docs["doc_id"], *(pa.array(np.concatenate(o) if o else []).cast(pa.int64()) for o in out), pa.array(digests, pa.string())]
         if with_groups:
             columns.append(pa.array(groups, pa.string()))
+        _trim()
         return pa.Table.from_arrays(columns, names=["doc_id", *SUMS, "groups_sha256"] + ["groups"] * with_groups)
 
     return assemble
@@ -339,22 +355,24 @@ def align(
     parts = split.filter("w is not null")
     distinct = parts.groupBy("w", "text").agg(F.sum("n").alias("n")).filter("n > 0").select("w", "n", "text")
     tokens = materialize(distinct.mapInArrow(lambda x: _tokenize(x, paths), "w long, n long, t array<int>"), "tokens")
-    found = links(tokens, byte_lengths(spark, paths)).sortWithinPartitions("w", F.col("end").desc())
-    aligned = materialize(found.select("w", "n", "a", "b", "over_a", "over_b").mapInArrow(_render, _ALIGNED), "aligned")
+    linked = links(tokens, byte_lengths(spark, paths)).sortWithinPartitions("w", F.col("end").desc())
+    aligned = materialize(linked.select("w", "n", "a", "b", "over_a", "over_b").mapInArrow(_render, _ALIGNED), "aligned")
     release(tokens)
     pairs = materialize(pair_counts(aligned), "pairs")
     near = F.broadcast(pairs) if pairs.count() <= MOST_PAIRS else pairs
     sums = aligned.select("w", F.explode("pairs").alias("pair")).join(near, "pair").groupBy("w").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    sums = materialize(sums, "sums")
+    # all that documents need of a stretch, without its pairs
+    found = materialize(aligned.drop("n", "pairs").join(sums, "w"), "found")
+    release(aligned)
     out = None
     schema = f"doc_id {kind}, " + ", ".join(f"{c} long" for c in SUMS) + ", groups_sha256 string" + ", groups string" * with_groups
     for k in range(blocks):
         mine = split.filter(F.pmod(F.xxhash64("chunk"), F.lit(blocks)) == k)
-        results = mine.filter("w is not null").select("chunk", "idx", "w").join(aligned.drop("n", "pairs"), "w").join(sums, "w").select(F.col("chunk").alias("of_chunk"), "idx", *SUMS, "groups")
+        results = mine.filter("w is not null").select("chunk", "idx", "w").join(found, "w").select(F.col("chunk").alias("of_chunk"), "idx", *SUMS, "groups")
         whole = mine.filter("w is null").select("chunk", "doc_id", "ids")
         block = whole.groupBy("chunk").cogroup(results.groupBy("of_chunk")).applyInArrow(_assemble(with_groups), schema)
         block = materialize(block, "documents")
         out = block if out is None else out.unionByName(block)
-    release(split, aligned, sums, pairs)
+    release(split, found, pairs)
     return out.withColumnRenamed("doc_id", id_col)
 
