@@ -8,7 +8,8 @@ vectors at the threshold have ``common`` filters in common on average; ``codes``
 share them. A simulation of pairs at the threshold then adds codewords until at least ``RECALL`` of
 them meet, for the number of vectors at hand. Vectors meet on filters and are compared exactly.
 A pair counts in the first filter it has in common, so no pairs are written: a group gives each
-member its number of links and a connection. Groups beyond ``block`` members are compared block by
+member its number of links and the smallest member that it reaches by the group's links, which
+connects whatever the group links. Groups beyond ``block`` members are compared block by
 block. Recall is measured against brute force in the tests; nothing below the threshold links.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
@@ -195,8 +196,19 @@ def _met_before(earlier: list[list[int]], a: np.ndarray, b: np.ndarray, link: np
     return link
 
 
+def _first_reached(near: np.ndarray) -> np.ndarray:
+    """For each member of a symmetric matrix the first one that it reaches; every row is read once."""
+    first = np.full(len(near), -1)
+    for seed in range(len(near)):
+        front = np.array([seed] if first[seed] < 0 else [], dtype=np.int64)
+        while len(front):
+            first[front] = seed
+            front = np.flatnonzero(near[front].any(axis=0) & (first < 0))
+    return first
+
+
 def _count(key: tuple, members: list[tuple], threshold: float, dtype: str) -> pa.RecordBatch:
-    """Links first met in this filter: (id, links, smallest id connected)."""
+    """Links first met in this filter: (id, links, smallest id reached by them, over several if need be)."""
     *_, one, two = key
     ids = np.array([m[0] for m in members])
     copies = np.array([m[1] for m in members])
@@ -210,13 +222,15 @@ def _count(key: tuple, members: list[tuple], threshold: float, dtype: str) -> pa
         np.fill_diagonal(link, False)
     links = np.zeros(len(members), dtype=np.int64)
     links[a] += link @ copies[b]
-    root = ids.copy()
-    root[a] = np.minimum(root[a], np.where(link, ids[b], ids.max()).min(axis=1)) if len(b) else root[a]
     if one != two:
         links[b] += copies[a] @ link
-        root[b] = np.minimum(root[b], np.where(link, ids[a][:, None], ids.max()).min(axis=0)) if len(a) else root[b]
     found = np.flatnonzero(links)
-    return pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(links[found]), pa.array(root[found])], names=["_id", "links", "root"])
+    found = found[np.argsort(ids[found])]
+    near = np.zeros((len(members), len(members)), dtype=bool)
+    near[np.ix_(a, b)] = link
+    near = near[np.ix_(found, found)]
+    root = ids[found][_first_reached(near | near.T)]
+    return pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(links[found]), pa.array(root)], names=["_id", "links", "root"])
 
 
 def _link_groups(batches: Iterator[pa.RecordBatch], threshold: float, dtype: str) -> Iterator[pa.RecordBatch]:

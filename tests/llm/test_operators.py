@@ -228,6 +228,20 @@ def test_pii_trees_find_disguised_data(spark):
     assert hits >= 0.8 * len(expect) and hits >= 0.9 * len(added), (hits, len(expect), len(added))
 
 
+def test_pii_learns_from_all_certain_spans(spark, monkeypatch):
+    """Every certain span teaches, beyond 20,000 too: the weights of the rows that are fit and held out add up to all examples."""
+    seen = {}
+    whole = pii._weighted
+    monkeypatch.setattr(pii, "_weighted", lambda examples: seen.setdefault("rows", whole(seen.setdefault("examples", examples))))
+    n = 30_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("mail some"), "id", F.lit("@example.com or other"), "id", F.lit(" (at) example (dot) com")).alias("text"))
+    added = pii.find_personal_data(rows).filter(F.size("added") > 0).count()
+    kinds = {r.kind: r.n for r in seen["examples"].filter("label = 1").groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    used = seen["examples"].filter("part >= 7 or not held").count()
+    got = seen["rows"].agg(F.sum("weight").alias("w"), F.count("*").alias("n")).first()
+    assert kinds == {"contact": n} and got.w == used and got.n < used and added > 0.95 * n
+
+
 UNSEEN = [  # shapes that neither the disguises of the fit nor those of its calibration have
     lambda w, d: f"{w(0)}_at_{w(1)}_dot_com", lambda w, d: f"{w(0)} at {w(1)} dot org", lambda w, d: f"{w(0)} arobase {w(1)} point fr", lambda w, d: f"{w(0)}{{at}}{w(1)}{{dot}}net",
     lambda w, d: f"{w(0)}<at>{w(1)}.com", lambda w, d: f"{w(0)} [AT] {w(1)} [DOT] com", lambda w, d: f"{d(3)}/{d(3)}/{d(4)}", lambda w, d: f"({d(4)}) {d(6)}", lambda w, d: f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}",
@@ -618,6 +632,31 @@ def test_embedding_dense_cluster(spark, monkeypatch):
     assert found.sum() >= 0.97 * truth.sum() and {x.component_id for x in got.values()} == {0}
 
 
+def test_embedding_chains(spark):
+    """Vectors that only a third one between them links are one component, also if all links meet in one group."""
+    turn = np.deg2rad([0.0, 20.0, 40.0])
+    v = np.stack([np.cos(turn), np.sin(turn)], axis=1)
+    ids = [1, 3, 2]
+    members = [(i, 1, x.tobytes(), [], 0) for i, x in zip(ids, v)]
+    got = embedding_dedup._count((2, 7, 0, 0), members, 0.9, "<f8").to_pylist()
+    assert {x["_id"]: (x["links"], x["root"]) for x in got} == {1: (1, 1), 2: (1, 1), 3: (2, 1)}
+    apart = [(i, 1, x.tobytes(), [], b) for i, x, b in zip(ids, v, (0, 1, 0))]
+    got = embedding_dedup._count((2, 7, 0, 1), apart, 0.9, "<f8").to_pylist()
+    assert {x["_id"]: x["root"] for x in got} == {1: 1, 2: 1, 3: 1}
+    r = np.random.default_rng(9)
+    rows = []
+    for k in range(200):
+        q = np.linalg.qr(r.standard_normal((6, 2)))[0].T
+        at = np.array([[np.cos(t), np.sin(t)] for t in turn]) @ q
+        rows += [(3 * k + i, [float(z) for z in x]) for i, x in zip((0, 2, 1), at)]
+    found = {x.vec_id: x for x in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = np.array([x for _, x in sorted(rows)])
+    link = u @ u.T >= 0.9
+    whole = [i for i in range(600) if found[i].n_links == link[i].sum() - 1]  # all of whose links were found
+    assert len(whole) >= 540
+    assert all(found[i].component_id == found[int(j)].component_id for i in whole for j in np.flatnonzero(link[i]))
+
+
 @pytest.mark.parametrize("dim, n", [(64, 600_000), (64, 10_000_000), (32, 600_000), (8, 2_000_000), (3, 2_000_000), (1, 100)])
 def test_embedding_plan_for_millions(dim, n):
     limit, words = embedding_dedup.plan_filters(n, 0.9, dim)
