@@ -11,8 +11,9 @@ prices, plain runs of digits) in such contexts. Candidates of the corpus itself
 nothing. Gradient boosted trees learn from format (lengths, digit groups, separators, Luhn) and context
 (words before, neighbouring characters). Some disguises are held out of the fit and used for
 calibration only: a generator's threshold is the lowest score whose precision on the held-out part,
-unseen disguises included, is at least ``precision``. Trees are fit on at most about ``fit_rows`` certain
-spans, chosen by hash; all candidates are scored. Without certain spans nothing is learned or added, and
+unseen disguises included, is at least ``precision``. All certain spans teach: examples of equal features are
+one row with their number as its weight, so the rows to fit grow with the distinct shapes and contexts. All
+candidates are scored. Without certain spans nothing is learned or added, and
 a generator adds nothing unless at least 20 held-out examples reach its threshold, as fewer show no precision.
 Only DataFrame, SQL and pyspark.ml functions are used.
 
@@ -50,7 +51,6 @@ NUMBER = r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){8,}+"
 ANNOUNCED = r"(?i)(?:tel|phone|call|fax|mobile|cell|card|visa|account|mail|contact|reach|write|ssn)[^A-Za-z]{0,8}(?:(?:me|us|to|at|no|number|is)[^A-Za-z]{1,4}){0,2}$"
 OTHERWISE = r"(?i)(?:order|ref|reference|invoice|isbn|id|page|version|date|total|no|nr|build|serial|part)[^A-Za-z]{0,8}$"
 
-FIT_ROWS = 20_000
 PRECISION = 0.95
 CONTEXT = 30
 ROUNDS = 20
@@ -181,9 +181,15 @@ def _examples(certain: DataFrame) -> DataFrame:
     return positive.unionByName(alike).unionByName(priced)
 
 
+def _weighted(examples: DataFrame) -> DataFrame:
+    """Examples of equal kind, label and features as one row, with their number as ``weight``; ``fit`` parts those of the fit from the held-out ones."""
+    used = examples.withColumn("fit", F.col("part") < 7).filter("not (fit and held)")
+    return _featured(used).groupBy("label", "fit", "kind", *FEATURES).agg(F.count("*").cast("double").alias("weight"))
+
+
 def _thresholds(scored: DataFrame, precision: float, least: int = 20) -> dict[str, float]:
     """For each generator the lowest score from which on the precision holds, halfway to the scores below; bins of a hundredth."""
-    bins = scored.groupBy("kind", F.floor(F.col("p") * 100).alias("bin")).agg(F.sum("label").alias("good"), F.count("*").alias("n"))
+    bins = scored.groupBy("kind", F.floor(F.col("p") * 100).alias("bin")).agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("n"))
     by_kind: dict[str, list] = {}
     for r in bins.orderBy(F.desc("bin")).collect():  # a hundred rows for each generator at most
         by_kind.setdefault(r["kind"], []).append(r)
@@ -199,7 +205,7 @@ def _thresholds(scored: DataFrame, precision: float, least: int = 20) -> dict[st
 
 
 def find_personal_data(
-    docs: DataFrame, fit_rows: int = FIT_ROWS, precision: float = PRECISION, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, precision: float = PRECISION, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: id, _h (hash of the text), base and added spans as arrays of (start, ord, end, kind)."""
     t = F.col("_t")
@@ -219,22 +225,20 @@ def find_personal_data(
     rows = found.filter(F.size("proposed") > 0).select("_id", "_h", "base", F.explode("proposed").alias("c"))
     clear = ~F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))
     candidates = materialize(_featured(rows.filter(clear).select("_id", "_h", "c.*").distinct()).drop("m", "before", "after"), "candidates")
-    n_certain = found.agg(F.sum(F.size("base"))).first()[0] or 0
-    if not n_certain or candidates.isEmpty():
+    if candidates.isEmpty():
         return nothing
 
-    share = int(min(1.0, fit_rows / n_certain) * 1_000_000)
     certain = found.select("_id", "_h", F.explode("certain").alias("c")).select("_h", "c.kind", "c.m", "c.before", "c.after", F.xxhash64("_id", "_h", "c.start", "c.end").alias("h"))
-    certain = certain.filter(F.pmod("h", F.lit(1_000_000)) < share).withColumn("part", F.pmod(F.xxhash64("_h"), F.lit(10)))  # a text is fit on or held out as a whole
-    examples = materialize(_featured(_examples(certain)).select("label", "part", "held", "kind", *FEATURES).repartition(2), "examples")  # few rows, found by many tasks
+    certain = certain.withColumn("part", F.pmod(F.xxhash64("_h"), F.lit(10)))  # a text is fit on or held out as a whole
+    examples = materialize(_weighted(_examples(certain)), "examples")
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     sample = assembler.transform(examples)
-    fit_part = sample.filter("part < 7 and not held")
+    fit_part = sample.filter("fit")
     if fit_part.agg(F.count_distinct("label")).first()[0] < 2:
         return nothing
-    model = GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.3, seed=7).fit(fit_part)
+    model = GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.3, seed=7, weightCol="weight").fit(fit_part)
     probability = vector_to_array("probability")[1].alias("p")
-    limits = _thresholds(model.transform(sample.filter("part >= 7")).select("kind", "label", probability), precision)
+    limits = _thresholds(model.transform(sample.filter("not fit")).select("kind", "label", "weight", probability), precision)
 
     limit = F.lit(2.0)
     for kind, value in limits.items():
