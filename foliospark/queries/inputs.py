@@ -11,26 +11,29 @@ from ..functions.text import with_fingerprint
 PER_TASK = 32 << 20
 
 
-def spread(df: DataFrame, per_task: int = PER_TASK) -> DataFrame:
-    """Rows of a small table dealt out to all cores, for work that costs more than moving them.
+def spread(df: DataFrame, key: str, per_task: int = PER_TASK) -> DataFrame:
+    """Rows of a table dealt out to all cores by its key, for work that costs more than moving them.
 
-    A file of one row group is read by one task, and what follows would stay there. Tables of ``per_task`` bytes
-    for each core, by their files, have tasks enough and are left as they are.
+    A file of one row group is read by one task however large it is, and what follows would stay there. Tables of
+    two files for each core have tasks enough and are left as they are; others get a task for ``per_task`` bytes,
+    by their files, and one for each core at least.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= 2 * cores:
+        return df
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * per_task else df
+    return df.repartition(max(cores, -(-size // per_task)), key)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(read) if name == "documents" else read
+    return spread(read, "doc_id") if name == "documents" else read
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, filename, text of one invoice for each order."""
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    o = spread(o)
+    o = spread(o, "o_orderkey")
     rows = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     text = F.concat(
         F.col("n_name"), F.lit(" "), F.col("c_mktsegment"), F.lit(" GMBH\nInvoice No: INV-"), F.col("o_orderkey").cast("string"),
@@ -75,7 +78,7 @@ def evidence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         one(5, "VAT: DE123456789\n", "VAT: FR12345678901\n", "VAT: PL1234567890\n", "", ""), one(4, "IBAN DE89370400440532013000\n", "IBAN FR7630006000011234567890189\n", "IBAN NL91ABNA0417164300\n", ""),
         one(3, "BIC COBADEFF\n", "BIC BNPAFRPP\n", ""), one(7, "Total: 12.50 EUR\n", "Total: 12.50 PLN\n", "Total: 12.50 GBP\n", "Total: 12.50 USD\n", "", "Total: 12.50 CHF\n", ""),
     ]
-    return spread(table(spark, sf_dir, "orders")).select(k.alias("doc_id"), F.concat(F.lit("letter "), *parts).alias("text"))
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(k.alias("doc_id"), F.concat(F.lit("letter "), *parts).alias("text"))
 
 
 EVIDENCE = """evidence AS (
