@@ -45,17 +45,20 @@ def _containing(needles: DataFrame, outer: DataFrame, block: int = GRAM_BLOCK) -
     return pairs.groupBy("_hint").agg(F.min_by("_best", "_rank").alias("_fuzzy"))
 
 
-def match_templates(docs: DataFrame, templates: DataFrame, hit_threshold: float = HIT_THRESHOLD) -> DataFrame:
+def match_templates(docs: DataFrame, templates: DataFrame, hit_threshold: float = HIT_THRESHOLD, length: str | None = None) -> DataFrame:
     """docs(doc_id, text, fingerprint, header_hash, company_hint) with ``tier`` (exact, header, fuzzy or null) and ``hit``.
 
+    A column ``length`` with the lengths of the texts may stand in their place.
+
     Exact: equal fingerprint. Header: the most used template of the header, then the threshold.
     Fuzzy: the most used template whose hint contains the document's (ASCII capitals of the template's count
     as small letters), at least 0.90 confident. Distinct combinations of the three keys are looked up, and
     documents take their answer by one join, the only one that texts may go through.
     """
     keys = ["fingerprint", "header_hash", "company_hint"]
+    enough = (F.length("text") if length is None else F.col(length)) >= MIN_TEXT
     best = lambda *order: F.min_by(F.struct(*_ANSWER), F.struct(*order))
-    kinds = materialize(docs.filter(F.length("text") >= MIN_TEXT).select(*keys).distinct(), "kinds")  # read twice, and dear to compute
+    kinds = materialize(docs.filter(enough).select(*keys).distinct(), "kinds")  # read twice, and dear to compute
     exact = _answer(templates, "_exact", "fingerprint")
     header = templates.filter("header_hash <> ''").groupBy("header_hash").agg(best(-F.col("hit_count"), "id").alias("_header"))
     # of all kinds: which of them the earlier tiers serve would take those joins a second time
@@ -75,7 +78,7 @@ def match_templates(docs: DataFrame, templates: DataFrame, hit_threshold: float
     hit = F.struct(*(pick(f).alias(f) for f in _ANSWER if f != "confidence"), (pick("confidence") * factor).alias("confidence"))
     served = tiers.withColumn("tier", tier).filter("tier is not null").select(*(F.col(k).alias(f"_{k}") for k in keys), "tier", hit.alias("hit"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys[1:]]
-    met = docs.join(served, (F.col("fingerprint") == F.col("_fingerprint")) & same[0] & same[1] & (F.length("text") >= MIN_TEXT), "left")
+    met = docs.join(served, (F.col("fingerprint") == F.col("_fingerprint")) & same[0] & same[1] & enough, "left")
     return met.select(*docs.columns, "tier", "hit")
 
 

@@ -25,6 +25,8 @@ RESULT = [
 KEYS = ["fingerprint", "header_hash", "company_hint"]
 #: What a lookup did to the counters of the template table: the tier that passed, its template, and whether it was a query at all.
 USE = ["tier", "template", "queried"]
+#: What learning reads of results.
+LEARNED = ["doc_id", *KEYS, "country", "country_confidence", "doc_type", "doc_category", "company", "source", "is_valid", "confidence"]
 
 
 def row_confidence(a: Column, b: Column) -> Column:
@@ -44,8 +46,18 @@ def can_use_llm(hour: Column, minute: Column, start: int = 23 * 60, end: int = 6
 Responder = Callable[[DataFrame], DataFrame]
 
 
+def keyed(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """docs with the keys of the template table and what a lookup must know of their texts.
+
+    Without the texts the rows are small and written, as a lookup reads them twice and joins them.
+    """
+    stripped = F.length(trim(F.coalesce("text", F.lit("")))) < MIN_STRIPPED
+    out = with_fingerprint(docs).drop("structure").withColumns({"_stripped": stripped, "_length": F.length("text")})
+    return out if keep_text else materialize(out.drop("text"), "keys")
+
+
 def classify(docs: DataFrame, templates: DataFrame, responder: Responder | None, hit_threshold: float = HIT_THRESHOLD, guard: bool = True, gate: bool = True) -> DataFrame:
-    """docs(doc_id, text) to results; every lookup sees the template table as it was before.
+    """docs(doc_id, text), or with the columns of ``keyed``, to results; every lookup sees the template table as it was before.
 
     Each document is one row from the lookup on: template answers, answers of the responder and texts
     set aside differ by column values, so texts are read and joined once. Without a responder misses keep
@@ -53,14 +65,14 @@ def classify(docs: DataFrame, templates: DataFrame, responder: Responder | None,
     sets texts of fewer than 20 characters aside. A lookup that a tier answers is a hit of its template,
     also if the threshold of the cascade then turns the answer down.
     """
-    prints = with_fingerprint(docs.select("doc_id", "text"))
-    short = F.length(trim(F.coalesce("text", F.lit("")))) < MIN_STRIPPED
-    matched = match_templates(prints, templates, min(hit_threshold, HIT_THRESHOLD))
-    matched = matched.withColumns({"_short": short if gate else F.lit(False), "_length": F.length("text")})
+    asks = responder is not None
+    prints = docs if "_length" in docs.columns else keyed(docs.select("doc_id", "text"), asks)
+    matched = match_templates(prints, templates, min(hit_threshold, HIT_THRESHOLD), "_length")
+    matched = matched.withColumn("_short", F.col("_stripped") if gate else F.lit(False))
     matched = matched.withColumns({"tier": F.when(~F.col("_short"), F.col("tier")), "_served": F.when(~F.col("_short"), F.col("hit.fingerprint"))})
     accepted = ~F.col("_short") & (F.coalesce("hit.confidence", F.lit(0.0)) >= hit_threshold)
     ask = ~F.col("_short") & ~F.col("_hit")
-    rows = matched.withColumn("_hit", accepted).withColumn("ask_text", F.when(ask & F.lit(responder is not None), F.col("text")))
+    rows = matched.withColumn("_hit", accepted).withColumn("ask_text", F.when(ask, F.col("text")) if asks else F.lit(None).cast("string"))
     text_array = F.array().cast("array<string>")
     if responder is None:
         partial = ask & F.col("hit").isNotNull()

@@ -11,7 +11,7 @@ from ..functions import entities, guard, paths, responses, text, validators
 from ..functions.binding import bind
 from ..functions.dictionaries import DOC_TYPE_CATEGORY, SUSPICIOUS_PATTERNS, VAT_FORMATS
 from ..operators import chat, likeness, progress, reports, templates
-from ..plans.classify import can_use_llm, classify, learn_from, route
+from ..plans.classify import LEARNED, can_use_llm, classify, learn_from, route
 from ..plans.ordered import classify_in_order
 from ..plans.organize import organize_plan
 from ..plans.sessions import Sessions
@@ -201,8 +201,8 @@ def prepare_text(spark, sf_dir):
 
 @query()
 def smart_truncate(spark, sf_dir):
-    cut = text.smart_truncate(text.prepare_text(F.col("text")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(cut).alias("n_chars"), F.md5(cut).alias("digest"))
+    cut = bind(table(spark, sf_dir, "documents").select("doc_id", "text"), cut=text.smart_truncate(text.prepare_text(F.col("text"))))
+    return cut.select("doc_id", F.length("cut").alias("n_chars"), F.md5("cut").alias("digest"))
 
 
 @query(
@@ -463,7 +463,8 @@ def template_hits_in_runs(spark, sf_dir):
 def classify_and_learn(spark, sf_dir):
     docs = invoices(spark, sf_dir).select("doc_id", "text")
     empty = spark.createDataFrame([], templates.TEMPLATE)
-    return learn_from(empty, classify(docs, empty, stub_responder), F.lit("2024-06-01").cast("timestamp")).select("fingerprint", "country", "company", "confidence", "hit_count")
+    results = materialize(classify(docs, empty, stub_responder).select(*LEARNED), "results")  # learning reads them twice
+    return learn_from(empty, results, F.lit("2024-06-01").cast("timestamp")).select("fingerprint", "country", "company", "confidence", "hit_count")
 
 
 @query(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import entities, guard, responses, text, validators
 from foliospark.operators import likeness, templates
-from foliospark.plans.classify import classify
+from foliospark.plans.classify import classify, keyed
 from foliospark.queries import catalog, inputs
 from foliospark.queries.stub import stub_responder
 
@@ -280,3 +280,42 @@ def test_package_names():
     import foliospark
 
     assert all(callable(getattr(foliospark, n)) for n in foliospark.__all__)
+
+
+def test_texts_are_read_once_for_each_session(spark, monkeypatch):
+    """Without a responder a lookup sees keys and lengths only; learning reads written results."""
+    seen = []
+    whole = catalog.learn_from
+    monkeypatch.setattr(catalog, "learn_from", lambda t, results, now: seen.append(results) or whole(t, results, now))
+    assert catalog.queries()["classify_and_learn"](spark, SF_DIR).count() > 0
+    assert len(seen[0].inputFiles()) and all("/results/" in f for f in seen[0].inputFiles())
+    keys = keyed(spark.createDataFrame([(1, "   x　"), (2, None), (3, "y" * 60)], "doc_id long, text string"), False)
+    assert "text" not in keys.columns
+    assert {r["doc_id"]: (r["_stripped"], r["_length"]) for r in keys.collect()} == {1: (True, 5), 2: (True, None), 3: (False, 60)}
+
+
+def test_heads_of_long_texts(spark):
+    """The normalised beginning equals that of the whole text, with runs beyond what is tried first, and sigmas."""
+    texts = ["", " a1 " * 2000, " " * 3000 + "Abc 12 " * 400, "9" * 1999 + "8" * 900 + " end", "ΑΣ " * 900, "Ab　" * 1001, None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = rows.select(text.normal_head(F.col("text")).alias("a"), F.substring(text.normalize(F.col("text")), 1, 500).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got)
+
+
+def test_one_file_is_dealt_out(spark):
+    """A file of one row group goes to all cores whatever its size."""
+    read = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    assert inputs.spread(read, "doc_id", per_task=1).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert inputs.spread(read, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("lines", [["bank"] * 40 + ["x bank", "y", "x bank", "z"] * 500, [f"l{i}" for i in range(900)] + ["total 1", "after"] * 9, ["", "ag"] * 700])
+def test_truncation_of_many_lines(spark, lines):
+    """The lines tried first and all lines give the same."""
+    rows = spark.createDataFrame([("\n".join(lines),)], "text string")
+    few = rows.select(text.smart_truncate(F.col("text")).alias("x")).first()["x"]
+    before, text.FIRST_LINES = text.FIRST_LINES, 10**6
+    try:
+        assert rows.select(text.smart_truncate(F.col("text")).alias("x")).first()["x"] == few
+    finally:
+        text.FIRST_LINES = before
