@@ -21,7 +21,7 @@ from ..sources.moves import move_files_journaled
 from ..sources.template_store import TemplateStore
 from ..sources.versioned import VersionedTable
 from ..streaming.incremental import write_observed
-from .classify import ROUTE_CONFIDENCE, Responder, classify, route
+from .classify import ROUTE_CONFIDENCE, Responder, classify, keyed, route
 
 FILES = (
     "file_path_hash string, id bigint, batch_run_id bigint, file_path string, folder string, file_size bigint, status string, country string, doc_type string, doc_category string, "
@@ -83,10 +83,12 @@ class Sessions:
         waiting = P.pending(table).join(here.select("folder").distinct(), "folder", "left_semi")
         gone = P.missing_files(waiting, here.select("file_path")).filter("status = 'error'").withColumn("processed_at", now)
         self.files.commit(rows=gone.select(*self.files.types))
-        texts = here.select(P.path_hash(F.col("file_path")).alias("file_path_hash"), "text").dropDuplicates(["file_path_hash"])
         began = time.monotonic()
-        docs = waiting.join(texts, "file_path_hash").select(F.col("id").alias("doc_id"), "text")
-        results = route(classify(docs, self.templates.read(), None if cache_only else responder, hit_threshold), cache_only, min_confidence)
+        responder = None if cache_only else responder
+        # without a responder only keys and lengths are needed, and texts stay where they are read
+        texts = keyed(here.select(P.path_hash(F.col("file_path")).alias("file_path_hash"), "text"), responder is not None).dropDuplicates(["file_path_hash"])
+        docs = waiting.select("file_path_hash", F.col("id").alias("doc_id")).join(texts, "file_path_hash").drop("file_path_hash")
+        results = route(classify(docs, self.templates.read(), responder, hit_threshold), cache_only, min_confidence)
         path = f"{self.work}/results/{self.files.manifest()['version']:012d}"
         seen = write_observed(results, path)
         written = self.spark.read.parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import templates as T
 from ..plans.classify import learn_from
+from ..store import materialize
 from .versioned import VersionConflict, VersionedTable
 
 ATTEMPTS = 20
@@ -70,6 +71,7 @@ class TemplateStore(VersionedTable):
             before = self.read(version)
             full = given.select(*(F.col(c) if c in given.columns else F.lit(None).cast(t).alias(c) for c, t in self.types.items()))
             merged = T.import_templates(before, full).join(before.select("fingerprint"), "fingerprint", "left_anti").select(*before.columns)
+            merged = materialize(merged, "imports")  # counted and written in two parts
             n = merged.count()
             if n:
                 self.commit(rows=merged, counts=merged.select("fingerprint", "hit_count", "last_hit_at"), expect=version)
