@@ -10,8 +10,14 @@
    left with too few filled buckets signs all of them and, in name spaces of their own, finer
    buckets, then those of its whole set. Bounds on k hold for a range of sizes, so a document signs
    for its own range and for those of smaller partners.
-3. Documents that share a signature are linked to the smallest of them; the components of that graph
-   are candidate groups, and every true link lies within one.
+3. Documents that share a signature may be linked. Buckets with one shingle or two meet by chance, the
+   more of them the larger the corpus, so each set also has a sketch: the parities of its shingles'
+   numbers in as many cells as it has shingles. Two sets differ in at least as many shingles as their
+   sketches do in cells, so pairs that differ in too many cells, or in size, are no links. Within the
+   documents of a signature, what chains of the other pairs tie together is joined, and the components
+   of that graph are candidate groups; every true link lies within one. Signatures with the same
+   documents are looked at once. Those of more than MOST_MET documents, which only copies have in
+   number, join all of these.
 4. Each group, in chunks of bounded size, becomes a signature tree: nodes hold the OR of their
    documents' token bitmaps and their range of sizes. A dual traversal of the tree prunes pairs of
    nodes whose maximum possible overlap is too small, or whose documents are connected already;
@@ -28,6 +34,8 @@ Columns other than the id and the text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +55,7 @@ HOT_SHARE = 2e-4
 HOT_LEAST = 8
 MOST_HOT = 4_000_000
 DOCS_PER_TASK = 1024
+MOST_MET = 4096
 _EMPTY = U64(0x5851F42D4C957F2D)
 
 
@@ -119,6 +128,58 @@ def _sign(doc: np.ndarray, h: np.ndarray, hot: np.ndarray, ranges: np.ndarray, m
     return np.concatenate(owners), np.concatenate(signatures)
 
 
+def parity_sketches(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Of each set the parities of its shingles' numbers in 2**b cells, b >= 6 and least with a cell for each shingle."""
+    cells = np.where(n > 0, 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1)))).astype(np.int64), 0)
+    first = np.append(0, np.cumsum(cells))
+    at = first[doc] + (h & (cells[doc] - 1).astype(U64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=first[-1]) & 1).astype(np.uint8)
+    data = np.packbits(odd, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((first // 8).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def may_link(n: list[int], sketches: list[bytes], threshold: tuple[int, int]) -> np.ndarray:
+    """For each set the first one that chains of pairs tie it to whose sizes and sketches allow a link."""
+    num, den = threshold
+    size, width = np.array(n), np.array([len(s) for s in sketches])
+    widths = np.unique(width).tolist()
+    place = np.zeros(len(size), dtype=np.int64)
+    maps: dict[tuple[int, int], np.ndarray] = {}
+    for k, w in enumerate(widths):
+        rows = np.flatnonzero(width == w)
+        place[rows] = np.arange(len(rows))
+        part = np.frombuffer(b"".join([sketches[i] for i in rows]), dtype=np.uint64).reshape(len(rows), -1)
+        maps[w, w] = part
+        for narrow in reversed(widths[:k]):
+            while part.shape[1] * 8 > narrow:  # parities of two cells add up to that of both as one
+                half = part.shape[1] // 2
+                part = part[:, :half] ^ part[:, half:]
+            maps[w, narrow] = part
+
+    def near(x: int, others: np.ndarray) -> np.ndarray:
+        out = num * np.maximum(size[others], size[x]) <= den * np.minimum(size[others], size[x])
+        for w in widths:
+            at = np.flatnonzero(out & (width[others] == w)) if len(widths) > 1 else np.flatnonzero(out)
+            if len(at):
+                cells = min(w, int(width[x]))
+                rows = others[at]
+                differ = np.bitwise_count(maps[w, cells][place[rows]] ^ maps[int(width[x]), cells][place[x]]).sum(axis=1, dtype=np.int64)
+                out[at] = differ * (num + den) <= (den - num) * (size[rows] + size[x])
+        return out
+
+    first, left = np.zeros(len(size), dtype=np.int64), np.arange(len(size))
+    while len(left):
+        first[left[0]], front, left, start = left[0], left[:1], left[1:], left[0]
+        while len(front) and len(left):
+            if len(front) <= len(left):
+                met = np.logical_or.reduce([near(x, left) for x in front])
+            else:
+                met = np.array([near(y, front).any() for y in left])
+            first[left[met]] = start
+            front, left = left[met], left[~met]
+    return first
+
+
 def _repeated(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Shingles that several documents of a slice have, with their number."""
     for batch in batches:
@@ -171,11 +232,51 @@ def _describe(batches: Iterator[pa.RecordBatch], size: int, threshold: tuple[int
                 np.append(0, np.cumsum(np.bincount(owner, minlength=len(n)))).astype(np.int32), pa.array(signature[order].view(np.int64))
             )
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(w.lo, w.hi - w.lo), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists],
-                names=["_id", "n", "f1", "f2", "signatures"],
+                [ids.slice(w.lo, w.hi - w.lo), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), parity_sketches(doc, h, n), lists],
+                names=["_id", "n", "f1", "f2", "sketch", "signatures"],
             )
 
 
+def _meet(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by signature come in; (a, b) go out for documents that others of their signature may be linked to."""
+
+    def pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+    a, b = [], []
+    for _, group in groupby(rows, key=itemgetter(0)):
+        _, ids, n, sketches = zip(*group)
+        for i, k in enumerate(may_link(n, sketches, threshold).tolist()):
+            if ids[i] != ids[k]:
+                a.append(ids[i])
+                b.append(ids[k])
+        if len(a) >= 10_000:
+            yield pairs(a, b)
+            a, b = [], []
+    yield pairs(a, b)
+
+
+def _possible_links(signed: DataFrame, sketched: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b): pairs of documents that share a signature; their components hold all links."""
+    spark = signed.sparkSession
+    shared = signed.groupBy("signature").agg(F.min("_id").alias("m"), F.max("_id").alias("x")).filter("m < x").select("signature", "m")
+    shared = materialize(shared, "shared")
+    met = materialize(signed.join(shared.hint("merge"), "signature").select("signature", "m", "_id"), "met")
+    # ids that repeat within a signature cancel out in the first check sum, not in the second
+    sums = [F.bit_xor(F.xxhash64("_id")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "_id"), 30)).alias("s")]
+    groups = met.groupBy("signature").agg(F.min("m").alias("m"), F.count("*").alias("k"), *sums)
+    groups = materialize(groups.groupBy("m", "k", "x", "s").agg(F.min("signature").alias("signature")).select("signature", "k"), "met_groups")
+    few = met.join(groups.filter(F.col("k") <= MOST_MET).hint("merge"), "signature").select("signature", "_id")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = few.join(sketched.hint("shuffle_hash"), "_id").select("signature", "_id", "n", "sketch").repartition(tasks, "signature").sortWithinPartitions("signature")
+    pairs = rows.mapInArrow(lambda b: _meet(b, threshold), "a long, b long")
+    many = met.join(groups.filter(F.col("k") > MOST_MET).hint("merge"), "signature").filter("_id <> m").select(F.col("_id").alias("a"), F.col("m").alias("b"))
+    out = materialize(pairs.unionByName(many), "possible_links")
+    release(shared, met, groups)
+    return out
+
+
 class SignatureTree:
     """Documents in an order that keeps likely partners together, in nodes of OR-ed bitmaps and size ranges."""
 
@@ -337,7 +438,7 @@ def jaccard_components(
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
     held = spark.sparkContext.broadcast(common_shingles(texts, shingle))
     described = materialize(
-        texts.mapInArrow(lambda b: _describe(b, shingle, threshold, held), "_id long, n long, f1 long, f2 long, signatures array<long>"), "described"
+        texts.mapInArrow(lambda b: _describe(b, shingle, threshold, held), "_id long, n long, f1 long, f2 long, sketch binary, signatures array<long>"), "described"
     )
     sized = materialize(described.select("_id", "n", "f1", "f2"), "sized")
     full = sized.filter("n > 0 and _id is not null")
@@ -346,11 +447,12 @@ def jaccard_components(
     copies = materialize(full.join(copied.hint("merge"), ["f1", "f2"]).filter("_id <> rep").select("_id", "f1", "f2", "rep").distinct(), "copies")
     signing = described.filter("n > 0 and _id is not null").join(copies.hint("shuffle_hash"), ["_id", "f1", "f2"], "left_anti")
     signed = materialize(signing.select("_id", F.explode("signatures").alias("signature")), "signatures")
+    sketched = materialize(described.filter("n > 0 and _id is not null").select("_id", "n", "sketch"), "sketches")
     release(described)
-    shared = signed.groupBy("signature").agg(F.min("_id").alias("m"), F.max("_id").alias("x")).filter("m < x").select("signature", "m")
-    shared = materialize(shared, "shared")
-    candidates = components(signed.join(shared.hint("merge"), "signature").filter("_id <> m").select(F.col("_id").alias("a"), F.col("m").alias("b")))
-    release(signed, shared, copied)
+    possible = _possible_links(signed, sketched, threshold)
+    release(signed, sketched, copied)
+    candidates = components(possible)
+    release(possible)
 
     labels = candidates.select(F.col("node").alias("_id"), F.col("component").alias("candidate"))
     groups = labels.groupBy("candidate").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"))

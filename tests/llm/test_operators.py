@@ -591,6 +591,50 @@ def test_signatures_meet_for_every_linked_pair():
         assert signed[0] & signed[1]
 
 
+def test_jaccard_chance_meetings(spark, monkeypatch):
+    """Texts that share a passage meet in signatures without being alike; only those that may be linked are compared."""
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(120)]
+    rows = [(i, " ".join(passage + [f"w{r.randrange(10**6)}" for _ in range(30)])) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(0, 400, 40)]
+    placed = []
+    run = jaccard_join._run_groups
+    monkeypatch.setattr(jaccard_join, "_run_groups", lambda texts, p, *a: placed.append(p.count()) or run(texts, p, *a))
+    got = by_id(jaccard_join.jaccard_components(frame(spark, rows), 4, (85, 100)))
+    assert {i: got[i][0].component_id for i in got} == jaccard_brute(rows, 4, 85, 100)
+    assert sum(placed) < 40
+
+
+@pytest.mark.parametrize("threshold", [(85, 100), (50, 100)])
+def test_sketches_part_no_linked_pair(threshold):
+    r = np.random.default_rng(9)
+    for _ in range(60):
+        base = r.integers(0, 2**63, int(r.integers(1, 400))).astype(np.uint64)
+        sets = []
+        for _ in range(int(r.integers(2, 30))):
+            kept = base[r.random(len(base)) < r.choice([0.5, 0.9, 0.97, 1])]
+            sets.append(np.unique(np.append(kept, r.integers(0, 2**63, int(r.integers(1, 9))).astype(np.uint64))))
+        n = np.array([len(x) for x in sets])
+        sketches = jaccard_join.parity_sketches(np.repeat(np.arange(len(n)), n), jaccard_join.mix(np.concatenate(sets)), n).to_pylist()
+        first = jaccard_join.may_link(n.tolist(), sketches, threshold)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if threshold[1] * len(np.intersect1d(a, b)) >= threshold[0] * len(np.union1d(a, b)):
+                    assert first[i] == first[j]
+    unlike = [np.sort(r.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(40)]
+    n = np.full(40, 300)
+    sketches = jaccard_join.parity_sketches(np.repeat(np.arange(40), 300), np.concatenate(unlike), n).to_pylist()
+    assert jaccard_join.may_link(n.tolist(), sketches, (85, 100)).tolist() == list(range(40))
+
+
+def test_jaccard_wide_signatures(spark, monkeypatch):
+    """Signatures that more documents have than sketches are compared for."""
+    monkeypatch.setattr(jaccard_join, "MOST_MET", 3)
+    rows = list(enumerate(families(11, 6, 12, 150)))
+    got = by_id(jaccard_join.jaccard_components(frame(spark, rows), 4, (85, 100), 5))
+    assert {i: got[i][0].component_id for i in got} == jaccard_brute(rows, 4, 85, 100)
+
+
 # --- op9 --------------------------------------------------------------------------------------
 
 
