@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from foliospark.llm import jaccard_join
 from test_operators import ids_of, jaccard_brute, personal  # noqa: E402  the brute-force versions
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row_key long, score double"
@@ -115,3 +116,16 @@ def test_entry_works_without_the_training_subpackage(monkeypatch):
     monkeypatch.setattr(importlib, "import_module", missing)
     names = set(__spark_entry__.queries())
     assert "doc_fingerprint" in names and not any(n.startswith("op") and "_" in n and n[2].isdigit() for n in names) and "pipeline" not in names
+
+
+def test_near_duplicates_chance_meetings(spark, monkeypatch):
+    """Texts with a passage in common are not compared with each other in groups of all of them."""
+    passage = " ".join(f"p{i}" for i in range(120))
+    texts = [passage + " " + " ".join(f"w{i}x{k}" for k in range(40)) for i in range(300)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(900, texts[7] + " more", "en", "s", 1)]
+    placed, run = [], jaccard_join._run_groups
+    monkeypatch.setattr(jaccard_join, "_run_groups", lambda texts, p, *a: placed.append(p.count()) or run(texts, p, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
+    assert sum(placed) < 60
